@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import staged, table
 
 BUCKETS = 4096
+#: A row of the plan is about 200 bytes in memory, so this is 10 MB at most.
+BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,17 +77,24 @@ def _boundary(sums: DataFrame, keys: list[str], bucket: str, need: str) -> DataF
     )
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), quality: str | None = None, max_epochs: float = 3.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+def _epochs() -> Column:
+    """Whole sizes in the target, and the rest; rests of less than half a word are none."""
+    e = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("long")
+    rest = F.col("target") - e * F.col("source_size")
+    return F.struct(e.alias("e"), F.when(rest < 0.5, 0.0).otherwise(rest).alias("rest"))
+
+
+def mix(docs: DataFrame, labels: DataFrame | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All rows of docs with size, source_size, target and taken (words taken, repeats counted).
 
-    keep: the columns to carry (all, if None). Sizes and keys are computed once, into a staged table: what follows
-    reads that three times, and never the texts unless they are kept.
+    labels: (doc_id, quality), from which documents get their weights; without it all weights are 1.
+    keep: the columns to carry (all, if None). Sizes and draws are computed in the scan, so without `text` in it the
+    texts cross no shuffle; what follows reads a staged table three times. The plan has a row for each source and is
+    broadcast when there are at most `broadcast_rows` sources.
     """
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "taken")]
-    weight = F.lit(1.0) if quality is None else F.when(F.col(quality) > 0, F.col(quality).cast("double")).otherwise(1.0)
     text = F.coalesce(F.col("text"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), text)), 1, 13), 16, 10).cast("double")
-    u = (draw + 1.0) / float(16**13 + 2)
     b = docs.select(
         *own,
         *([] if "source" in own else ["source"]),
@@ -93,31 +102,30 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), quality: st
         F.xxhash64(text).alias("__t"),
         word_count(F.col("text")).alias("size"),
         _tag(F.col("source")).alias("__s"),
-        (-F.log(u) / weight).alias("__key"),
+        ((draw + 1.0) / float(16**13 + 2)).alias("__u"),
     )
+    b = with_quality(b, labels) if labels is not None else b.withColumn("__q", F.lit(1.0))
     # 1 - exp(-key) is monotone in the key and lies in (0, 1); its upper digits are the bucket, the next ones the sub-bucket.
     flat = 1.0 - F.exp(-F.col("__key"))
-    b = b.withColumn("__b", F.least(F.floor(flat * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).withColumn("__c", F.least(F.floor((flat * BUCKETS - F.floor(flat * BUCKETS)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    b = staged(b, "mix")
-    sums = b.groupBy("__s", "__b").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    b = b.withColumn("__key", -F.log("__u") / F.col("__q")).withColumn("__b", F.least(F.floor(flat * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    b = staged(b.withColumn("__c", F.least(F.floor((flat * BUCKETS - F.floor(flat * BUCKETS)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).drop("__u", "__q"), "mix")
+
+    sums = staged(b.groupBy("__s", "__b").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "mix-sums")
     sizes = sums.groupBy("__s").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     plan = targets(source_weights(sizes.select("source", "source_size"), cycle), max_epochs)
-    plan = plan.withColumn("__s", _tag(F.col("source")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("long")
-    plan = plan.select("__s", "source_size", "target", epochs.alias("__e")).withColumn("__rest", F.col("target") - F.col("__e") * F.col("source_size")).withColumn("__rest", F.when(F.col("__rest") < 0.5, 0.0).otherwise(F.col("__rest")))
-    edge = _boundary(sums.join(plan, "__s"), ["__s"], "__b", "__rest")
-    plan = plan.join(edge, "__s", "left")
-    at_edge = b.select("__s", "__b", "__c", "size").join(plan.select("__s", F.col("__b_edge").alias("__b"), (F.col("__rest") - F.col("__b_before")).alias("__need")), ["__s", "__b"])
+    plan = plan.select(_tag(F.col("source")).alias("__s"), "source_size", "target", _epochs().alias("__p")).select("*", F.col("__p.e").alias("__e"), F.col("__p.rest").alias("__rest")).drop("__p")
+    plan = staged(plan, "mix-targets")
+    small = plan.count() <= broadcast_rows
+    sent = F.broadcast if small else (lambda x: x)
+    plan = staged(plan.join(_boundary(sums.join(sent(plan), "__s"), ["__s"], "__b", "__rest"), "__s", "left"), "mix-plan")
+    at_edge = b.select("__s", "__b", "__c", "size").join(sent(plan.select("__s", F.col("__b_edge").alias("__b"), (F.col("__rest") - F.col("__b_before")).alias("__need"))), ["__s", "__b"])
     sub = at_edge.groupBy("__s", "__c").agg(F.sum("size").alias("words"), F.first("__need").alias("__need"))
-    plan = plan.join(_boundary(sub, ["__s"], "__c", "__need"), "__s", "left")
-    # One row for each source: broadcast by Spark itself when it is small.
-    j = b.join(plan, "__s", "left")
-    inside = (F.col("__b") == F.col("__b_edge")) & (F.col("__c") == F.col("__c_edge"))
-    sure = F.coalesce((F.col("__b") < F.col("__b_edge")) | ((F.col("__b") == F.col("__b_edge")) & (F.col("__c") < F.col("__c_edge"))), F.lit(False))
-    j = j.withColumn("__in", F.coalesce(inside, F.lit(False))).withColumn("__sure", sure)
+    plan = staged(plan.join(_boundary(sub, ["__s"], "__c", "__need"), "__s", "left"), "mix-plan")
+    at, edge = F.struct("__b", "__c"), F.struct(F.col("__b_edge"), F.col("__c_edge"))
+    j = b.join(sent(plan), "__s", "left")
+    j = j.withColumn("__in", F.coalesce((F.col("__b") == F.col("__b_edge")) & (F.col("__c") == F.col("__c_edge")), F.lit(False))).withColumn("__sure", F.coalesce(F.col("__b_edge").isNotNull() & (at < edge), F.lit(False)))
     order = Window.partitionBy("__s", "__b", "__c").orderBy("__key", F.col("doc_id").asc_nulls_last(), "__t").rowsBetween(Window.unboundedPreceding, -1)
-    hot = j.filter("__in")
-    hot = hot.withColumn("__before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    hot = j.filter("__in").withColumn("__before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     left = F.col("__rest") - F.col("__b_before") - F.col("__c_before") - F.col("__before")
     hot = hot.withColumn("__sure", (left > 0) & (left * 2 >= F.col("size"))).drop("__before")
     out = j.filter(~F.col("__in")).unionByName(hot)
@@ -126,12 +134,15 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), quality: st
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
-    """Adds `__q`: `good` and `poor` for labelled quality 1 and 0, 1 without a label; labels of one id must agree or the best counts."""
+    """Adds `__q`: `good` and `poor` for labelled quality 1 and 0, 1 without a label; of an id's labels the best counts.
+
+    Labels grow with the corpus, so both sides are shuffled at every size.
+    """
     best = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").alias("__quality"))
-    j = docs.join(best, docs["doc_id"].cast("long") == F.col("__id"), "left")
+    j = docs.join(best.hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left")
     return j.withColumn("__q", F.when(F.col("__quality") == 1, good).when(F.col("__quality") == 0, poor).otherwise(1.0)).drop("__id", "__quality")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
-    return mix(docs, quality="__q", keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")

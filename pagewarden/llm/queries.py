@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, toxicity
+from . import decontaminate, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_secrets": secrets.op8_secrets,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
+SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL}

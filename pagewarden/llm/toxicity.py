@@ -33,12 +33,13 @@ from .shared import docs_of, table
 MAX_TRAIN = 20_000
 MAX_LEXICON = 600
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?=[^\s]*[^\W\d_])[^\W\d_]*(?:[0-9@$*!|][^\W\d_]+)+[0-9@$*!|]?")
+MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!|]++[^\W\d_]++)++")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": ""})
 # Second persons of the four languages.
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros".split())
 BEGINNINGS = (4, 5, 6)
+CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*@^~|<>{}[]\\=+_"
 N_FEATURES = 13
 
 
@@ -80,9 +81,10 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         near = float((1.0 / (1.0 + gap)).max())
     weight = sum(value[words[i]] for i in hits)
     letters = sum(map(len, words)) or 1
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    raw = text.encode("utf-8", "surrogatepass")
+    upper = len(raw) - len(raw.translate(None, CAPITALS))
     marks = text.count("!") + text.count("?")
-    signs = sum(text.count(c) for c in "#$%&*@^~|<>{}[]\\=+_")
+    signs = len(raw) - len(raw.translate(None, SIGNS))
     return [
         len(hits) / n, math.log1p(len(hits)), len({words[i] for i in hits}) / n, math.log1p(len(value)), weight / n, max(value.values(), default=0.0), near,
         len(seconds) / n, upper / letters, marks / n, signs / n, len(MIXED.findall(text)) / n, math.log1p(n),
