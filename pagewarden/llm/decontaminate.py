@@ -14,6 +14,7 @@ benchmark hits nothing. A very common passage is one n-gram with many hits: hits
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ def ngram_set(items: DataFrame, n: int = N) -> DataFrame:
     return g.withColumn("hash", F.xxhash64("gram")).distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of docs (doc_id, text) with words, marks (array of 0/1 by word) and item_ids (sorted array).
+def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS, keep: Iterable[str] = ()) -> DataFrame:
+    """Rows of docs as doc_id, text, words, hit (positions of hit words), item_ids (sorted) and row (the columns to keep).
 
     The lengths that items have (n, and what shorter items there are: at most n values) are read from the set.
     """
@@ -55,7 +56,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BR
     rows = {r["len"]: r["rows"] for r in grams.groupBy("len").agg(F.count(F.lit(1)).alias("rows")).collect()}
     small = sum(rows.values()) <= broadcast_rows
     keys = grams.select("hash", "len").distinct()
-    d = docs_of(docs).withColumn("__k", row_key(F.col("doc_id"), F.col("text")))
+    d = docs_of(docs, F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("row")).withColumn("__k", row_key(F.col("doc_id"), F.col("text")))
     w = d.select("__k", normal_words(F.col("text")).alias("w"))
     found = None
     for size in sorted(rows):
@@ -63,7 +64,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BR
         found = one if found is None else found.unionByName(one)
     if found is None:
         none = F.array().cast("array<string>")
-        return d.select("doc_id", "text", normal_words(F.col("text")).alias("words"), F.array().cast("array<int>").alias("hit"), none.alias("item_ids"))
+        return d.select("doc_id", "text", "row", normal_words(F.col("text")).alias("words"), F.array().cast("array<int>").alias("hit"), none.alias("item_ids"))
     at = found.join(F.broadcast(keys) if small else keys, ["hash", "len"], "left_semi")
     # An n-gram's hash and place say all: the items follow from the hash, once for each row and n-gram.
     by_row = at.groupBy("__k", "hash", "len").agg(F.collect_set("at").alias("ats"))
@@ -77,7 +78,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BR
     j = j.withColumn("cand", F.filter(true_ats, lambda c: F.size(c["ats"]) > 0))
     hit = F.array_distinct(F.flatten(F.transform("cand", lambda c: F.flatten(F.transform(c["ats"], lambda a: F.sequence(a, a + c["len"] - 1))))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("cand", lambda c: c["item_id"]), lambda x: x.isNotNull())))
-    return j.select("doc_id", "text", "words", hit.alias("hit"), ids.alias("item_ids"))
+    return j.select("doc_id", "text", "row", "words", hit.alias("hit"), ids.alias("item_ids"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

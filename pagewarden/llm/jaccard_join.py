@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -222,8 +222,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id."""
+def linked_rows(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> DataFrame:
+    """(doc_id, text) to doc_id, text_key, n_shingles, component: one hash for each component, null for empty sets."""
     spark = docs.sparkSession
     d = docs_of(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     seen = staged(d.mapInArrow(_measure, "doc_id long, text_key long, n long, node long, block int, counts binary"), "sets")
@@ -289,11 +289,31 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -
         members = staged(both.filter("node <> a").select("grp", "node"), "members")
         join_up(asked)
 
-    by_node = measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
-    by_node = staged(comp(by_node, "node", "c"), "nodes")
-    ids = by_node.join(by_node.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("node", "component_id")
-    out = measured.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(ids, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = measured.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    return comp(out, "node", "component").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component")
+
+
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles, component_id (the component's smallest doc_id; an empty set's own)."""
+    rows = staged(linked_rows(docs, bucket, close), "linked-rows")
+    ids = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(ids, "component", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of docs: of every component the one of the smallest doc_id, nulls last; rows without words all stay.
+
+    Rows repeated as a whole are one row. Columns stay as they are.
+    """
+    rows = linked_rows(docs)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    grouped = F.coalesce(F.col("component").cast("string"), F.concat_ws("|", F.lit("empty"), "doc_id", "text_key"))
+    stay = rows.groupBy(grouped.alias("c")).agg(F.min(least).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.key").alias("__key"))
+    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__text"))
+    j = d.join(stay, d["__doc"].eqNullSafe(stay["__id"]) & (d["__text"] == stay["__key"]))
+    once = Window.partitionBy("__doc", "__text").orderBy(F.lit(1))
+    return j.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

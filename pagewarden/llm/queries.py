@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, htmltext, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_warc": warc.op5_warc,
+    "op6_html_text": htmltext.op6_html_text,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_secrets": secrets.op8_secrets,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
+SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op3_topk": topk.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_warc": warc.OP5_SQL}
