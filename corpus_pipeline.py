@@ -1,6 +1,8 @@
 """documents to a training mix, in five stages: each works on all rows that the one before kept.
 
 Every stage is written as Parquet and read again before the next one starts, so a lost executor costs a stage at most.
+Rows of null or empty text pass all stages (nothing is found in them) and are taken 0 times by the mix, so they end
+there; repeated rows are near duplicates of each other, so one of them stays.
 """
 
 from __future__ import annotations
@@ -8,10 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import mixing
+from pagewarden.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
 from pagewarden.llm.shared import staged, table
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fitted model scores below 0.5 stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("score") < 0.5).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component the row of the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item stay."""
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.filter(F.size("hit") == 0).select("row.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; what the scan finds in them is masked, and n_chars follows."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes, with size, source_size, target and taken."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).filter(F.col("taken") > 0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+]
+#: Boosted trees are not SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
