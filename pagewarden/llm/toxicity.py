@@ -2,8 +2,9 @@
 
 Fit: labelled rows outside the held-out fold, at most `max_train` of them (those of the smallest hash of doc_id), give
 document frequencies of words and of word beginnings by label; what is frequent in toxic rows and rare elsewhere
-becomes the lexicon (at most `max_lexicon` entries). Features of the same rows train the trees on three quarters of
-them; the last quarter fits the isotonic curve. Lexicon, trees and curve are a few tens of KB. Score: one pass over
+becomes the lexicon (at most `max_lexicon` entries). Rows come in five folds: the features of one fold use the lexicon
+of the others, so the trees see lexicon hits as new texts have them. Three quarters of the rows train the trees; the
+last quarter fits the isotonic curve. Lexicon, trees and curve are a few tens of KB. Score: one pass over
 all texts, each read whole.
 
 Features: lexicon densities, nearness of lexicon words to a second person, capitals, punctuation, obfuscation rates.
@@ -41,6 +42,13 @@ SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine de
 BEGINNINGS = (4, 5, 6)
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*@^~|<>{}[]\\=+_"
 N_FEATURES = 13
+ROWS = "\x00rows"
+FOLDS = 5
+COUNTS = [f"{x}{k}" for k in range(FOLDS) for x in ("fine", "bad")]
+#: Log-likelihood ratio that a lexicon entry needs: about one in 20,000 tokens passes by chance.
+EVIDENCE = 10.0
+#: Rows that the uncalibrated curve counts for.
+PRIOR = 50
 
 
 def words_of(text: str) -> list[str]:
@@ -119,7 +127,9 @@ class Trees:
                     at = node * width + b[:, j]
                     gs, hs = (np.bincount(at, v, nodes * width).reshape(nodes, width).cumsum(1) for v in (g, h))
                     gt, ht = gs[:, -1:], hs[:, -1:]
+                    # Both sides of a split hold a hessian of 2 or more: about twenty rows where one in ten is toxic.
                     gain = gs**2 / (hs + self.l2) + (gt - gs) ** 2 / (ht - hs + self.l2) - gt**2 / (ht + self.l2)
+                    gain = np.where((hs >= 2) & (ht - hs >= 2), gain, 0.0)
                     k = gain.argmax(1)
                     better = gain[np.arange(nodes), k] > best
                     best = np.where(better, gain[np.arange(nodes), k], best)
@@ -183,35 +193,55 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     rows = d.join(F.broadcast(known), d["doc_id"] == F.col("__id")).select("text", "y", F.xxhash64("__id", F.lit(5)).alias("h"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
+        both = [Counter() for _ in COUNTS]
+        n = [0] * len(COUNTS)
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                both[y > 0].update(tokens(words_of(t.as_py() or "")))
-                n[y > 0] += 1
-        keys = [k for k in both[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, "\x00rows"]), pa.array([*(both[1][k] for k in keys), n[1]], pa.int64()), pa.array([*(both[0][k] for k in keys), n[0]], pa.int64())], ["token", "bad", "fine"])
+            for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                k = 2 * (h % FOLDS) + (y > 0)
+                both[k].update(tokens(words_of(t.as_py() or "")))
+                n[k] += 1
+        keys = list(set().union(*both[1::2]))
+        yield pa.RecordBatch.from_arrays([pa.array([*keys, ROWS]), *(pa.array([*(c[x] for x in keys), k], pa.int64()) for c, k in zip(both, n, strict=True))], ["token", *COUNTS])
 
     # Tokens of no toxic row in a task are left out there; their count of fine rows is then a little low, never high.
-    df = rows.mapInArrow(counted, "token string, bad long, fine long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-    top = df.filter("bad >= 3").orderBy(F.col("token") != "\x00rows", F.log((F.col("bad") + 0.5) / (F.col("fine") + 0.5)).desc(), F.desc("bad"), "token").limit(max_lexicon * 4).collect()
-    if not top or top[0]["token"] != "\x00rows" or not top[0]["fine"] or top[0]["bad"] < 3:
+    df = rows.mapInArrow(counted, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    bads, rows_of = sum(F.col(c) for c in COUNTS[1::2]), sum(F.col(c) for c in COUNTS)
+    top = df.filter(bads >= 4).orderBy(F.col("token") != ROWS, (bads / rows_of * F.log1p(bads)).desc(), "token").limit(max_lexicon * 8).collect()
+    if not top or top[0]["token"] != ROWS:
         return Model({}, None, None)
-    bad, fine = top[0]["bad"], top[0]["fine"]
-    odds = {r["token"]: math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["fine"] + 0.5) / (fine + 1)) for r in top[1:] if r["bad"] >= max(3, 0.004 * bad)}
-    lexicon = dict(sorted(((k, v) for k, v in odds.items() if v > 3.0), key=lambda x: (-x[1], x[0]))[:max_lexicon])
+
+    def lexicon_of(folds: tuple[int, ...]) -> dict[str, float]:
+        """Tokens whose share of toxic rows no chance explains, with their log-odds."""
+        count = lambda r: (sum(r[f"bad{k}"] for k in folds), sum(r[f"fine{k}"] for k in folds))
+        bad, fine = count(top[0])
+        p = (bad + 0.5) / (bad + fine + 1)
+        out = {}
+        for r in top[1:]:
+            x, y = count(r)
+            q = (x + 1e-9) / (x + y + 1e-9)
+            chance = x * math.log(q / p) + (y * math.log((1 - q) / (1 - p)) if y else 0.0)
+            odds = math.log((x + 0.5) / (bad + 1)) - math.log((y + 0.5) / (fine + 1))
+            if x >= 3 and q > p and chance >= EVIDENCE and odds >= 2.5:
+                out[r["token"]] = odds
+        return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:max_lexicon])
+
+    lexicon = lexicon_of(tuple(range(FOLDS)))
+    lexicons = [lexicon_of(tuple(k for k in range(FOLDS) if k != out)) for out in range(FOLDS)]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in b["text"]], "y": b["y"], "h": b["h"]})
+            yield pd.DataFrame({"x": [features(t, lexicons[h % FOLDS]) for t, h in zip(b["text"], b["h"], strict=True)], "y": b["y"], "h": b["h"]})
 
     sample = rows.mapInPandas(featured, "x array<double>, y double, h long").toPandas().sort_values("h", kind="stable")
-    x, y, part = np.array(sample["x"].tolist()), sample["y"].to_numpy(), sample["h"].to_numpy() % 4 == 0
+    x, y, part = np.array(sample["x"].tolist()), sample["y"].to_numpy(), (sample["h"].to_numpy() // FOLDS) % 4 == 0
     if len(set(y[~part])) < 2 or len(set(y[part])) < 2:
         part = np.zeros(len(y), bool)
     trees = Trees().fit(x[~part], y[~part])
     on = part if part.any() else ~part
-    return Model(lexicon, trees, isotonic(trees.raw(x[on]), y[on]))
+    raw = trees.raw(x[on])
+    at, value = isotonic(raw, y[on])
+    # A curve of few rows is drawn towards the trees' own probabilities.
+    return Model(lexicon, trees, (at, np.maximum.accumulate((len(raw) * value + PRIOR / (1 + np.exp(-at))) / (len(raw) + PRIOR))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
