@@ -28,7 +28,7 @@ from . import textvec as tv
 from .shared import staged
 
 #: Distinct regions of one anchor that one task compares.
-GROUP = 64
+GROUP = 256
 Runs = Iterator[tuple[int, int, list[tuple[int, int, int]]]]
 ROWS = "anchor long, region long, key long, rank long, i0 int, n int, at int"
 REGIONS = "anchor long, region long, body binary, n int, at int, cnt long, mn long"
@@ -157,12 +157,14 @@ def repeated(docs: DataFrame, length: int, gram: int, by_words: bool, solver: Ca
     rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "span-rows")
     stats = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("region").alias("lo"), F.max("region").alias("hi"), F.min("rank").alias("mn"), F.max("rank").alias("mx"))
     stats = stats.filter((F.col("mn") < F.col("mx")) if by_rank else (F.col("c") > 1)).select("anchor", (F.col("lo") == F.col("hi")).alias("same"), "mn")
+    # Staged, both sides of the join are plain shuffles, which Spark splits where an anchor is hot.
+    stats = staged(stats, "span-stats")
     kept = staged(rows.join(stats, "anchor"), "span-kept")
     same, mixed = kept.filter("same"), kept.filter("not same").drop("mn")
 
     reps = mixed.groupBy("anchor", "region").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("cnt"), F.min("rank").alias("mn"))
     reps = staged(reps, "span-reps")
-    many = reps.groupBy("anchor").agg((F.count(F.lit(1)) > group).alias("many"))
+    many = staged(reps.groupBy("anchor").agg((F.count(F.lit(1)) > group).alias("many")), "span-many")
     wanted = mixed.join(reps.join(many, "anchor"), ["anchor", "region", "id"])
     by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "region", "i0", "n", "at", "cnt", "mn", "many")).alias("wanted"))
     # A row repeated as a whole cuts its regions twice; such regions occur twice anyway, and covers are sets.

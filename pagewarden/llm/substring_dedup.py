@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import docs_of, row_key, table
-from .spans import Runs, merged, repeated
+from .spans import GROUP, Runs, merged, repeated
 
 LENGTH = 50
 GRAM = 20
@@ -127,7 +127,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup_words(docs: DataFrame, gram: int = GRAM, group: int = 64) -> DataFrame:
+def dedup_words(docs: DataFrame, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     d = docs_of(docs)
     d = d.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), "doc_id", "text")

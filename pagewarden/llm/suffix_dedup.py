@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .shared import docs_of, row_key, table
-from .spans import Runs, merged, repeated
+from .spans import GROUP, Runs, merged, repeated
 
 LENGTH = 400
 GRAM = 128
@@ -148,7 +148,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup_bytes(docs: DataFrame, gram: int = GRAM, group: int = 64) -> DataFrame:
+def dedup_bytes(docs: DataFrame, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes; they need not be UTF-8)."""
     d = docs_of(docs)
     d = d.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.lit(0).cast("long").alias("rank"), "doc_id", "text")
