@@ -1,19 +1,22 @@
-"""Near duplicates: all pairs of word-shingle sets with Jaccard similarity of 0.75 or more, by PartEnum signatures.
+"""Near duplicates: all pairs of word-shingle sets with Jaccard similarity of 0.75 or more, by enumerated signatures.
 
-Sets are put into bands of sizes (4**i up to 4**(i+1), and a third beyond, as a partner may be larger by a third). A
-band's feature domain is partitioned by hash into as many parts as its sizes go; a signature is what a set has in one
-part. Two sets that differ in d features agree in all parts but d at most, so of the signatures a set has in non-empty
-parts any d + 1 hold a shared one. A set of n features may differ in n // 3 from a partner, so it enumerates n // 3 + 1
-of its parts; as both sides choose in the same global order, rarest first, the first shared part is among both choices.
-The order comes from a fixed-size count sketch of all signatures (4 MB at any scale), which keeps passages that
-many documents share from making candidates; any order gives the same result. Sets with too few non-empty parts
-(possible for tiny ones alone) add signatures of a partition in which every feature is a part of its own.
+The method is PartEnum's: partition the feature domain and enumerate, for every set, parts of which any sufficiently
+similar set must share one. Here the partition is the finest, every feature a part of its own. With coarse parts (built
+first) a difference on either side spoils a part, so a set must enumerate a third of its parts; a passage that makes up
+most of many short documents then puts all of them under common signatures, and nothing tells their pairs apart. With
+single features only the set's own differences count: a quarter of them is enumerated, and the place of a shared
+signature bounds what two sets can share at all.
+
+All sets enumerate in one global order, rarest first. The order comes from a fixed-size count sketch of all features
+(4 MB at any scale); any order gives the same result. Of a set of n features the first n - ceil(0.75 n) + 1 hold a
+feature of every partner, and a signature at place i reaches partners of up to (4 n - 7 i) / 3 features, which is the
+size band that it is compared in: sets under one signature are compared only where each is within the other's reach.
 
 Identical sets are one node from the start. Signatures travel packed, sorted and without Python objects, by buckets of
 the signature. A signature's sets are compared with one of them, the pivot, not with each other; exact set comparison
-gives the links, links give components. What then still has two components under one signature is compared pair by pair
-across components, after more rounds of new pivots where that would be many pairs. So the components are those of all
-links, and no pair within one component needs to be enumerated.
+gives the links, links give components. What then still has two components under one signature is compared across
+components, after more rounds of new pivots where that would be many pairs. So the components are those of all links,
+and no pair within one component needs to be enumerated.
 
 Defined cases: null and empty texts (no words) have size 0, no links and their own id as component; texts of fewer than
 five words are one shingle of their own; repeated rows and equal sets share a component; null ids are never a
@@ -38,7 +41,7 @@ ROWS = 4096  # documents in a slice: 12 bits beside 52 bits of a shingle's hash
 BITS, LOW = np.uint64(52), np.uint64((1 << 52) - 1)
 SLOTS, BLOCK = 1 << 20, 1 << 14
 BUCKET = 200_000  # signatures in a bucket, about
-CLOSE = 20  # pairs for each node that the last comparison may have
+CLOSE = 50  # pairs for each node that the last comparison may have
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,30 +72,6 @@ def nodes_of(v: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(v: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(signature, document) of the non-empty parts, for the one or two bands of each set."""
-    band = np.zeros(len(sizes), np.int64)
-    some = sizes > 0
-    band[some] = (np.floor(np.log2(sizes[some])) // 2).astype(np.int64)
-    for down in (0, 1):
-        b = band - down
-        ok = some & (b >= 0) if not down else (band > 0) & (3 * sizes <= 4 * 4**band)
-        own = ok[doc]
-        x, d = v[own], doc[own]
-        if not len(x):
-            continue
-        parts = np.maximum(4 ** (b[d] + 1), 256).astype(np.uint64)
-        part = ((x >> np.uint64(20)) * parts) >> np.uint64(32)
-        at = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])))
-        salt = tv.mix((part[at] << np.uint64(8)) + b[d[at]].astype(np.uint64) + np.uint64(1))
-        sig = tv.mix(_sums(tv.mix(x ^ np.uint64(0x5851F42D4C957F2D)), at) + salt)
-        yield sig, d[at]
-        tight = np.bincount(d[at], minlength=len(sizes)) <= sizes // 3
-        own = tight[d] & ok[d]
-        if own.any():
-            yield tv.mix(x[own] + tv.mix(b[d[own]].astype(np.uint64) + np.uint64(77))), d[own]
-
-
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's part of the count sketch."""
     counts = np.zeros(SLOTS, np.int64)
@@ -101,8 +80,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, raw, off in tv.slices(b.column(2), rows=ROWS):
             v, doc, sizes = sets_of(raw, off)
             n[row : row + len(sizes)], node[row : row + len(sizes)] = sizes, nodes_of(v, sizes)
-            for sig, _ in signatures(v, doc, sizes):
-                counts += np.bincount((sig >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+            counts += np.bincount((tv.mix(v) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         none = pa.nulls(b.num_rows, pa.int32())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(node), none, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "text_key", "n", "node", "block", "counts"])
     blocks = [k for k in range(SLOTS // BLOCK) if counts[k * BLOCK : (k + 1) * BLOCK].any()]
@@ -125,55 +103,69 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _enumerate(counts, buckets: int) -> Callable:
-    """Packed (signature, node) by bucket: the n // 3 + 1 rarest signatures of each set in each of its bands."""
+    """Packed (signature, node, size, reach) by bucket: the signatures of each set that a partner must share one of.
+
+    reach of the signature at place i: the size of the largest partner with which it can be the first shared one. What
+    the two share is then at most size - i features, and 3/7 of both sizes are needed: (4 * size - 7 * i) // 3.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.frombuffer(counts.value, np.uint32).astype(np.uint64)
         for b in batches:
-            sigs, nodes, seen = [], [], np.zeros(0, np.int64)
+            cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint32, np.uint32)]
+            seen = np.zeros(0, np.int64)
             for _, raw, off in tv.slices(b.column(0), rows=ROWS):
-                v, doc, sizes = sets_of(raw, off)
+                v, d, sizes = sets_of(raw, off)
                 node = nodes_of(v, sizes)
                 fresh = np.zeros(len(node), bool)
                 fresh[np.unique(node, return_index=True)[1]] = True  # copies in this batch enumerate once
                 fresh &= ~np.isin(node, seen)
                 seen = np.union1d(seen, node)
-                for sig, d in signatures(v, doc, sizes):
-                    sig, d = sig[fresh[d]], d[fresh[d]]
-                    order = np.argsort((d.astype(np.uint64) << BITS) | (freq[(sig >> np.uint64(44)).astype(np.int64)] << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
-                    d = d[order]
-                    place = np.arange(len(d)) - np.searchsorted(d, d)
-                    pick = order[place <= sizes[d] // 3]
-                    sigs.append(sig[pick])
-                    nodes.append(node[d[place <= sizes[d] // 3]])
-            sig, node = np.concatenate([np.zeros(0, np.uint64), *sigs]), np.concatenate([np.zeros(0, np.int64), *nodes])
+                sig, d = tv.mix(v[fresh[d]]), d[fresh[d]]
+                order = np.argsort((d.astype(np.uint64) << BITS) | (freq[(sig >> np.uint64(44)).astype(np.int64)] << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
+                d = d[order]
+                place, n = np.arange(len(d)) - np.searchsorted(d, d), sizes[d]
+                own = place <= n - (3 * n + 3) // 4
+                for c, x in zip(cols, (sig[order], node[d], n, (4 * n - 7 * place) // 3), strict=True):
+                    c.append(x[own].astype(c[0].dtype))
+            sig, node, n, reach = (np.concatenate(c) for c in cols)
             bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            sig, node, bucket = sig[order].astype(np.uint32), node[order], bucket[order]
+            sig, node, n, reach, bucket = sig[order].astype(np.uint32), node[order], n[order], reach[order], bucket[order]
             at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
             end = np.append(at[1:], len(bucket))
-            body = [sig[i:j].tobytes() + node[i:j].tobytes() for i, j in zip(at.tolist(), end.tolist(), strict=True)]
+            body = [b"".join(x[i:j].tobytes() for x in (sig, node, n, reach)) for i, j in zip(at.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(body, pa.binary())], ["bucket", "body"])
 
     return each
 
 
+MET = "grp long, a long, b long, n int, reach int, size int, asked boolean"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive sorted. Every signature of two nodes or more: its group, its pivot, and each other node."""
+    """Buckets arrive sorted. A row for each node of a signature that can link any: its pivot, and whether to ask for it.
+
+    Two nodes can have this as their first shared signature only if each one's size is within the other's reach. In such
+    a pair the smaller node reaches its own size; a signature without such a node links nothing and is dropped. The
+    pivot is the node of the largest reach for its size: it has the fewest rarer features of its own.
+    """
 
     def groups(bucket: int, bodies: list[bytes]) -> pa.RecordBatch:
-        n = [len(x) // 12 for x in bodies]
-        sig = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(bodies, n, strict=True)])
-        node = np.concatenate([np.frombuffer(x, np.int64, k, 4 * k) for x, k in zip(bodies, n, strict=True)])
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+        m = [len(x) // 20 for x in bodies]
+        sig, node, n, reach = (np.concatenate([np.frombuffer(x, t, k, k * skip) for x, k in zip(bodies, m, strict=True)]) for t, skip in ((np.uint32, 0), (np.int64, 4), (np.uint32, 12), (np.uint32, 16)))
+        order = np.lexsort((node, -(reach / n), sig))
+        sig, node, n, reach = sig[order], node[order], n[order].astype(np.int64), reach[order].astype(np.int64)
         keep = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-        sig, node = sig[keep], node[keep]
+        sig, node, n, reach = sig[keep], node[keep], n[keep], reach[keep]
         first = np.searchsorted(sig, sig)
         size = np.searchsorted(sig, sig, side="right") - first
-        other = np.flatnonzero(first != np.arange(len(sig)))
-        group = (np.int64(bucket) << np.int64(32)) | sig[other].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(node[first[other]]), pa.array(node[other]), pa.array(size[other].astype(np.int32))], ["grp", "a", "b", "size"])
+        use = np.flatnonzero((size > 1) & (reach[first] >= n[first]))
+        first = first[use]
+        asked = (first != use) & (n[use] <= reach[first]) & (n[first] <= reach[use])
+        group = (np.int64(bucket) << np.int64(32)) | sig[use].astype(np.int64)
+        cols = (group, node[first], node[use], n[use].astype(np.int32), reach[use].astype(np.int32), size[use].astype(np.int32), asked)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["grp", "a", "b", "n", "reach", "size", "asked"])
 
     last, held = None, []
     for batch in batches:
@@ -187,16 +179,36 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(last, held)
 
 
+def coarse(v: np.ndarray, n: int) -> np.ndarray:
+    """Features of a set by cell of the hash domain: the more cells, the larger the set; halves of a cell add up to it."""
+    bits = max(5, int(n).bit_length() - 3)
+    return np.bincount((v >> np.uint64(52 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         node = b.column(0).to_pylist()
-        bodies, n = [], []
+        bodies, cells, n = [], [], []
         for _, raw, off in tv.slices(b.column(1), rows=ROWS):
             v, _, sizes = sets_of(raw, off)
             ends = np.cumsum(sizes)
             bodies += [v[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            cells += [coarse(v[e - k : e], k).tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
             n += sizes.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bodies, pa.binary())], ["node", "n", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.binary()), pa.array(bodies, pa.binary())], ["node", "n", "cells", "body"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose coarse counts leave room for the similarity: counts that differ by d mean sets that differ by d or more."""
+    for b in batches:
+        ok = []
+        for na, nb, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+            while len(x) != len(y):
+                x, y = (x.reshape(-1, 2).sum(1), y) if len(x) > len(y) else (x, y.reshape(-1, 2).sum(1))
+            ok.append(7 * int(np.abs(x - y).sum()) <= na + nb)
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +226,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sets have a Jaccard similarity of 0.75 or more. Sizes are tried first."""
-    n = sets.select("node", "n")
-    near = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b")
+    """Of distinct pairs (a, b), those whose sets have a Jaccard similarity of 0.75 or more.
+
+    Sizes and coarse counts, a few bytes for each pair, rule out nearly all others before whole sets are joined.
+    """
+    n = sets.select("node", "n", "cells")
+    near = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ka")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("kb")), "b")
+    near = near.filter("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_possible, "a long, b long")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long")
 
@@ -232,18 +247,18 @@ def linked_rows(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> Da
     counts = np.zeros(SLOTS, np.uint32)
     for r in blocks.collect():  # 64 rows of 64 KB at any scale
         counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
-    total = measured.agg(F.sum(F.floor(F.col("n") / 3) + 1)).first()[0] or 0
-    buckets = max(64, int(total * 1.2 / bucket))
+    total = measured.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
+    buckets = max(64, int(total / bucket))
     order = spark.sparkContext.broadcast(counts.tobytes())
     packed = d.select("text").mapInArrow(_enumerate(order, buckets), "bucket int, body binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "grp long, a long, b long, size int")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET)
     met = staged(met, "met")
 
-    pairs = staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs = staged(met.filter("asked").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    wanted = met.select(F.col("b").alias("node")).distinct()
     rep = measured.filter("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, "node")
     texts = d.select("text_key", "text").join(rep, "text_key").select("node", "text")
-    sets = staged(texts.mapInArrow(_packed_sets, "node long, n long, body binary").dropDuplicates(["node"]), "packed-sets")
+    sets = staged(texts.mapInArrow(_packed_sets, "node long, n long, cells binary, body binary").dropDuplicates(["node"]), "packed-sets")
 
     # First each node with the pivot it shares most with, then what is left between components, then other pivots.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
@@ -265,29 +280,31 @@ def linked_rows(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> Da
             comps = components(links)
 
     join_up(apart(pairs.join(best, ["a", "b"], "left_anti")))
-    members = met.filter("size > 2").select("grp", F.col("b").alias("node"))
-    members = members.unionByName(met.filter("size > 2").select("grp", F.col("a").alias("node"))).distinct()
+    members = met.filter("size > 2").select("grp", F.col("b").alias("node"), "n", "reach")
+    fits = (F.col("n") <= F.col("rb")) & (F.col("nb") <= F.col("reach"))
     turn = 0
     while True:
-        turn += 1
         m = comp(members, "node", "c")
-        state = m.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi")
-        members = staged(m.join(state.select("grp", "k"), "grp").select("grp", "node", "k"), "members")
-        load = members.agg(F.sum("k").alias("pairs"), F.count_distinct("node").alias("nodes")).first()
+        # Groups of equal members (several signatures of one passage, say) are one group.
+        state = m.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("reach") >= F.col("n")).alias("able"), F.sum(F.shiftright(F.xxhash64("node", "reach"), 16)).alias("h"))
+        state = state.filter("lo <> hi and able > 0").groupBy("k", "h", "able").agg(F.min("grp").alias("grp"))
+        members = staged(m.join(state.select("grp", "k", "able"), "grp").select("grp", "node", "n", "reach", "c", "able"), "members")
+        load = members.agg(F.sum("able").alias("pairs"), F.count_distinct("node").alias("nodes")).first()
         if not load["nodes"]:
             break
-        m = comp(members, "node", "c").select("grp", "node", "c")
+        able = members.filter(F.col("reach") >= F.col("n")).select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("c").alias("cb"))
         if load["pairs"] <= close * max(1000, load["nodes"]):
-            other = m.select("grp", F.col("node").alias("b"), F.col("c").alias("cb"))
-            rest = m.withColumnRenamed("node", "a").join(other, "grp").filter("a < b and c <> cb").select("a", "b").distinct()
-            join_up(rest.join(pairs, ["a", "b"], "left_anti"))
+            both = members.join(able, "grp").filter((F.col("c") != F.col("cb")) & fits)
+            asked = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            join_up(asked)
             break
-        # A pivot has been compared with all of its group once this round is over, so it leaves the group.
-        pivot = m.groupBy("grp").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"), F.min_by("c", F.xxhash64("node", F.lit(turn))).alias("ca"))
-        both = m.join(pivot, "grp")
-        asked = both.filter("c <> ca").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        members = staged(both.filter("node <> a").select("grp", "node"), "members")
+        # A pivot has been asked for all of its group once this round is over, so it leaves the group.
+        pivot = able.groupBy("grp").agg(F.max_by(F.struct("b", "nb", "rb", "cb"), F.struct(F.col("rb") / F.col("nb"), F.xxhash64("b", F.lit(turn)))).alias("p")).select("grp", "p.*")
+        both = members.join(pivot, "grp")
+        asked = both.filter((F.col("c") != F.col("cb")) & fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        members = both.filter("node <> b").select("grp", "node", "n", "reach")
         join_up(asked)
+        turn += 1
 
     out = measured.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
     return comp(out, "node", "component").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component")

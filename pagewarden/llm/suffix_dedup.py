@@ -5,7 +5,9 @@ mergesorted; two suffixes are compared by the length of their common extension,
 polynomial hashes, so a comparison takes a logarithmic number of hash comparisons. In sorted order the common extension
 to the right of any two is the least of the neighbours' between them; the extension to the left is a binary search over
 the same hashes. Two regions share the windows between left + right >= length; the bytes of each such match are
-compared before it counts, so a hash collision cannot remove anything.
+compared before it counts, so a hash collision cannot remove anything. Where an anchor has more than PAIRS regions, all
+their windows are sorted by prefix hash instead, with the same comparison of bytes; beyond GROUP regions the anchor is
+never gathered and takes the counted-windows way of `spans.repeated`.
 
 Defined cases: null and empty texts have no bytes; repeated rows are rows of their own, so they remove each other's
 repeated bytes; a string that occurs twice in one document is removed in both places, overlaps included; texts of
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .shared import docs_of, row_key, table
-from .spans import GROUP, Runs, merged, repeated
+from .spans import Runs, merged, repeated
 
 LENGTH = 400
 GRAM = 128
+#: Distinct regions of one anchor that a task may gather (11 MB of text), and those that are compared pair by pair.
+GROUP = 20_000
+PAIRS = 256
 
 
 class Suffixes:
@@ -96,7 +101,43 @@ class Suffixes:
         return order
 
 
+def by_windows(regions: list[tuple]) -> Runs:
+    """For an anchor of many regions: sorts all their windows by prefix hash, and compares the bytes of equal hashes."""
+    raw = b"".join(r[2] for r in regions)
+    sizes = np.array([len(r[2]) for r in regions])
+    n = np.array([r[3] for r in regions], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(sizes) - sizes)[row] + s
+    h = tv.window_hash(tv.prefix(tv.byte_table(0)[np.frombuffer(raw, np.uint8)], 0), start, start + LENGTH, 0)
+    order = np.argsort(h, kind="stable")
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    hit = np.zeros(len(h), bool)
+    for x, y in zip(order[~new].tolist(), first[~new].tolist(), strict=True):
+        a, b = start[x], start[y]
+        if raw[a : a + LENGTH] == raw[b : b + LENGTH]:
+            hit[x] = hit[y] = True
+    hit |= np.array([r[5] > 1 for r in regions])[row]
+    edge = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (row[1:] != row[:-1])))
+    end = np.flatnonzero(hit & np.append(~hit[1:] | (row[1:] != row[:-1]), True))
+    runs: dict[int, list] = {}
+    for i, j in zip(edge.tolist(), end.tolist(), strict=True):
+        runs.setdefault(int(row[i]), []).append((int(s[i]), int(s[j]) + 1, 0))
+    for k, x in runs.items():
+        yield regions[k][0], regions[k][1], x
+
+
 def solve(groups: list[list[tuple]]) -> Runs:
+    for g in groups:
+        if len(g) > PAIRS:
+            yield from by_windows(g)
+    groups = [g for g in groups if len(g) <= PAIRS]
+    if groups:
+        yield from by_suffixes(groups)
+
+
+def by_suffixes(groups: list[list[tuple]]) -> Runs:
     rows = [r for g in groups for r in g]
     group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     n, at = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
