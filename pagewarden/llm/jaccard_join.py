@@ -41,7 +41,7 @@ ROWS = 4096  # documents in a slice: 12 bits beside 52 bits of a shingle's hash
 BITS, LOW = np.uint64(52), np.uint64((1 << 52) - 1)
 SLOTS, BLOCK = 1 << 20, 1 << 14
 BUCKET = 200_000  # signatures in a bucket, about
-CLOSE = 50  # pairs for each node that the last comparison may have
+CLOSE = 100  # comparisons for each node (50,000 nodes at least) that the last round may have
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +158,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, n, reach = sig[order], node[order], n[order].astype(np.int64), reach[order].astype(np.int64)
         keep = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
         sig, node, n, reach = sig[keep], node[keep], n[keep], reach[keep]
+        # Who cannot be within reach of any node that reaches its own size has no partner here.
+        new = np.append(True, sig[1:] != sig[:-1])
+        starts, able = np.flatnonzero(new), reach >= n
+        least, most = np.minimum.reduceat(np.where(able, n, 1 << 40), starts), np.maximum.reduceat(np.where(able, reach, 0), starts)
+        at = np.cumsum(new) - 1
+        keep = (reach >= least[at]) & (n <= most[at])
+        sig, node, n, reach = sig[keep], node[keep], n[keep], reach[keep]
         first = np.searchsorted(sig, sig)
         size = np.searchsorted(sig, sig, side="right") - first
         use = np.flatnonzero((size > 1) & (reach[first] >= n[first]))
@@ -282,24 +289,26 @@ def linked_rows(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> Da
     join_up(apart(pairs.join(best, ["a", "b"], "left_anti")))
     members = met.filter("size > 2").select("grp", F.col("b").alias("node"), "n", "reach")
     fits = (F.col("n") <= F.col("rb")) & (F.col("nb") <= F.col("reach"))
-    turn = 0
+    nodes, turn = wanted.count(), 0
     while True:
-        m = comp(members, "node", "c")
-        # Groups of equal members (several signatures of one passage, say) are one group.
-        state = m.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("reach") >= F.col("n")).alias("able"), F.sum(F.shiftright(F.xxhash64("node", "reach"), 16)).alias("h"))
-        state = state.filter("lo <> hi and able > 0").groupBy("k", "h", "able").agg(F.min("grp").alias("grp"))
-        members = staged(m.join(state.select("grp", "k", "able"), "grp").select("grp", "node", "n", "reach", "c", "able"), "members")
-        load = members.agg(F.sum("able").alias("pairs"), F.count_distinct("node").alias("nodes")).first()
-        if not load["nodes"]:
+        m = comp(members, "node", "c").withColumn("able", F.col("reach") >= F.col("n"))
+        # Groups of equal members (several signatures of one passage, say) are one group. A pair across components has
+        # a node outside the group's largest component, and one that reaches its own size.
+        by_comp = m.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("able").alias("able"), F.sum(F.shiftright(F.xxhash64("node", "reach"), 16)).alias("h"))
+        state = by_comp.groupBy("grp").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("big"), F.sum("k").alias("k"), F.sum("able").alias("able"), F.max_by("able", F.struct("k", "c")).alias("major_able"), F.sum("h").alias("h"))
+        state = state.filter("k > big and able > 0").groupBy("k", "h", "able").agg(F.min(F.struct("grp", "major", ((F.col("able") - F.col("major_able")) * F.col("k") + (F.col("k") - F.col("big")) * F.col("able")).alias("load"))).alias("g"))
+        members = staged(m.join(state.select("g.*"), "grp").select("grp", "node", "n", "reach", "c", "able", (F.col("c") != F.col("major")).alias("minor"), "load"), "members")
+        load = members.groupBy("grp").agg(F.first("load").alias("load")).agg(F.sum("load").alias("pairs"), F.count(F.lit(1)).alias("groups")).first()
+        if not load["groups"]:
             break
-        able = members.filter(F.col("reach") >= F.col("n")).select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("c").alias("cb"))
-        if load["pairs"] <= close * max(1000, load["nodes"]):
-            both = members.join(able, "grp").filter((F.col("c") != F.col("cb")) & fits)
-            asked = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        other = members.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("c").alias("cb"), F.col("able").alias("able_b"))
+        if load["pairs"] <= close * max(50_000, nodes):
+            both = members.filter("minor and able").join(other, "grp").unionByName(members.filter("minor and not able").join(other.filter("able_b"), "grp"))
+            asked = both.filter((F.col("c") != F.col("cb")) & fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
             join_up(asked)
             break
         # A pivot has been asked for all of its group once this round is over, so it leaves the group.
-        pivot = able.groupBy("grp").agg(F.max_by(F.struct("b", "nb", "rb", "cb"), F.struct(F.col("rb") / F.col("nb"), F.xxhash64("b", F.lit(turn)))).alias("p")).select("grp", "p.*")
+        pivot = other.filter("able_b").groupBy("grp").agg(F.max_by(F.struct("b", "nb", "rb", "cb"), F.struct(F.col("rb") / F.col("nb"), F.xxhash64("b", F.lit(turn)))).alias("p")).select("grp", "p.*")
         both = members.join(pivot, "grp")
         asked = both.filter((F.col("c") != F.col("cb")) & fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         members = both.filter("node <> b").select("grp", "node", "n", "reach")
