@@ -41,6 +41,8 @@ ROWS = 4096  # documents in a slice: 12 bits beside 52 bits of a shingle's hash
 BITS, LOW = np.uint64(52), np.uint64((1 << 52) - 1)
 SLOTS, BLOCK = 1 << 20, 1 << 14
 BUCKET = 200_000  # signatures in a bucket, about
+#: Two longs a row and what a hash relation adds: 20 MB at most. Beyond it, texts and representatives are shuffled.
+BROADCAST_ROWS = 300_000
 CLOSE = 100  # comparisons for each node (50,000 nodes at least) that the last round may have
 
 
@@ -264,6 +266,8 @@ def linked_rows(docs: DataFrame, bucket: int = BUCKET, close: int = CLOSE) -> Da
     pairs = staged(met.filter("asked").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
     wanted = met.select(F.col("b").alias("node")).distinct()
     rep = measured.filter("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, "node")
+    rep = staged(rep.select("node", "text_key"), "representatives")
+    rep = F.broadcast(rep) if rep.count() <= BROADCAST_ROWS else rep
     texts = d.select("text_key", "text").join(rep, "text_key").select("node", "text")
     sets = staged(texts.mapInArrow(_packed_sets, "node long, n long, cells binary, body binary").dropDuplicates(["node"]), "packed-sets")
 
