@@ -242,7 +242,12 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     n = sets.select("node", "n", "cells")
     near = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ka")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("kb")), "b")
     near = near.filter("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_possible, "a long, b long")
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    near = staged(near, "near")
+    # Few pairs are left: they go to the sets, so that only sets of such pairs are shuffled.
+    sent = F.broadcast if near.count() <= BROADCAST_ROWS else (lambda x: x)
+    left = sets.select(F.col("node").alias("a"), F.col("body").alias("x")).join(sent(near), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("body").alias("y")).join(sent(near), "b")
+    full = left.join(right, ["a", "b"])
     return full.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long")
 
 
