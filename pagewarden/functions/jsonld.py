@@ -7,15 +7,11 @@ about the result (status, types, products) is a column expression.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-NODE = "struct<types:array<string>,name:string,has_review:boolean,has_rating:boolean,has_offers:boolean,json:string>"
-BLOCK = f"struct<status:string,nodes:array<{NODE}>>"
-
+from pyspark.sql import types as T
 
 def _reject(token: str):
     raise ValueError(token)
@@ -45,10 +41,20 @@ def nodes_of(block: str) -> tuple[str, list[dict]]:
     return status, out
 
 
-@F.pandas_udf(f"array<{BLOCK}>")
-def parse_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for blocks in batches:
-        yield pd.Series([None if b is None else [dict(zip(("status", "nodes"), nodes_of(x), strict=True)) for x in b] for b in blocks])
+_NODE = T.StructType([
+    T.StructField("types", T.ArrayType(T.StringType())), T.StructField("name", T.StringType()), T.StructField("has_review", T.BooleanType()), T.StructField("has_rating", T.BooleanType()),
+    T.StructField("has_offers", T.BooleanType()), T.StructField("json", T.StringType()),
+])
+BLOCKS = T.ArrayType(T.StructType([T.StructField("status", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE))]))
+
+
+def _parsed(blocks: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else [dict(zip(("status", "nodes"), nodes_of(x), strict=True)) for x in b] for b in blocks], dtype=object)
+
+
+def parse_blocks(blocks: Column) -> Column:
+    """array<string> of JSON-LD texts to array<struct<status, nodes>>."""
+    return F.pandas_udf(_parsed, BLOCKS)(blocks)
 
 
 def jsonld_nodes(parsed: Column) -> Column:

@@ -15,6 +15,11 @@ UNSAFE = r'[^\x21-\x7E]|["<>`{}^]'
 PLACEHOLDER = "http://pages.invalid"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once. Without it an expression that is used twice is computed twice, at every level."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _part(c: Column, i: int) -> Column:
     return F.regexp_extract(c, PARTS, i)
 
@@ -26,12 +31,15 @@ def _encoded(c: Column, unsafe: str = UNSAFE) -> Column:
 
 def _no_dots(path: Column) -> Column:
     """Removes . and .. segments of a path that starts with a slash."""
-    segments = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _let(F.split(path, "/"), _kept)).otherwise(path)
+
+
+def _kept(parts: Column) -> Column:
+    segments = F.slice(parts, F.lit(2), F.size(parts))
     last = F.element_at(segments, -1)
     step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
     kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+    return _let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), "/").otherwise("")))
 
 
 def _scheme(c: Column) -> Column:
@@ -51,13 +59,11 @@ def url_origin(c: Column) -> Column:
 
 
 def _path(c: Column) -> Column:
-    raw = F.translate(_part(c, 4), "\\", "/")
-    return F.when(raw == "", "/").otherwise(_no_dots(_encoded(raw)))
+    return _let(F.translate(_part(c, 4), "\\", "/"), lambda raw: F.when(raw == "", "/").otherwise(_let(_encoded(raw), _no_dots)))
 
 
 def _query(c: Column) -> Column:
-    q = _part(c, 5)
-    return F.when(q == "?", "").otherwise(_encoded(q, r"[^\x21-\x7E]|[\"<>']"))
+    return _let(_part(c, 5), lambda q: F.when(q == "?", "").otherwise(_encoded(q, r"[^\x21-\x7E]|[\"<>']")))
 
 
 def _short(path: Column) -> Column:
@@ -66,17 +72,17 @@ def _short(path: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """No fragment, no default port, scheme and host in lower case, one trailing slash dropped; the query stays."""
-    return F.concat(url_origin(c), _short(_path(c)), _query(c))
+    return _let(c, lambda u: F.concat(url_origin(u), _let(_path(u), _short), _query(u)))
 
 
 def url_path(c: Column) -> Column:
     """Normalized path name; null for what is no http(s) URL."""
-    return F.when(_is_url(c), _short(_path(c)))
+    return _let(c, lambda u: F.when(_is_url(u), _let(_path(u), _short)))
 
 
 def frontier_url(c: Column) -> Column:
     """Normalized, or as it is where it is no URL."""
-    return F.coalesce(normalize_url(c), c)
+    return _let(c, lambda u: F.coalesce(normalize_url(u), u))
 
 
 def logical_url(c: Column, placeholder: str = PLACEHOLDER) -> Column:
@@ -86,20 +92,22 @@ def logical_url(c: Column, placeholder: str = PLACEHOLDER) -> Column:
 
 def resolve_href(href: Column, base: Column) -> Column:
     """Absolute http(s) URL of a link without its fragment; null for other schemes and for what cannot be resolved."""
-    h = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", ""), "#.*$", "")
-    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    origin, path = url_origin(base), _path(base)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    absolute = (
-        F.when(scheme.isin("http", "https"), h)
-        .when(scheme != "", F.lit(None))
-        .when(h.rlike(r"^[/\\]{2}"), F.concat(_scheme(base), F.lit(":"), h))
-        .when(h.rlike(r"^[/\\]"), F.concat(origin, h))
-        .when(h.startswith("?"), F.concat(origin, path, h))
-        .when(h == "", F.concat(origin, path, _query(base)))
-        .otherwise(F.concat(origin, folder, h))
-    )
-    return F.when(_is_url(base), F.concat(url_origin(absolute), _path(absolute), _query(absolute)))
+    clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", ""), "#.*$", "")
+
+    def absolute(h: Column, u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        return (
+            F.when(scheme.isin("http", "https"), h)
+            .when(scheme != "", F.lit(None))
+            .when(h.rlike(r"^[/\\]{2}"), F.concat(_scheme(u), F.lit(":"), h))
+            .when(h.rlike(r"^[/\\]"), F.concat(url_origin(u), h))
+            .when(h.startswith("?"), F.concat(url_origin(u), _path(u), h))
+            .when(h == "", F.concat(url_origin(u), _path(u), _query(u)))
+            .otherwise(F.concat(url_origin(u), F.regexp_replace(_path(u), "[^/]*$", ""), h))
+        )
+
+    whole = lambda x: F.concat(url_origin(x), _path(x), _query(x))
+    return _let(base, lambda u: F.when(_is_url(u), _let(clean, lambda h: _let(absolute(h, u), whole))))
 
 
 def ip_is_private(c: Column) -> Column:
