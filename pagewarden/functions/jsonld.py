@@ -27,8 +27,8 @@ def nodes_of(block: str) -> tuple[str, list[dict]]:
     if any(not isinstance(x, dict) for x in items):
         return "not_object", []
     nodes = [n for x in items for n in (x["@graph"] if isinstance(x.get("@graph"), list) else [x])]
-    typed = any(isinstance(n, dict) and n.get("@type") for n in nodes)
-    status = "valid" if any(x.get("@context") for x in items) and typed else "missing_context_or_type"
+    typed = any(isinstance(n, dict) and "@type" in n for n in nodes)
+    status = "valid" if any("@context" in x for x in items) and typed else "missing_context_or_type"
     out = []
     for n in nodes:
         if not isinstance(n, dict):

@@ -34,7 +34,7 @@ def slug(c: Column, prefix: str = "") -> Column:
 
 def table_cell(c: Column) -> Column:
     """Safe in a Markdown table: null is '-', pipes are escaped, line breaks become spaces."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(c, r"\|", r"\\\\|"), r"\n", " "), F.lit("-"))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(c, r"\|", r"\\|"), r"\n", " "), F.lit("-"))
 
 
 def percent_encoded(c: Column) -> Column:

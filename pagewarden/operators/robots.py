@@ -63,9 +63,9 @@ def robots_rules(docs: DataFrame) -> DataFrame:
 
 def pattern_regex(pattern: Column) -> Column:
     """A path pattern with * and a final $ as an anchored expression."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|$])", r"\\\\$1")
+    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|$])", r"\\$1")
     opened = F.regexp_replace(quoted, r"\*", ".*")
-    return F.concat(F.lit("^"), F.when(pattern.endswith("$"), F.regexp_replace(opened, r"\\\\\$$", "\\$")).otherwise(opened))
+    return F.concat(F.lit("^"), F.when(pattern.endswith("$"), F.regexp_replace(opened, r"\\\$$", r"\$")).otherwise(opened))
 
 
 def _decide(asked: DataFrame, rules: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
