@@ -252,7 +252,7 @@ SQL["rem16_acknowledge"] = VQ("SELECT CASE WHEN (site, finding_key) IN (SELECT (
 SQL["rem16_acknowledge"] = VQ("SELECT CASE WHEN a THEN 'acknowledged' ELSE 'open' END AS status, count(*) AS n FROM (SELECT bool_or(page_id % 3 = 0) OVER (PARTITION BY site, finding_key) AS a FROM v) GROUP BY ALL")
 SQL["rem17_policy"] = "SELECT page_id, page_id % 5 <> 0 AND page_id % 7 <> 0 AS allowed, CASE WHEN page_id % 5 = 0 THEN 'archived' WHEN page_id % 7 = 0 THEN 'disabled' END AS reason, concat_ws(',', CASE WHEN page_id % 2 <> 0 THEN 'no license' END, CASE WHEN page_id % 3 <> 0 THEN 'no contributing notes' END) AS warnings FROM pages"
 SQL["rem18_request_states"] = "SELECT CASE WHEN page_id % 4 = 0 THEN 'merged' WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'closed' ELSE 'merged' END ELSE 'open' END AS state, count(*) AS n FROM pages GROUP BY 1"
-SQL["fn_text"] = r"SELECT doc_id, CAST(least(500, length(coalesce(text, ''))) AS BIGINT) AS excerpt_length, 'x/' || regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'a b?k=***&***' AS masked, '</script>' AS safe FROM documents"
+SQL["fn_text"] = r"SELECT doc_id, CAST(least(500, length(coalesce(text, ''))) AS BIGINT) AS excerpt_length, 'x/' || regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'a b?k=***&***' AS masked, '\u003c/script>' AS safe FROM documents"
 SQL["fn_table_cell"] = r"SELECT doc_id, sha256(coalesce(replace(replace(text, '|', '\|'), chr(10), ' '), '-')) AS cell_sha256 FROM documents"
 SQL["fn_numbers"] = "SELECT event_id, CAST(round(value) AS BIGINT) AS rounded, value / 100 AS hundredth FROM events"
 SQL["udf1_extra_rule"] = S("SELECT url, 'X-TEAPOT' AS rule_id, 'moved' AS current_value FROM sn WHERE status_code = 301")

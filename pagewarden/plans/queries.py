@@ -442,6 +442,6 @@ def _str3(s, d):
 
 @query("str4_stream_vitals")
 def _str4(s, d):
-    e = fx.load(s, d, "events").select("ts", F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("url"), F.col("value").alias("lcp_ms"))
+    e = fx.load(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("url"), F.col("value").alias("lcp_ms"))
     stream, path = _replay(s, e, "vitals")
     return _drain(streams.stream_vitals(stream, "1 day"), path).select(F.unix_timestamp("window_start").alias("window_start"), "url", "runs")
