@@ -15,7 +15,11 @@ from ..streaming import streams
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def now():
+    """A fixed instant. Columns are made when a query runs: there may be no session when this module is imported."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def query(name: str):
@@ -71,7 +75,7 @@ def extract(s: SparkSession, d: str) -> DataFrame:
 def _projects(s, d):
     old = fx.sites(s, d).filter("rank % 2 = 0").select(F.col("rank").cast("long").alias("id"), F.col("site").alias("target"))
     old = old.unionByName(old.filter("id % 4 = 0").select((F.col("id") + 1000).alias("id"), "target"))
-    out = tables.find_or_create_projects(old, fx.sites(s, d).select(F.col("site").alias("target")), NOW)
+    out = tables.find_or_create_projects(old, fx.sites(s, d).select(F.col("site").alias("target")), now())
     return out.select("target", F.when(~F.col("created"), F.col("id")).alias("id"), "created")
 
 
@@ -85,7 +89,7 @@ def runs(s: SparkSession, d: str) -> DataFrame:
 @query("snk7_runs")
 def _runs(s, d):
     r = runs(s, d)
-    closed = tables.close_runs(r, r.filter("finished_at is null").select("id", NOW.alias("finished_at")))
+    closed = tables.close_runs(r, r.filter("finished_at is null").select("id", now().alias("finished_at")))
     return closed.groupBy("project_id").agg(F.count("finished_at").alias("finished"), F.max(F.unix_timestamp("finished_at")).alias("last_at"))
 
 
@@ -121,9 +125,9 @@ _add("url2_origin", lambda s, d: _P(s, d).select("page_id", urls.url_origin(F.co
 _add("url3_path", lambda s, d: _P(s, d).select("page_id", urls.url_path(F.col("url")).alias("path")))
 _add("url4_resolve", lambda s, d: _P(s, d).select("page_id", urls.resolve_href(F.lit("../x/./y?a=1#f"), F.col("url")).alias("relative"), urls.resolve_href(F.lit("/z"), F.col("url")).alias("rooted"), urls.resolve_href(F.lit("mailto:a@b"), F.col("url")).alias("other")))
 _IPS = ["127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.169.254", "0.0.0.0", "100.64.0.1", "255.255.255.255", "8.8.8.8", "93.184.216.34", "0177.0.0.1", "2130706433"]
-_IP = F.element_at(F.array(*map(F.lit, _IPS)), (F.col("page_id") % len(_IPS) + 1).cast("int"))
-_add("url5_safe", lambda s, d: _P(s, d).select("page_id", urls.url_is_safe(F.concat(F.when(F.col("page_id") % 3 == 0, "ftp").otherwise("http"), F.lit("://"), _IP, F.lit("/x")))["ok"].alias("ok")))
-_add("url6_private_ip", lambda s, d: _P(s, d).select("page_id", urls.ip_is_private(_IP).alias("private")))
+_ip = lambda: F.element_at(F.array(*map(F.lit, _IPS)), (F.col("page_id") % len(_IPS) + 1).cast("int"))
+_add("url5_safe", lambda s, d: _P(s, d).select("page_id", urls.url_is_safe(F.concat(F.when(F.col("page_id") % 3 == 0, "ftp").otherwise("http"), F.lit("://"), _ip(), F.lit("/x")))["ok"].alias("ok")))
+_add("url6_private_ip", lambda s, d: _P(s, d).select("page_id", urls.ip_is_private(_ip()).alias("private")))
 _add("url7_logical", lambda s, d: _P(s, d).select("page_id", urls.logical_url(F.col("url")).alias("logical")))
 _add("url8_finding_key", lambda s, d: _P(s, d).select("page_id", urls.finding_key(F.col("url"), F.lit("R-TITLE-MISSING"), F.lit(1)).alias("finding_key")))
 
@@ -157,8 +161,8 @@ RULE_IDS = [
 
 def _rule_query(rule_id: str):
     lab = rule_id.startswith("R-CWV")
-    value = F.lit(None).cast("string") if rule_id in _QUIET else F.lower("current_value")
-    return lambda s, d: violations(s, d, lab=lab).filter(F.col("rule_id") == rule_id).select("url", "rule_id", "category", "severity", value.alias("current_value"))
+    value = lambda: F.lit(None).cast("string") if rule_id in _QUIET else F.lower("current_value")
+    return lambda s, d: violations(s, d, lab=lab).filter(F.col("rule_id") == rule_id).select("url", "rule_id", "category", "severity", value().alias("current_value"))
 
 
 def rule_key(i: int) -> str:
@@ -248,10 +252,10 @@ _add("rob2_url_allowed", lambda s, d: may(s, d).select("site", "url", "allowed")
 _add("rob3_ai_bot_access", lambda s, d: access(s, d).select("site", "token", "purpose", "allowed", "robots_found"))
 _add("smp1_entries", lambda s, d: sitemap.sitemap_entries(fx.sitemap_doc(s, d)).groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n")))
 _add("fld1_field_vitals", lambda s, d: vitals.field_vitals(fx.field_payloads(s, d)).select("url", "field_lcp_ms", "field_cls", "field_inp_ms"))
-_SEARCH = F.concat(F.lit('{"rows":[{"clicks":'), F.col("event_id").cast("string"), F.lit(',"impressions":"x","position":'), F.col("value").cast("string"), F.lit("}]}"))
-_add("fld2_search_metrics", lambda s, d: vitals.search_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_scope"), F.when(F.col("event_id") % 7 != 0, _SEARCH).otherwise("{}").alias("payload"))))
-_TRAFFIC = F.concat(F.lit('{"rows":[{"metricValues":["'), F.col("event_id").cast("string"), F.lit('",{"value":"'), F.col("user_id").cast("string"), F.lit('"}]}]}'))
-_add("fld3_traffic_metrics", lambda s, d: vitals.traffic_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_id"), F.when(F.col("event_id") % 7 != 0, _TRAFFIC).otherwise("{}").alias("payload"))))
+_search = lambda: F.concat(F.lit('{"rows":[{"clicks":'), F.col("event_id").cast("string"), F.lit(',"impressions":"x","position":'), F.col("value").cast("string"), F.lit("}]}"))
+_add("fld2_search_metrics", lambda s, d: vitals.search_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_scope"), F.when(F.col("event_id") % 7 != 0, _search()).otherwise("{}").alias("payload"))))
+_traffic = lambda: F.concat(F.lit('{"rows":[{"metricValues":["'), F.col("event_id").cast("string"), F.lit('",{"value":"'), F.col("user_id").cast("string"), F.lit('"}]}]}'))
+_add("fld3_traffic_metrics", lambda s, d: vitals.traffic_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_id"), F.when(F.col("event_id") % 7 != 0, _traffic()).otherwise("{}").alias("payload"))))
 
 # Joins
 _add("join1_lab", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), vitals.lab_vitals(fx.lab_runs(s, d))).select("page_id", "lcp_ms"))
@@ -280,7 +284,7 @@ _add("win6_site_titles", lambda s, d: remediation.site_titles(fx.context(s, d, l
 _add("win7_first_discovery", lambda s, d: linkgraph.first_discovery(fx.edges(s, d).select("site", F.col("link").alias("url"), F.lit(0).cast("long").alias("parent_ord"), F.col("pos").cast("long").alias("pos"))).select("site", "url", "pos"))
 _add("win8_page_budget", lambda s, d: linkgraph.within_budget(fx.pages(s, d).select("site", "url", F.lit(0).alias("parent_ord"), F.col("page_id").alias("pos")), 3).select("site", "url", "n"))
 _add("win9_sitemap_caps", lambda s, d: sitemap.sitemap_urls(fx.sitemap_doc(s, d), fx.sites(s, d).select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("ord")), 2, 1).select("site", "ord", "url", "truncated"))
-_add("win10_schedule", lambda s, d: linkgraph.crawl_schedule(fx.pages(s, d).select("site", "url", F.col("page_id").alias("ord")), NOW, 2.0).select("url", "ord", F.unix_millis("starts_at").alias("starts_ms")))
+_add("win10_schedule", lambda s, d: linkgraph.crawl_schedule(fx.pages(s, d).select("site", "url", F.col("page_id").alias("ord")), now(), 2.0).select("url", "ord", F.unix_millis("starts_at").alias("starts_ms")))
 _add("win11_history", lambda s, d: tables.history(fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))).join(findings(s, d, 1).select("finding_key", "id"), "finding_key").select("id", "kind")))
 _add("win12_listing", lambda s, d: fi.decorate(fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))), findings(s, d, 1)).select("site", "rule_id", "url", "place"))
 
@@ -340,11 +344,11 @@ def applied(s: SparkSession, d: str, outcomes: bool = False) -> DataFrame:
     p = decided(s, d).select("*", F.lit(None).cast("timestamp").alias("applied_at"), F.lit(None).cast("string").alias("backup"), F.lit("open").alias("finding_status"))
     if not outcomes:
         return p
-    done = decisions(s, d).select("finding_key", NOW.alias("applied_at"), F.lit("b").alias("backup"))
+    done = decisions(s, d).select("finding_key", now().alias("applied_at"), F.lit("b").alias("backup"))
     return remediation.mark_applied(p, done)
 
 
-_C = F.col("rule_id") == "R-CANONICAL-MISSING"
+_C = "rule_id = 'R-CANONICAL-MISSING'"
 _add("rem11_decide", lambda s, d: decided(s, d).filter(_C).groupBy("approval_status", "changed").agg(F.count(F.lit(1)).alias("n")))
 _add("rem12_apply", lambda s, d: applied(s, d, True).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
 _add("rem13_rollback", lambda s, d: remediation.rollback(applied(s, d, True), decisions(s, d)).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
