@@ -47,6 +47,8 @@ FOLDS = 5
 COUNTS = [f"{x}{k}" for k in range(FOLDS) for x in ("fine", "bad")]
 #: Log-likelihood ratio that a lexicon entry needs: about one in 20,000 tokens passes by chance.
 EVIDENCE = 10.0
+#: Counts that a task holds before it sends them on, and tokens in a batch of them.
+HELD, SENT = 400_000, 20_000
 #: Rows that the uncalibrated curve counts for.
 PRIOR = 50
 
@@ -195,15 +197,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [Counter() for _ in COUNTS]
         n = [0] * len(COUNTS)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys = list(set().union(*both))
+            for at in range(0, len(keys), SENT):
+                some = keys[at : at + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[x] for x in some], pa.int64()) for c in both)], ["token", *COUNTS])
+            for c in both:
+                c.clear()
+
         for b in batches:
             for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 k = 2 * (h % FOLDS) + (y > 0)
                 both[k].update(tokens(words_of(t.as_py() or "")))
                 n[k] += 1
-        keys = list(set().union(*both[1::2]))
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, ROWS]), *(pa.array([*(c[x] for x in keys), k], pa.int64()) for c, k in zip(both, n, strict=True))], ["token", *COUNTS])
+                if sum(map(len, both)) > HELD:
+                    yield from sent()
+        yield from sent()
+        yield pa.RecordBatch.from_arrays([pa.array([ROWS]), *(pa.array([k], pa.int64()) for k in n)], ["token", *COUNTS])
 
-    # Tokens of no toxic row in a task are left out there; their count of fine rows is then a little low, never high.
+    # Every token of every labelled row is counted: what a task has of it may be fine rows alone.
     df = rows.mapInArrow(counted, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS))
     bads, rows_of = sum(F.col(c) for c in COUNTS[1::2]), sum(F.col(c) for c in COUNTS)
     top = df.filter(bads >= 4).orderBy(F.col("token") != ROWS, (bads / rows_of * F.log1p(bads)).desc(), "token").limit(max_lexicon * 8).collect()
@@ -232,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
         for b in batches:
             yield pd.DataFrame({"x": [features(t, lexicons[h % FOLDS]) for t, h in zip(b["text"], b["h"], strict=True)], "y": b["y"], "h": b["h"]})
 
-    sample = rows.mapInPandas(featured, "x array<double>, y double, h long").toPandas().sort_values("h", kind="stable")
+    sample = rows.mapInPandas(featured, "x array<double>, y double, h long").toPandas().sort_values(["h", "y"], kind="stable")
     x, y, part = np.array(sample["x"].tolist()), sample["y"].to_numpy(), (sample["h"].to_numpy() // FOLDS) % 4 == 0
     if len(set(y[~part])) < 2 or len(set(y[part])) < 2:
         part = np.zeros(len(y), bool)

@@ -259,6 +259,22 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_model_is_the_same_for_any_partitions(spark):
+    r = random.Random(4)
+    fine, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["moron", "clown", "scum"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [r.choice(fine) for _ in range(40)] + ([r.choice(bad) for _ in range(3)] if i % 6 == 0 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, many = (toxicity.fit(docs.repartition(n), labels) for n in (1, 200))
+    assert set(one.lexicon) & set(bad) == set(bad) and not set(one.lexicon) & set(fine)
+    assert one.lexicon == many.lexicon
+    texts = [t for _, t in rows]
+    assert one.scores(texts).tolist() == many.scores(texts).tolist()
+
+
 def test_empty_tables(spark):
     none = odd_docs(spark).limit(0)
     assert substring_dedup.dedup_words(none).count() == suffix_dedup.dedup_bytes(none).count() == jaccard_join.near_duplicates(none).count() == 0
