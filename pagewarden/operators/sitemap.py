@@ -21,31 +21,43 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     return d.select("site", "sitemap_url", "kind", F.posexplode(locs).alias("ord", "loc"))
 
 
-def sitemap_urls(docs: DataFrame, roots: DataFrame, max_pages: int = 200, max_children: int = 50, max_levels: int = 5) -> DataFrame:
-    """(site, ord, url, truncated): all URLs under each site's roots, depth first in document order.
-
-    Levels are joined one after another (at most max_levels); a path of positions keeps the depth-first order. An index
-    opens its first max_children children; a site keeps its first max_pages URLs. A document met again under itself is
-    not opened again.
-    """
-    entries = sitemap_entries(docs)
-    at = F.row_number().over(Window.partitionBy("site", "sitemap_url").orderBy("ord"))
-    entries = entries.withColumn("pos", at)
+def _met(entries: DataFrame, roots: DataFrame, max_children: int | None, max_levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """(site, path, url) under the roots, and the sites with an index of over max_children children. entries: with pos."""
     frontier = roots.select("site", "sitemap_url", F.array(F.col("ord").cast("int")).alias("path"), F.array("sitemap_url").alias("opened"))
     found, cut = None, None
     for _ in range(max_levels):
         met = frontier.join(entries, ["site", "sitemap_url"])
         urls = met.filter("kind = 'urlset'").select("site", F.concat("path", F.array("pos")).alias("path"), F.col("loc").alias("url"))
+        found = urls if found is None else found.unionByName(urls)
         children = met.filter("kind = 'index'")
-        over = children.filter(F.col("pos") > max_children).select("site").distinct()
-        found, cut = (urls, over) if found is None else (found.unionByName(urls), cut.unionByName(over))
-        nxt = children.filter((F.col("pos") <= max_children) & ~F.array_contains("opened", F.col("loc")))
+        if max_children is not None:
+            over = children.filter(F.col("pos") > max_children).select("site").distinct()
+            cut = over if cut is None else cut.unionByName(over)
+            children = children.filter(F.col("pos") <= max_children)
+        nxt = children.filter(~F.array_contains("opened", F.col("loc")))
         frontier = nxt.select("site", F.col("loc").alias("sitemap_url"), F.concat("path", F.array("pos")).alias("path"), F.concat("opened", F.array("loc")).alias("opened"))
+    return found, cut
+
+
+def sitemap_urls(docs: DataFrame, roots: DataFrame, max_pages: int = 200, max_children: int = 50, max_levels: int = 5) -> DataFrame:
+    """(site, ord, url, truncated): the URLs under each site's roots, depth first in document order, within a crawl's budget.
+
+    Levels are joined one after another (at most max_levels); a path of positions keeps the depth-first order. An index
+    opens its first max_children children; a site keeps its first max_pages URLs. A document met again under itself is
+    not opened again.
+    """
+    at = F.row_number().over(Window.partitionBy("site", "sitemap_url").orderBy("ord"))
+    found, cut = _met(sitemap_entries(docs).withColumn("pos", at), roots, max_children, max_levels)
     ranked = found.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("path")))
     ranked = ranked.withColumn("more", F.max("ord").over(Window.partitionBy("site")) >= max_pages).join(cut.distinct().withColumn("wide", F.lit(True)), "site", "left")
     return ranked.filter(F.col("ord") <= max_pages).select("site", "ord", "url", (F.col("more") | F.coalesce("wide", F.lit(False))).alias("truncated"))
 
 
+def all_sitemap_urls(docs: DataFrame, roots: DataFrame, max_levels: int = 5) -> DataFrame:
+    """(site, ord, url): every URL under each site's roots, without a budget; ord is the path of positions, nothing is ranked."""
+    return _met(sitemap_entries(docs).withColumn("pos", F.col("ord") + 1), roots, None, max_levels)[0].select("site", F.col("path").alias("ord"), "url")
+
+
 def sitemap_gap(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """(site, run_id, path) of crawled pages of status 200 whose path no sitemap URL of the site has."""
     crawled = pages.filter("status_code = 200").select("site", "run_id", url_path(F.col("url")).alias("path")).filter("path is not null").distinct()

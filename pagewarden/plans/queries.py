@@ -187,12 +187,21 @@ _add("r24_ai_crawler_policy", lambda s, d: rules.ai_policy_rule(robots.policy_su
 
 
 def gap(s: SparkSession, d: str) -> DataFrame:
-    return sitemap.sitemap_gap(fx.crawl_snapshot(s, d), listed(s, d))
+    return sitemap.sitemap_gap(fx.crawl_snapshot(s, d), all_listed(s, d))
+
+
+def sitemap_roots(s: SparkSession, d: str) -> DataFrame:
+    return fx.sites(s, d).select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("ord"))
 
 
 def listed(s: SparkSession, d: str) -> DataFrame:
-    roots = fx.sites(s, d).select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("ord"))
-    return sitemap.sitemap_urls(fx.sitemap_doc(s, d), roots)
+    """What a crawl's budget takes of the sitemaps."""
+    return sitemap.sitemap_urls(fx.sitemap_doc(s, d), sitemap_roots(s, d))
+
+
+def all_listed(s: SparkSession, d: str) -> DataFrame:
+    """All that the sitemaps list: a page is missing only if no entry has it."""
+    return sitemap.all_sitemap_urls(fx.sitemap_doc(s, d), sitemap_roots(s, d))
 
 
 _add("r25_sitemap_missing_url", lambda s, d: rules.sitemap_rule(gap(s, d).groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("missing"))).select("site", "rule_id", "severity", "current_value"))
@@ -265,7 +274,7 @@ _add("join4_bots", lambda s, d: access(s, d).groupBy("token").agg(F.count_if("al
 _add("join5_regressions", lambda s, d: fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))).select("finding_key", "kind"))
 _add("join5b_resolved", lambda s, d: fi.resolved(findings(s, d, 1), fi.snapshot(findings(s, d))).select("finding_key"))
 _add("join6_sitemap_gap", lambda s, d: gap(s, d).select("site", "path"))
-_add("join6b_proposed_urls", lambda s, d: sitemap.proposed_urls(gap(s, d), listed(s, d)).select("site", "path", "url"))
+_add("join6b_proposed_urls", lambda s, d: sitemap.proposed_urls(gap(s, d), all_listed(s, d)).select("site", "path", "url"))
 _add("join7_applicable", lambda s, d: remediation.applicable(applied(s, d), findings(s, d)).select("finding_key", "rule_id"))
 _add("join8_catalog", lambda s, d: findings(s, d).join(F.broadcast(remediation.catalog(s)), "rule_id", "left").select("finding_key", "rule_id", "risk_level"))
 _add("join9_page_values", lambda s, d: findings(s, d).filter("rule_id = 'R-CANONICAL-JS-ONLY'").select("site", "url").join(fx.context(s, d, lab=False).select("site", "url", F.col("rendered.canonical").alias("canonical")), ["site", "url"]))
