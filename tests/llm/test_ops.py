@@ -233,6 +233,23 @@ def test_main_text(spark):
         assert got == {(k, t, len(t)) for k, t in want.items()}
 
 
+def test_constant_blocks_go_whatever_the_first_page_is(spark):
+    one = lambda k: f"<body><div class=c1><div>Welcome to all</div></div><div class=c2><div>The text {k} of one</div><div>All is constant here</div></div><div class=c3>Rights kept</div></body>"
+    two = lambda k: f"<body><table><tr><td>Old layout</td></tr></table><div class=b><div>Another text {k}</div></div><div class=z>Made long ago</div></body>"
+    html = ["<body><pre>404: not here</pre></body>"] + [one(k) for k in range(1, 6)] + [two(k) for k in range(6, 10)]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    want = {0: "404: not here"} | {k: f"The text {k} of one" for k in range(1, 6)} | {k: f"Another text {k}" for k in range(6, 10)}
+    for most in (5_000, 0):
+        assert {r["page_id"]: r["text"] for r in htmltext.main_text(df, most).collect()} == want
+
+
+def test_nodes_that_no_reference_has_are_slots_by_path(spark):
+    # Each page has a skeleton of its own, and more of them than there are references.
+    html = [f"<body><div class=a>{''.join(f'<div class=v{chr(97 + j)}><p>Text {k} {j}</p></div>' for j in range(k, k + 2))}</div>{'<section>Same on all</section>' if k else ''}</body>" for k in range(9)]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(df).collect()} == {k: f"Text {k} {k}\nText {k} {k + 1}" for k in range(9)}
+
+
 def test_tree_matching_keeps_order():
     assert htmltext.aligned("a(b c d)", "a(b d)") == (0, 1, -1, 2) and htmltext.aligned("x", "y") == (-1,)
 
