@@ -250,6 +250,16 @@ def test_nodes_that_no_reference_has_are_slots_by_path(spark):
     assert {r["page_id"]: r["text"] for r in htmltext.main_text(df).collect()} == {k: f"Text {k} {k}\nText {k} {k + 1}" for k in range(9)}
 
 
+def test_names_of_anchors_keep_article_text():
+    body = (
+        '<header id="top"><h1>Title</h1></header><div class="article-header"><h2 id="related-work">Related work</h2></div><section id="discussion"><p>We talk</p></section>'
+        '<p id="legal-basis">Law <math><mi>x</mi><annotation>\\x</annotation></math></p><div class="header">Part</div><div class="big Comments">me too</div><div role="search">find</div><ul class="share">s</ul><p hidden>h</p><nav>n</nav>'
+    )
+    for tag in ("article", "main"):
+        page = f'<body><header>site</header><div id="legal-notes">l</div><{tag}>{body}</{tag}></body>'
+        assert htmltext.extract(page, "#", {}) == "Title\nRelated work\nWe talk\nLaw x\nPart"
+
+
 def test_tree_matching_keeps_order():
     assert htmltext.aligned("a(b c d)", "a(b d)") == (0, 1, -1, 2) and htmltext.aligned("x", "y") == (-1,)
 
