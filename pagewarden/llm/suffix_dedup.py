@@ -5,7 +5,8 @@ mergesorted; two suffixes are compared by the length of their common extension,
 polynomial hashes, so a comparison takes a logarithmic number of hash comparisons. In sorted order the common extension
 to the right of any two is the least of the neighbours' between them; the extension to the left is a binary search over
 the same hashes. Two regions share the windows between left + right >= length; the bytes of each such match are
-compared before it counts, so a hash collision cannot remove anything. Where an anchor has more than PAIRS regions, all
+compared before it counts, so a hash collision between distinct regions cannot remove anything there. Bytes are not
+compared where `spans.repeated` takes regions as equal by their 64-bit hash, and in its counted windows (128 bits). Where an anchor has more than PAIRS regions, all
 their windows are sorted by prefix hash instead, with the same comparison of bytes; beyond GROUP regions the anchor is
 never gathered and takes the counted-windows way of `spans.repeated`.
 
