@@ -226,7 +226,7 @@ _add("agg3_labels", lambda s, d: fi.severity_summary(violations(s, d, lab=False)
 _add("agg4_baseline", lambda s, d: fi.snapshot(findings(s, d, 1)).select("finding_key", "status", "severity"))
 _add("agg5_search_summary", lambda s, d: vitals.search_summary(fx.search_daily(s, d), fx.AS_OF).select("clicks", "impressions", F.round("position", 6).alias("position")))
 _add("agg5b_traffic_summary", lambda s, d: vitals.traffic_summary(fx.traffic_daily(s, d), fx.AS_OF))
-_add("agg6_all_pages_lack_jsonld", lambda s, d: fx.crawl_snapshot(s, d).filter("status_code = 200").groupBy("site").agg(F.bool_and(F.col("k") % 8 == 0).alias("every"), F.count(F.lit(1)).alias("n")))
+_add("agg6_all_pages_lack_jsonld", lambda s, d: rules.jsonld_lack(fx.crawl_snapshot(s, d), violations(s, d, lab=False)).select("site", "every", "n"))
 _add("agg7_token_lists", lambda s, d: robots.policy_summary(access(s, d)).select("site", "robots_found", "summary"))
 _add("agg9_truncation", lambda s, d: linkgraph.crawl_summary(reach(s, d, 5), 5).select("site", "truncated"))
 _add("agg10_skipped", lambda s, d: linkgraph.crawl_summary(reach(s, d, 200)).select("site", "skipped", "visited"))
