@@ -48,7 +48,7 @@ CLOSE = 100  # comparisons for each node (50,000 nodes at least) that the last r
 
 def sets_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 52-bit shingle hashes, ascending within each document; the document of each; sizes."""
-    h, _, w = tv.words(raw, off, lower=True)
+    h, _, _, w = tv.words(raw, off, lower=True)
     docs, n = len(off) - 1, np.diff(w)
     p = tv.prefix(h, 0)
     doc = np.repeat(np.arange(docs), n)

@@ -5,7 +5,7 @@ of all of it could not be broadcast. `spans.repeated` files text under content-d
 anchor's distinct regions hold, bounded in number. The shard's automaton goes to the task that has the shard's regions,
 where they are streamed through it for matching statistics, cut to `length` words: the state of the last `length`
 words tells the smallest doc_id in which they occur. Words are compared as words, never as hashes, in the automaton.
-An anchor whose regions are too many for one task takes the counted-windows way of `spans.repeated`.
+An anchor of more than GROUP distinct regions takes the counted-windows way of `spans.repeated`, which is exact too.
 
 Defined cases: null and empty texts have no words and lose none; a null doc_id counts as larger than all others; rows
 of the same doc_id never remove one another's words; repeated rows get the same result each; documents of fewer than
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import docs_of, row_key, table
-from .spans import Runs, merged, repeated
+from .spans import BODY, MN, Runs, merged, repeated
 
 LENGTH = 50
 GRAM = 20
@@ -100,9 +100,9 @@ class Automaton:
 def solve(groups: list[list[tuple]]) -> Runs:
     for regions in groups:
         automaton = Automaton()
-        bodies = [r[2].split() for r in regions]
+        bodies = [r[BODY].split() for r in regions]
         for r, body in zip(regions, bodies, strict=True):
-            automaton.add(body, r[6])
+            automaton.add(body, r[MN])
         automaton.close()
         for r, body in zip(regions, bodies, strict=True):
             runs: list[tuple[int, int, int]] = []
@@ -111,7 +111,7 @@ def solve(groups: list[list[tuple]]) -> Runs:
                     runs[-1] = (runs[-1][0], s + 1, m)
                 else:
                     runs.append((s, s + 1, m))
-            yield r[0], r[1], runs
+            yield r, runs
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

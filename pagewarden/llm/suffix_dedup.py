@@ -2,13 +2,14 @@
 
 `spans.repeated` brings the distinct regions under one anchor together. Their suffixes that start at the anchor are
 mergesorted; two suffixes are compared by the length of their common extension, found by binary search over prefix
-polynomial hashes, so a comparison takes a logarithmic number of hash comparisons. In sorted order the common extension
-to the right of any two is the least of the neighbours' between them; the extension to the left is a binary search over
-the same hashes. Two regions share the windows between left + right >= length; the bytes of each such match are
-compared before it counts, so a hash collision between distinct regions cannot remove anything there. Bytes are not
-compared where `spans.repeated` takes regions as equal by their 64-bit hash, and in its counted windows (128 bits). Where an anchor has more than PAIRS regions, all
-their windows are sorted by prefix hash instead, with the same comparison of bytes; beyond GROUP regions the anchor is
-never gathered and takes the counted-windows way of `spans.repeated`.
+polynomial hashes, so a comparison takes a logarithmic number of hash comparisons. Neighbours in sorted order whose
+common extension is k or more share the k bytes from the anchor on, so runs of them are the regions that do. A window of
+`length` bytes with x bytes left of the anchor occurs again where two regions of such a run (k = length - x) have equal
+prefix hashes of the x bytes left of the anchor, too. A region is then compared byte by byte with the first that it
+shares windows with, once for all neighbouring windows; should equal hashes of different bytes turn up, the windows of
+that anchor are compared as bytes instead. The work is the same for an anchor of two regions and of GROUP regions: it
+grows with their bytes, not with their pairs. An anchor of more than GROUP distinct regions takes the counted-windows
+way of `spans.repeated`, which is exact too and gathers nothing.
 
 Defined cases: null and empty texts have no bytes; repeated rows are rows of their own, so they remove each other's
 repeated bytes; a string that occurs twice in one document is removed in both places, overlaps included; texts of
@@ -26,13 +27,12 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .shared import docs_of, row_key, table
-from .spans import Runs, merged, repeated
+from .spans import AT, BODY, CNT, N, Runs, merged, repeated
 
 LENGTH = 400
 GRAM = 128
-#: Distinct regions of one anchor that a task may gather (11 MB of text), and those that are compared pair by pair.
-GROUP = 20_000
-PAIRS = 256
+#: Distinct regions of one anchor that a task may gather: at most 2.7 MB of text.
+GROUP = 4096
 
 
 class Suffixes:
@@ -45,6 +45,10 @@ class Suffixes:
         self.anchor = self.start + at
         self.bytes = np.frombuffer(self.raw, np.uint8)
         self.p = tv.prefix(tv.byte_table(0)[self.bytes], 0)
+        self.inverse = tv.powers(len(self.p), 0, True)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.p[end] - self.p[start]) * self.inverse[start]
 
     def right(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension from the anchors to the right."""
@@ -52,18 +56,14 @@ class Suffixes:
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.end[a] - pa_, self.end[b] - pb)
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            same = tv.window_hash(self.p, pa_, pa_ + mid, 0) == tv.window_hash(self.p, pb, pb + mid, 0)
+            same = self.hash(pa_, pa_ + mid) == self.hash(pb, pb + mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def left(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pa_, pb = self.anchor[a], self.anchor[b]
-        lo, hi = np.zeros(len(a), np.int64), np.minimum(pa_ - self.start[a], pb - self.start[b])
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = tv.window_hash(self.p, pa_ - mid, pa_, 0) == tv.window_hash(self.p, pb - mid, pb, 0)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+    def before_anchor(self, a: np.ndarray, x: int) -> np.ndarray:
+        """Hashes of the x bytes left of the anchors."""
+        at = self.anchor[a]
+        return self.hash(at - x, at)
 
     def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Is suffix a smaller than suffix b? A suffix that ends first is."""
@@ -102,76 +102,67 @@ class Suffixes:
         return order
 
 
-def by_windows(regions: list[tuple]) -> Runs:
-    """For an anchor of many regions: sorts all their windows by prefix hash, and compares the bytes of equal hashes."""
-    raw = b"".join(r[2] for r in regions)
-    sizes = np.array([len(r[2]) for r in regions])
-    n = np.array([r[3] for r in regions], np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = (np.cumsum(sizes) - sizes)[row] + s
-    h = tv.window_hash(tv.prefix(tv.byte_table(0)[np.frombuffer(raw, np.uint8)], 0), start, start + LENGTH, 0)
-    order = np.argsort(h, kind="stable")
-    new = np.append(True, h[order][1:] != h[order][:-1])
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    hit = np.zeros(len(h), bool)
-    for x, y in zip(order[~new].tolist(), first[~new].tolist(), strict=True):
-        a, b = start[x], start[y]
-        if raw[a : a + LENGTH] == raw[b : b + LENGTH]:
-            hit[x] = hit[y] = True
-    hit |= np.array([r[5] > 1 for r in regions])[row]
-    edge = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (row[1:] != row[:-1])))
-    end = np.flatnonzero(hit & np.append(~hit[1:] | (row[1:] != row[:-1]), True))
-    runs: dict[int, list] = {}
-    for i, j in zip(edge.tolist(), end.tolist(), strict=True):
-        runs.setdefault(int(row[i]), []).append((int(s[i]), int(s[j]) + 1, 0))
-    for k, x in runs.items():
-        yield regions[k][0], regions[k][1], x
+def by_bytes(regions: list[tuple]) -> list[list[tuple[int, int]]]:
+    """Repeated starts of each region, by its windows' bytes."""
+    seen: dict[bytes, int] = {}
+    for r in regions:
+        for i in range(r[N]):
+            w = r[BODY][i : i + LENGTH]
+            seen[w] = seen.get(w, 0) + r[CNT]
+    return [[(i, i + 1) for i in range(r[N]) if seen[r[BODY][i : i + LENGTH]] > 1] for r in regions]
 
 
-def solve(groups: list[list[tuple]]) -> Runs:
-    for g in groups:
-        if len(g) > PAIRS:
-            yield from by_windows(g)
-    groups = [g for g in groups if len(g) <= PAIRS]
-    if groups:
-        yield from by_suffixes(groups)
+def shared(s: Suffixes, group: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(region, other region, from, to): windows with from..to bytes left of the anchor are in both, by their hashes."""
+    order = s.sort(group)
+    near = np.full(len(order), -1)
+    i = np.flatnonzero(group[order[:-1]] == group[order[1:]])
+    near[i] = s.right(order[i], order[i + 1])
+    least, most = (at - n + 1)[order], at[order]
+    mine, mate, left = [], [], []
+    for x in range(int(least.min()), int(most.max()) + 1):
+        run = np.cumsum(np.append(0, near[:-1] < LENGTH - x))
+        p = np.flatnonzero((least <= x) & (x <= most))
+        h = s.before_anchor(order[p], x)
+        by = np.lexsort((h, run[p]))
+        p, h = p[by], h[by]
+        new = np.append(True, (h[1:] != h[:-1]) | (run[p[1:]] != run[p[:-1]]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(p)))
+        first = np.repeat(start, size)
+        other = np.where(new, np.minimum(first + 1, len(p) - 1), first)
+        hit = np.repeat(size > 1, size)
+        mine.append(order[p[hit]])
+        mate.append(order[p[other[hit]]])
+        left.append(np.full(int(hit.sum()), x))
+    mine, mate, left = (np.concatenate(c) for c in (mine, mate, left))
+    by = np.lexsort((left, mate, mine))
+    mine, mate, left = mine[by], mate[by], left[by]
+    new = np.append(True, (mine[1:] != mine[:-1]) | (mate[1:] != mate[:-1]) | (left[1:] != left[:-1] + 1)) if len(mine) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    return mine[start], mate[start], left[start], left[np.append(start[1:], len(left)) - 1] if len(start) else left[start]
 
 
-def by_suffixes(groups: list[list[tuple]]) -> Runs:
+def solve(groups: list[list[tuple]]) -> Runs:
     rows = [r for g in groups for r in g]
     group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    n, at = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-    s = Suffixes([r[2] for r in rows], at)
-    order = s.sort(group)
-    runs: list[list[tuple[int, int, int]]] = [[(0, int(k), 0)] if r[5] > 1 else [] for k, r in zip(n, rows, strict=True)]
-    i = np.flatnonzero(group[order[:-1]] == group[order[1:]]) if len(order) > 1 else np.zeros(0, np.int64)
-    near = np.zeros(len(order), np.int64)
-    near[i] = s.right(order[i], order[i + 1])
-    most_left = np.zeros(len(groups), np.int64)
-    np.maximum.at(most_left, group, at)
-    common, step = near[i], 1
-    while len(i):
-        a, b = order[i], order[i + step]
-        left = s.left(a, b)
-        hit = left + common >= LENGTH
-        for x, y, lo, k in zip(a[hit].tolist(), b[hit].tolist(), left[hit].tolist(), common[hit].tolist(), strict=True):
-            px, py = int(s.anchor[x]), int(s.anchor[y])
-            if s.raw[px - lo : px + k] != s.raw[py - lo : py + k]:
-                continue  # equal hashes of different bytes
-            for z in (x, y):
-                e0, e1 = int(at[z]) - lo, int(at[z]) - (LENGTH - k) + 1
-                e0, e1 = max(e0, 0), min(e1, int(n[z]))
-                if e0 < e1:
-                    runs[z].append((e0, e1, 0))
-        step += 1
-        i, common = i[i + step < len(order)], common[i + step < len(order)]
-        common = np.minimum(common, near[i + step - 1])
-        go = (group[order[i]] == group[order[i + step]]) & (common + most_left[group[order[i]]] >= LENGTH)
-        i, common = i[go], common[go]
+    n, at = np.array([r[N] for r in rows], np.int64), np.array([r[AT] for r in rows], np.int64)
+    s = Suffixes([r[BODY] for r in rows], at)
+    runs: list[list[tuple[int, int]]] = [[(0, r[N])] if r[CNT] > 1 else [] for r in rows]
+    doubted = set()
+    for x, y, lo, hi in zip(*(c.tolist() for c in shared(s, group, n, at)), strict=True):
+        px, py = int(s.anchor[x]), int(s.anchor[y])
+        if s.raw[px - hi : px + LENGTH - lo] == s.raw[py - hi : py + LENGTH - lo]:
+            runs[x].append((int(at[x]) - hi, int(at[x]) - lo + 1))
+        else:
+            doubted.add(int(group[x]))  # equal hashes of different bytes
+    for g in doubted:
+        of = np.flatnonzero(group == g)
+        for x, own in zip(of.tolist(), by_bytes(groups[g]), strict=True):
+            runs[x] = own
     for r, x in zip(rows, runs, strict=True):
         if x:
-            yield r[0], r[1], [(a, b, 0) for a, b in merged([{"s": a, "e": b} for a, b, _ in x])]
+            yield r, [(a, b, 0) for a, b in merged([{"s": a, "e": b} for a, b in x])]
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,3 +191,18 @@ def dedup_bytes(docs: DataFrame, gram: int = GRAM, group: int = GROUP) -> DataFr
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+pc AS (SELECT k, p, h[2*p+1:2*p+1598] AS hp, least(400, n - 399 - p) AS m FROM (SELECT k, h, n, unnest(range(0, n - 399, 400)) AS p FROM b WHERE n >= 400)),
+win AS (SELECT k, p + j AS i, md5(hp[2*j+1:2*j+800]) AS m FROM (SELECT k, p, hp, unnest(range(0, m)) AS j FROM pc)),
+hit AS (SELECT k, i FROM win JOIN (SELECT m FROM win GROUP BY m HAVING count(*) > 1) USING (m)),
+isl AS (SELECT k, i, sum(CASE WHEN i > prev + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS prev FROM hit)),
+sp AS (SELECT k, min(i) AS s, max(i) + 400 AS e FROM isl GROUP BY k, g),
+gap AS (SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS s, s AS e FROM sp UNION ALL SELECT b.k, coalesce(max(e), 0), any_value(n) FROM b LEFT JOIN sp USING (k) GROUP BY b.k),
+kept AS (SELECT k, string_agg(h[2*s+1:2*e], '' ORDER BY s) AS x FROM gap JOIN b USING (k) GROUP BY k)
+SELECT doc_id, n AS n_bytes, CAST(n - length(x) // 2 AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM b JOIN kept USING (k) LEFT JOIN (SELECT k, count(*) AS c FROM sp GROUP BY k) USING (k)
+"""

@@ -5,18 +5,21 @@ for a whole slice of documents, with no Python object for a word.
 
 A hash of symbols s[i..j) is sum(s[t] * B**t) * B**-i modulo 2**64 with an odd B: any window's hash comes from two
 prefix sums. Symbols are random 64-bit values of a table (bytes) or word hashes.
+
+Such hashes find candidates. Where equal strings are told by a hash alone, it is one of `digests`, which are cryptographic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _is_word = np.ones(256, np.uint8)
 _is_word[[32, 9, 10, 11, 12, 13]] = 0
@@ -30,6 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def digests(parts: Iterable[bytes]) -> np.ndarray:
+    """128-bit BLAKE2 digests as rows of two longs: strings of equal digests are taken as equal."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+
+
 @cache
 def byte_table(which: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[which]))
@@ -76,7 +84,7 @@ def slices(texts: pa.Array, most: int = SLICE, rows: int = 1 << 30) -> Iterator[
 
 
 def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (two independent ones) of the ASCII-white-space separated words, and word offsets of each document."""
+    """Hashes, starts and ends of the ASCII-white-space separated words, and word offsets of each document."""
     if lower:
         raw = _lower[raw]
     n = len(raw)
@@ -89,11 +97,18 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
     after = np.zeros(n, np.uint8)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (edge[1:] | (1 - after))) + 1
-    out = []
-    for k in (0, 1):
-        p = prefix(byte_table(k)[raw], k)
-        out.append(mix(window_hash(p, starts, ends, k) + (ends - starts).astype(np.uint64)))
-    return out[0], out[1], np.searchsorted(starts, off)
+    h = mix(window_hash(prefix(byte_table(0)[raw], 0), starts, ends, 0) + (ends - starts).astype(np.uint64))
+    return h, starts, ends, np.searchsorted(starts, off)
+
+
+def spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words alone, each followed by one space, as bytes; starts and ends of the words in them."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + step] = raw[np.repeat(starts, size) + step]
+    return out.tobytes(), to, to + size
 
 
 def sliding_min(x: np.ndarray, m: int) -> np.ndarray:
