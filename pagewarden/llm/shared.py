@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only in local mode and where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         used = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = used.get() if used.isDefined() else tempfile.mkdtemp(prefix="pagewarden-")
+        if used.isEmpty() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="pagewarden-") if used.isEmpty() else used.get()
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Rows of an Arrow batch while a table is staged: batches of texts and sets stay at a few MB on either side.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(int(was), rows) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
@@ -26,7 +46,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
