@@ -2,14 +2,16 @@
 
 Write: a payload is cut into rows (record, chunk number, bytes) of at most `chunk` bytes; SHA-1 runs over the chunks as
 they are cut. Records of equal payload digests and lengths meet in a pre-aggregated sum that finds the largest id: that
-record is the response, the others are revisits without payload. Every chunk row becomes one WARC/1.1 record: the first
-chunk a `response`, later ones `continuation` records with WARC-Segment-Number, which is the format's own way to
-cut an oversized record. Spark's text writer puts them into archives of at most `per_file` records, gzip-compressed,
-ended by the two line breaks that end a WARC record.
+record is the response, the others are revisits without payload, and only rows without payloads are shuffled to find
+them. Every chunk row becomes one WARC/1.1 record: the first chunk a `response`, later ones `continuation` records with
+WARC-Segment-Number and the origin's id, which is the format's own way to cut an oversized record. Spark's text writer
+puts them into gzip-compressed archives of at most `per_file` records, ended by the two line breaks that end a record.
+A file is one gzip member: Spark has no sink for bytes, which one member for each record would need.
 
-Read: an archive is decompressed and parsed as a stream; a block is passed on when it is complete, so memory is one
-chunk and not one record. Records of one chunk are digested at once; segments are sorted by record and number and
-carried through an incremental digest, one hash state at a time.
+Read: Spark's text reader inflates an archive as a stream, cut at double line breaks; the pieces are put together by
+Content-Length, and a block is passed on when it is complete, so memory is one chunk and neither one record nor one
+archive. Records of one chunk are digested at once and their payloads dropped; segments are sorted by record and number
+and carried through an incremental digest, one hash state at a time.
 
 Defined cases: a null payload is empty; a null url is written as an empty target; null ids are written as such and count
 as smaller than all others; rows that share payload and largest id are all responses; an empty table gives an empty
@@ -21,17 +23,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, staged, table
 
 CHUNK = 1 << 18
 PER_FILE = 2_000
+#: Rows of revisits (two ids and a record number each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 END = b"\r\n\r\n"
 CHUNKS = "record long, page_id long, url string, chunk int, chunks int, total long, digest string, body string"
 
@@ -80,34 +83,43 @@ def chunked(pages: DataFrame, size: int = CHUNK) -> DataFrame:
     return staged(p.mapInArrow(_cut(size), CHUNKS), "warc-chunks")
 
 
-def with_types(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds record_type and refers_to: the largest page_id of equal payloads is the response that the others revisit."""
-    heads = chunks.filter((F.col("chunk") == 0) & (F.col("total") >= least_bytes))
-    last = heads.groupBy("digest", "total").agg(F.max("page_id").alias("last"))
-    j = chunks.join(last, ["digest", "total"], "left")
-    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return j.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
+def with_types(chunks: DataFrame, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds record_type, refers_to and refers_record: the largest page_id of equal payloads is the response that the others revisit.
+
+    The rows that find the revisits hold no payloads; payloads are shuffled only where revisits are too many to broadcast.
+    """
+    heads = chunks.filter((F.col("chunk") == 0) & (F.col("total") >= least_bytes)).select("record", "page_id", "digest", "total")
+    last = heads.groupBy("digest", "total").agg(F.max(F.struct("page_id", "record")).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = heads.join(last, ["digest", "total"]).filter(~F.col("page_id").eqNullSafe(F.col("last.page_id")))
+    pairs = staged(pairs.select("record", F.col("last.page_id").alias("refers_to"), F.col("last.record").alias("refers_record")), "warc-revisits")
+    j = chunks.join(F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs, "record", "left")
+    return j.withColumn("record_type", F.when(F.col("refers_record").isNotNull(), "revisit").otherwise("response"))
 
 
-def _field(name: str, value) -> F.Column:
+def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
 
 
+def _id(page: Column, record: Column, chunk: Column) -> Column:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return F.concat(F.lit("<urn:page:"), text(page), F.lit(":"), text(record), F.lit(":"), text(chunk), F.lit(">"))
+
+
 def records(typed: DataFrame) -> DataFrame:
     """Every chunk row as the text of a WARC record; revisits keep their first row only, without payload."""
-    revisit = F.col("record_type") == "revisit"
+    revisit, first, last = F.col("record_type") == "revisit", F.col("chunk") == 0, F.col("chunk") + 1 == F.col("chunks")
+    cut = (F.col("chunks") > 1) & ~revisit
     body = F.when(revisit, F.lit("")).otherwise(F.col("body"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    kind = F.when(F.col("chunk") > 0, "continuation").otherwise(F.col("record_type"))
+    only = lambda when, *c: F.when(when, F.concat(*c)).otherwise("")
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), _field("WARC-Type", kind), _field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.col("record"), F.lit(":"), F.col("chunk"), F.lit(">"))),
+        F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.when(first, F.col("record_type")).otherwise("continuation")), _field("WARC-Record-ID", _id(F.col("page_id"), F.col("record"), F.col("chunk"))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"), _field("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.lit("Content-Type: text/html\r\n"),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(""),
-        F.when(F.col("chunks") > 1, _field("WARC-Segment-Number", F.col("chunk") + 1)).otherwise(""), F.when(F.col("chunks") > 1, _field("WARC-Segment-Total-Length", F.col("total"))).otherwise(""),
-        _field("X-Payload-Length", F.col("total")), _field("Content-Length", F.octet_length(body)),
+        only(first, _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.lit("Content-Type: text/html\r\n"), _field("X-Payload-Length", F.col("total"))),
+        only(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _field("WARC-Refers-To", _id(F.col("refers_to"), F.col("refers_record"), F.lit(0)))),
+        only(cut, _field("WARC-Segment-Number", F.col("chunk") + 1)), only(cut & ~first, _field("WARC-Segment-Origin-ID", _id(F.col("page_id"), F.col("record"), F.lit(0)))),
+        only(cut & last, _field("WARC-Segment-Total-Length", F.col("total"))), _field("Content-Length", F.octet_length(body)),
     )
-    return typed.filter(~revisit | (F.col("chunk") == 0)).select(F.concat(head, F.lit("\r\n"), body).alias("value"))
+    return typed.filter(~revisit | first).select(F.concat(head, F.lit("\r\n"), body).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, per_file: int = PER_FILE, least_bytes: int = 0) -> None:
@@ -116,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, per_file: in
 
 
 def blocks(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each WARC record of a stream that arrives in pieces. Holds one record's block at most."""
+    """(header, block) of each WARC record of a stream that arrives in pieces. Holds one record's block and one piece at most."""
     held = bytearray()
     source = iter(pieces)
 
@@ -144,54 +156,40 @@ def blocks(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: at + 8 + length]
 
 
-def inflated(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
-    """A gzip file in pieces, members one after another."""
-    z, rest = zlib.decompressobj(31), data
-    while rest or not z.eof:
-        out = z.decompress(rest, piece)
-        if out:
-            yield out
-        if z.eof:
-            rest = z.unused_data
-            if not rest:
-                return
-            z = zlib.decompressobj(31)
-        else:
-            rest = z.unconsumed_tail
-            if not rest and not out:
-                raise ValueError("archive is cut off")
-
-
 PARSED = "record long, page_id long, url string, type string, segment int, segmented boolean, total long, digest string, refers_to long, body binary, found string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of archives, in order, to their records. Only what is one of several segments keeps its bytes."""
     names = [x.split()[0] for x in PARSED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
     number = lambda x: None if x == "null" else int(x)
-    for b in batches:
-        for content in b.column(0):
-            out: list[list] = [[] for _ in names]
-            held = 0
-            for head, body in blocks(inflated(memoryview(content.as_buffer()))):
-                _, _, page, record, segment = head["WARC-Record-ID"].strip("<>").split(":")
-                cut = "WARC-Segment-Number" in head and head["WARC-Type"] != "revisit"
-                ref = head.get("WARC-Refers-To", "").strip("<>").rpartition(":")[2]
-                found = base32_sha1(hashlib.sha1(body)) if head["WARC-Type"] == "response" and not cut else None
-                row = (int(record), number(page), head["WARC-Target-URI"], head["WARC-Type"], int(segment), cut, int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(ref) if ref else None, body, found)
-                held += len(body)
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                    out, held = [[] for _ in names], 0
+    out: list[list] = [[] for _ in names]
+    held = 0
+    for head, body in blocks(x.as_buffer().to_pybytes() + END for b in batches for x in b.column(0)):
+        _, _, page, record, segment = head["WARC-Record-ID"].strip("<>").split(":")
+        kind, cut = head["WARC-Type"], "WARC-Segment-Number" in head
+        ref = head["WARC-Refers-To"].strip("<>").split(":")[2] if kind == "revisit" else "null"
+        found = base32_sha1(hashlib.sha1(body)) if kind == "response" and not cut else None
+        total = int(head["X-Payload-Length"]) if "X-Payload-Length" in head else None
+        digest = head["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in head else None
+        row = (int(record), number(page), head["WARC-Target-URI"], kind, int(segment), cut, total, digest, number(ref), body if cut else None, found)
+        held += 100 + len(body) * cut
+        for c, v in zip(out, row, strict=True):
+            c.append(v)
+        if held > 1 << 22:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            out, held = [[] for _ in names], 0
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each WARC record: its chunk of the payload, and the digest of payloads that are one chunk."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse, PARSED)
+    """One row for each WARC record, staged: the digest of payloads that are one chunk, the bytes of other chunks.
+
+    A gzip file is read by one task from start to end, so its pieces arrive in order.
+    """
+    pieces = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.gz").text(path)
+    return staged(pieces.mapInArrow(_parse, PARSED), "warc-records")
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
