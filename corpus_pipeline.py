@@ -15,9 +15,12 @@ from pagewarden.llm.shared import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted model scores below 0.5 stay."""
+    """Documents that the fitted model scores below 0.5 stay. A column `score` of their own stays as it is."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < 0.5).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ STAGES = [
     ("secrets", mask_secrets),
     ("mixing", mix_sources),
 ]
-#: Boosted trees are not SQL; tests/llm holds each stage against a brute-force version.
+#: Boosted trees are not SQL. tests/llm/test_pipeline.py applies the stages' rules by plain Python to what each stage gets.
 ORACLE_SQL = None
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import docs_of, table
+from .shared import docs_of, staged, table
 
 MAX_TRAIN = 20_000
 MAX_LEXICON = 600
@@ -192,7 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     d = docs_of(docs)
-    rows = d.join(F.broadcast(known), d["doc_id"] == F.col("__id")).select("text", "y", F.xxhash64("__id", F.lit(5)).alias("h"))
+    # One text for each labelled id, the least of those that share it, so no number of repeated rows makes the sample larger.
+    rows = d.join(F.broadcast(known), d["doc_id"] == F.col("__id")).groupBy("__id", "y").agg(F.min("text").alias("text"))
+    rows = staged(rows.select("text", "y", F.xxhash64("__id", F.lit(5)).alias("h")), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [Counter() for _ in COUNTS]
@@ -257,14 +259,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     return Model(lexicon, trees, (at, np.maximum.accumulate((len(raw) * value + PRIOR / (1 + np.exp(-at))) / (len(raw) + PRIOR))))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score`, whatever its columns are; a column of that name is replaced."""
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score column, whatever its columns are; a column of that name is replaced."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("score", pa.array(model.scores(b.column(b.schema.names.index("text")).to_pylist())))
+            yield b.append_column(name, pa.array(model.scores(b.column(b.schema.names.index("text")).to_pylist())))
 
     return docs.mapInArrow(each, schema)
 
