@@ -2,8 +2,9 @@
 
 Test items become a hash set of normalised word n-grams. Training texts are cut into words once; every window is
 hashed, the hashes meet the set in a join, and the few hits are joined back to their rows, where each is verified word
-by word against the item's own n-gram before it counts. The set is broadcast when its counted rows are within
-`broadcast_rows`; beyond that the same join is left to Spark, which shuffles both sides.
+by word against the item's own n-gram before it counts. What meets the windows is the set's hashes alone, one long
+each, broadcast while their count is within `broadcast_keys`; the n-grams themselves meet only the hits, broadcast while
+there are at most `broadcast_rows` of them. Beyond either count the same join is left to Spark, which shuffles both sides.
 
 Defined cases: null and empty texts have no words and hit nothing; an item of fewer than n words, but not none, is one
 window of its own length; rows repeated as a whole get the same result each; rows that share a doc_id but not the text
@@ -25,6 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
 #: A row of the set is about 200 bytes in memory, so this is 40 MB at most.
 BROADCAST_ROWS = 200_000
+#: A hash is 8 bytes, about 30 in a broadcast relation of longs: 60 MB at most.
+BROADCAST_KEYS = 2_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -47,7 +50,7 @@ def ngram_set(items: DataFrame, n: int = N) -> DataFrame:
     return g.withColumn("hash", F.xxhash64("gram")).distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS, keep: Iterable[str] = ()) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BROADCAST_ROWS, keep: Iterable[str] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of docs as doc_id, text, words, hit (positions of hit words), item_ids (sorted) and row (the columns to keep).
 
     The lengths that items have (n, and what shorter items there are: at most n values) are read from the set.
@@ -55,7 +58,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BR
     grams = ngram_set(items, n)
     rows = {r["len"]: r["rows"] for r in grams.groupBy("len").agg(F.count(F.lit(1)).alias("rows")).collect()}
     small = sum(rows.values()) <= broadcast_rows
-    keys = grams.select("hash", "len").distinct()
+    few = sum(rows.values()) <= broadcast_keys
+    keys = grams.select("hash").distinct()
     d = docs_of(docs, F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("row")).withColumn("__k", row_key(F.col("doc_id"), F.col("text")))
     w = d.select("__k", normal_words(F.col("text")).alias("w"))
     found = None
@@ -65,7 +69,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, broadcast_rows: int = BR
     if found is None:
         none = F.array().cast("array<string>")
         return d.select("doc_id", "text", "row", normal_words(F.col("text")).alias("words"), F.array().cast("array<int>").alias("hit"), none.alias("item_ids"))
-    at = found.join(F.broadcast(keys) if small else keys, ["hash", "len"], "left_semi")
+    at = found.join(F.broadcast(keys) if few else keys, "hash", "left_semi")
     # An n-gram's hash and place say all: the items follow from the hash, once for each row and n-gram.
     by_row = at.groupBy("__k", "hash", "len").agg(F.collect_set("at").alias("ats"))
     with_items = by_row.join(F.broadcast(grams) if small else grams, ["hash", "len"])
