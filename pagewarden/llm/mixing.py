@@ -146,3 +146,21 @@ def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: fl
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * CAST(3 AS DOUBLE) AS cap, CAST((rank - 1) % 3 + 1 AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s)),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, row(cap / weight, rank)) AS final FROM l WHERE cap > level * weight),
+t AS (SELECT source, source_size, coalesce(least(cap, final * weight), cap) AS target FROM l, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target / source_size, 9)) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (SELECT *, CASE WHEN target - epochs * source_size < 0.5 THEN 0 ELSE target - epochs * source_size END AS rest FROM e),
+k AS (SELECT d.doc_id, d.source, size, t, -ln((CAST('0x' || left(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '-') || '|' || t), 13) AS BIGINT) + 1.0) / CAST(4503599627370498 AS DOUBLE)) / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
+    FROM d LEFT JOIN q ON q.doc_id = d.doc_id),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN rest - before > 0 AND (rest - before) * 2 >= size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+"""

@@ -16,4 +16,12 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op3_topk": topk.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_warc": warc.OP5_SQL}
+SQL = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op3_topk": topk.OP3_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
+}

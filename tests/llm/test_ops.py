@@ -60,24 +60,77 @@ def test_substring_dedup(spark, group):
 def test_suffix_dedup(spark, group):
     docs = odd_docs(spark)
     data = [(i, (t or "").encode()) for i, t in rows_of(docs)]
-    count = Counter(t[s : s + 400] for _, t in data for s in range(len(t) - 399))
-    want = []
-    for i, t in data:
+    want = [(i, len(t), *x) for (i, t), x in zip(data, repeated_bytes([t for _, t in data]), strict=True)]
+    same([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_bytes(docs, group=group).collect()], want)
+
+
+def around_a_core(n, core, pad, seed=3):
+    """n texts of one core between random letters: one anchor for most windows, n regions."""
+    r = random.Random(seed)
+    some = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=pad))
+    return [some() + core + some() for _ in range(n)]
+
+
+def repeated_bytes(texts):
+    """(removed bytes, spans, kept) of each text by counting every 400-byte window."""
+    count = Counter(t[s : s + 400] for t in texts for s in range(len(t) - 399))
+    out = []
+    for t in texts:
         mark = bytearray(len(t))
         for s in range(len(t) - 399):
             if count[t[s : s + 400]] > 1:
                 mark[s : s + 400] = b"\1" * 400
-        want.append((i, len(t), sum(mark), len([x for x in bytes(mark).split(b"\0") if x]), bytes(b for b, m in zip(t, mark, strict=True) if not m)))
-    same([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_bytes(docs, group=group).collect()], want)
+        out.append((sum(mark), len([x for x in bytes(mark).split(b"\0") if x]), bytes(b for b, m in zip(t, mark, strict=True) if not m)))
+    return out
 
 
-def test_many_regions_of_one_anchor_are_solved_by_windows():
-    r = random.Random(3)
-    core = bytes(r.randrange(97, 123) for _ in range(500))
-    bodies = [bytes(r.randrange(97, 123) for _ in range(20)) + core + bytes(r.randrange(97, 123) for _ in range(20)) for _ in range(6)]
-    group = [(1, k, b, len(b) - 399, 100, 1, 0) for k, b in enumerate(bodies)]
-    want = dict((k, x) for _, k, x in suffix_dedup.by_suffixes([group]))
-    assert want == dict((k, x) for _, k, x in suffix_dedup.by_windows(group)) and len(want) == 6
+@pytest.mark.parametrize("n", [6, 300, 3000])
+def test_regions_of_one_anchor(n):
+    core = around_a_core(1, "", 250)[0]
+    bodies = sorted({x.encode() for x in around_a_core(n, core, 20)})
+    group = [(1, k, 0, b, len(b) - 399, 100, 1 + (k == 2), 0) for k, b in enumerate(bodies)]
+    other = [(2, k, 0, b[5:480], 76, 95, 1, 0) for k, b in enumerate(bodies[:2])]
+    got = {(r[0], r[1]): [(a, b) for a, b, _ in x] for r, x in suffix_dedup.solve([group, other])}
+    for g in (group, other):
+        for r, want in zip(g, suffix_dedup.by_bytes(g), strict=True):
+            assert {i for a, b in got.get((r[0], r[1]), []) for i in range(a, b)} == {i for i, _ in want}
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing(monkeypatch):
+    """With a hash that tells nothing apart, the comparison of bytes decides."""
+    import numpy as np
+
+    bodies = [x.encode() for x in around_a_core(5, around_a_core(1, "", 220)[0], 20)]
+    group = [(1, k, 0, b, len(b) - 399, 60, 1, 0) for k, b in enumerate(bodies)]
+    want = [(r[1], [(x[0][0], x[-1][1])]) for r, x in zip(group, suffix_dedup.by_bytes(group), strict=True)]
+    monkeypatch.setattr(suffix_dedup.Suffixes, "hash", lambda self, a, b: np.zeros(len(a), np.uint64))
+    assert [(r[1], [(a, b) for a, b, _ in x]) for r, x in suffix_dedup.solve([group])] == want
+
+
+def test_hot_anchor_in_one_task_and_counted(spark):
+    texts = around_a_core(1500, around_a_core(1, "", 230)[0], 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    want = [(i, *x) for i, x in enumerate(repeated_bytes([t.encode() for t in texts]))]
+    for group in (4096, 1000):
+        same([(r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_bytes(docs, group=group).collect()], want)
+
+
+def test_hot_words_in_one_task_and_counted(spark):
+    r = random.Random(8)
+    word = lambda: r.choice("abcdefghijklmnop")
+    core = [f"c{k}" for k in range(60)]
+    data = [(i, [word() for _ in range(12)] + core + [word() for _ in range(12)]) for i in range(1200)]
+    docs = spark.createDataFrame([(i, "  ".join(w)) for i, w in data], "doc_id long, text string").repartition(6)
+    first: dict = {}
+    for i, w in data:
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    want = []
+    for i, w in data:
+        gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for p in range(s, s + 50)}
+        want.append((i, len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    for group in (2048, 500):
+        same([(x["doc_id"], x["n_removed"], x["kept"]) for x in substring_dedup.dedup_words(docs, group=group).collect()], want)
 
 
 def shingles(text):
@@ -85,8 +138,8 @@ def shingles(text):
     return {tuple(w[s : s + 5]) for s in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("close", [100, 0])
-def test_jaccard_components(spark, close):
+@pytest.mark.parametrize(("close", "bucket", "hot"), [(100, 100_000, 50_000), (0, 100_000, 50_000), (100, 1, 50_000), (0, 100_000, 2), (100, 1, 1)])
+def test_jaccard_components(spark, close, bucket, hot):
     docs = odd_docs(spark, 40)
     data = [(i, shingles(t)) for i, t in rows_of(docs)]
     parent = list(range(len(data)))
@@ -105,7 +158,9 @@ def test_jaccard_components(spark, close):
     for x, (i, s) in enumerate(data):
         ids = [data[y][0] for y in range(len(data)) if find(y) == find(x) and data[y][0] is not None]
         want.append((i, len(s), min(ids) if s and ids else i))
-    same(jaccard_join.near_duplicates(docs, close=close).collect(), want)
+    same(jaccard_join.near_duplicates(docs, bucket=bucket, close=close, hot=hot).collect(), want)
+    if (close, bucket) != (100, 100_000):
+        return
     kept = jaccard_join.keep_one(docs)
     empties = len({(i, len(s)) for i, s in data if not s})
     assert kept.columns == docs.columns
@@ -131,8 +186,8 @@ def test_decontamination(spark):
                     hit |= set(range(s, s + n))
                     ids |= grams[g]
         want.append((i, len(w), tuple(sorted(hit)), tuple(sorted(str(x) for x in ids if x is not None))))
-    for rows in (200_000, 0):
-        got = decontaminate.hits(docs, items, broadcast_rows=rows, keep=docs.columns)
+    for rows, hashes in ((200_000, 2_000_000), (0, 2_000_000), (0, 0)):
+        got = decontaminate.hits(docs, items, broadcast_rows=rows, keep=docs.columns, broadcast_keys=hashes)
         same([(r["doc_id"], len(r["words"]), tuple(sorted(r["hit"])), tuple(r["item_ids"])) for r in got.collect()], want)
     assert decontaminate.hits(docs, items.limit(0)).count() == docs.count()
 
@@ -227,7 +282,7 @@ def test_main_text(spark):
     rows = [(k, f"http://h.org/{k}", page(f"<p>one  {k}<br>two<p>three &lt; <b>four", links, k)) for k in range(5)]
     rows += [(6, None, None), (7, "http://lone.org/", "<body><nav>n</nav><p>only <script>x()</script> text</p>"), (8, "bad", "plain &amp; simple"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for most in (5_000, 0):
+    for most in (16_000_000, 0):
         got = {(r["page_id"], r["text"], r["n_chars"]) for r in htmltext.main_text(df, most).collect()}
         want = {k: f"T {k}\none {k} two\nthree < four" for k in range(5)} | {6: "", 7: "only text", 8: "plain & simple"}
         assert got == {(k, t, len(t)) for k, t in want.items()}
@@ -239,7 +294,7 @@ def test_constant_blocks_go_whatever_the_first_page_is(spark):
     html = ["<body><pre>404: not here</pre></body>"] + [one(k) for k in range(1, 6)] + [two(k) for k in range(6, 10)]
     df = spark.createDataFrame([(k, f"http://h.org/{k}", x) for k, x in enumerate(html)], "page_id long, url string, html string")
     want = {0: "404: not here"} | {k: f"The text {k} of one" for k in range(1, 6)} | {k: f"Another text {k}" for k in range(6, 10)}
-    for most in (5_000, 0):
+    for most in (16_000_000, 0):
         assert {r["page_id"]: r["text"] for r in htmltext.main_text(df, most).collect()} == want
 
 
@@ -264,6 +319,71 @@ def test_tree_matching_keeps_order():
     assert htmltext.aligned("a(b c d)", "a(b d)") == (0, 1, -1, 2) and htmltext.aligned("x", "y") == (-1,)
 
 
+def nested(text):
+    """A written skeleton as (label, kids), with the number of each node in preorder."""
+    count = iter(range(10**6))
+
+    def read(tokens):
+        out = []
+        while tokens and tokens[0] != ")":
+            node = (tokens.pop(0), next(count), [])
+            if tokens and tokens[0] == "(":
+                tokens.pop(0)
+                node[2].extend(read(tokens))
+                tokens.pop(0)
+            out.append(node)
+        return out
+
+    return read(re.findall(r"[^\s()]+|[()]", text))[0]
+
+
+def most_pairs(x, y):
+    """Simple tree matching as it is defined."""
+    if x[0] != y[0]:
+        return 0
+    best = [[0] * (len(y[2]) + 1) for _ in range(len(x[2]) + 1)]
+    for i, a in enumerate(x[2]):
+        for j, b in enumerate(y[2]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most_pairs(a, b))
+    return best[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 4])
+def test_tree_matching_is_the_largest(monkeypatch, cells):
+    monkeypatch.setattr(htmltext, "CELLS", cells)
+    htmltext.aligned.cache_clear()
+    r = random.Random(cells)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(r.randint(0, 4) if depth else 0)]
+        return r.choice("ab") + (f"({' '.join(kids)})" if kids else "")
+
+    for _ in range(150):
+        one, other = (f"r({tree(3)} {tree(3)} {tree(2)})" for _ in range(2))
+        got = htmltext.aligned(one, other)
+        a, b = nested(one), nested(other)
+        assert sum(x >= 0 for x in got) == most_pairs(a, b)
+
+        def check(x, y):
+            assert x[0] == y[0] and got[x[1]] == y[1]
+            under = {n[1]: k for k, n in enumerate(y[2])}
+            met = [(n, got[n[1]]) for n in x[2] if got[n[1]] >= 0]
+            assert [under[m] for _, m in met] == sorted({under[m] for _, m in met})
+            for n, m in met:
+                check(n, y[2][under[m]])
+
+        check(a, b)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda k, n=100_000: f"<body>{'<div>' * n}<p>text {k}</p>{'</div>' * n}{'</em>' * 1000}"
+    wide = lambda k, n=25_000: f"<body>{''.join(f'<div>x{k} {i}</div><section>y</section>' for i in range(n))}<aside>no</aside>"
+    rows = [(k, "http://deep.org/", deep(k, 100_000 - k)) for k in range(3)] + [(k, "http://wide.org/", wide(k, 25_000 - 3 * k)) for k in range(3, 5)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == [f"text {k}" for k in range(3)]
+    assert all(got[k].startswith(f"x{k} 0\ny\nx{k} 1\n") and got[k].count("\n") == 2 * (25_000 - 3 * k) - 1 for k in (3, 4))
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     fine, bad = [f"w{i}" for i in range(300)], ["moron", "clown", "scum"]
@@ -302,7 +422,51 @@ def test_toxicity_model_is_the_same_for_any_partitions(spark):
     assert one.scores(texts).tolist() == many.scores(texts).tolist()
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = odd_docs(spark).limit(0)
     assert substring_dedup.dedup_words(none).count() == suffix_dedup.dedup_bytes(none).count() == jaccard_join.near_duplicates(none).count() == 0
-    assert mixing.mix(none).count() == secrets.find_secrets(none).count() == 0
+    assert jaccard_join.keep_one(none).count() == mixing.mix(none).count() == secrets.find_secrets(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.main_text(pages).count() == 0
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert warc.digests(warc.read_archives(spark, str(tmp_path / "w"))).count() == 0
+    items = spark.createDataFrame([("a", "b c d")], "item_id string, text string")
+    assert decontaminate.hits(none, items).count() == 0
+    model = toxicity.fit(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(none, model).count() == 0 and model.scores(["x", None]).tolist() == [0.0, 0.0]
+
+
+def test_records_point_at_records(spark, tmp_path):
+    """Ids of revisits and of segments are ids of records that are there, and each of the format's fields is where it belongs."""
+    pages = [(k, f"u{k}", "<p>" + "ab\r\n\r\n" * n) for k, n in ((1, 5), (2, 900), (3, 5), (4, 900), (5, 400), (None, 5))]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path, chunk=1000)
+    pieces = [r["value"].encode() + warc.END for r in spark.read.option("lineSep", "\r\n\r\n").text(path).collect()]
+    heads = [h for h, _ in warc.blocks(iter(pieces))]
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(by_id) == len(heads) and Counter(h["WARC-Type"] for h in heads) == {"response": 3, "revisit": 3, "continuation": 7}
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            assert by_id[h["WARC-Refers-To"]]["WARC-Type"] == "response"
+        if h["WARC-Type"] == "continuation":
+            assert by_id[h["WARC-Segment-Origin-ID"]]["WARC-Segment-Number"] == "1" and int(h["WARC-Segment-Number"]) > 1
+    last = [h for h in heads if "WARC-Segment-Total-Length" in h]
+    assert len(last) == 2 and all(h["WARC-Type"] == "continuation" for h in last)
+
+
+def test_a_damaged_archive_fails(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    text = [r["value"] for r in spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "w")).collect()]
+    bad = spark.createDataFrame([(t.replace("abc", "abd"),) for t in text], "value string").coalesce(1)
+    bad.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(str(tmp_path / "b"))
+    with pytest.raises(Exception, match="payload digest differs"):
+        warc.digests(warc.read_archives(spark, str(tmp_path / "b"))).collect()
+
+
+def test_repeated_labelled_rows_are_one_sample(spark):
+    rows = [(i, f"some words {i % 7} here") for i in range(60)] + [(1, "some words 1 here")] * 500 + [(1, "another text of that id")] * 500
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([*rows[:60], (1, "another text of that id")], "doc_id long, text string")
+    texts = [t for _, t in rows[:80]]
+    assert toxicity.fit(docs, labels).scores(texts).tolist() == toxicity.fit(once, labels).scores(texts).tolist()
