@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_origin
 
-BODY_CAP = 500_000
+# Fixed value: bytes of a robots.txt; a longer one cannot be read, so what it says is unknown.
+BODY_CAP = 500 * 1024
 # The crawler catalog (token, vendor, purpose), in report order.
 BOTS = [
     ("GPTBot", "OpenAI", "training"),
@@ -25,9 +26,10 @@ BOTS = [
 PURPOSES = ("training", "ai_search", "user_fetch")
 
 
-def robots_state(status: Column) -> Column:
-    """200 is found, 404 absent, anything else (null too) unavailable."""
-    return F.when(status == 200, "found").when(status == 404, "absent").otherwise("unavailable")
+def robots_state(status: Column, body: Column | None = None) -> Column:
+    """200 is found, 404 absent, anything else (null too) unavailable; so is a file of any status beyond BODY_CAP bytes."""
+    state = F.when(status == 200, "found").when(status == 404, "absent").otherwise("unavailable")
+    return state if body is None else F.when(F.octet_length(F.coalesce(body, F.lit(""))) > BODY_CAP, "unavailable").otherwise(state)
 
 
 def bot_catalog(spark: SparkSession) -> DataFrame:
@@ -35,8 +37,8 @@ def bot_catalog(spark: SparkSession) -> DataFrame:
 
 
 def robots_lines(docs: DataFrame) -> DataFrame:
-    """(site, ord, key, value) of the lines of found documents; comments and the part beyond the cap are gone."""
-    lines = docs.filter(F.col("state") == "found").select("site", F.posexplode(F.split(F.substring(F.coalesce("body", F.lit("")), 1, BODY_CAP), r"\r\n|\r|\n")).alias("ord", "line"))
+    """(site, ord, key, value) of the lines of found documents; comments are gone. Whole bodies are read."""
+    lines = docs.filter(F.col("state") == "found").select("site", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n")).alias("ord", "line"))
     line = F.trim(F.regexp_replace("line", "#.*$", ""))
     return lines.select("site", "ord", F.lower(F.trim(F.regexp_extract(line, r"^([^:]+):", 1))).alias("key"), F.trim(F.regexp_extract(line, r"^[^:]+:(.*)$", 1)).alias("value")).filter("key <> ''")
 
@@ -120,5 +122,12 @@ def robots_sitemaps(sites: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def same_origin_seeds(urls: DataFrame) -> DataFrame:
-    """Sitemap URLs that may seed a crawl at depth 1: of the site's own origin. A URL that does not parse drops alone."""
-    return urls.filter(url_origin(F.col("url")) == F.col("site")).withColumn("depth", F.lit(1))
+    """Sitemap URLs that may seed a crawl at depth 1: of the site's own origin, in the order that they are listed.
+
+    urls: site, root (the sitemap they come from), ord, url. A URL that does not parse ends its sitemap: it and what
+    follows are no seeds.
+    """
+    origin = url_origin(F.col("url"))
+    ends = urls.filter(origin.isNull()).groupBy("site", "root").agg(F.min("ord").alias("__end"))
+    j = urls.filter(origin == F.col("site")).join(ends, ["site", "root"], "left")
+    return j.filter(F.col("__end").isNull() | (F.col("ord") < F.col("__end"))).drop("__end").withColumn("depth", F.lit(1))

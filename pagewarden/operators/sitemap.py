@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has
 from ..functions.urls import url_path
+from ..sources.staging import cut
 
 
 def sitemap_entries(docs: DataFrame) -> DataFrame:
@@ -21,41 +22,50 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     return d.select("site", "sitemap_url", "kind", F.posexplode(locs).alias("ord", "loc"))
 
 
-def _met(entries: DataFrame, roots: DataFrame, max_children: int | None, max_levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """(site, path, url) under the roots, and the sites with an index of over max_children children. entries: with pos."""
+def _met(entries: DataFrame, roots: DataFrame, max_children: int | None) -> tuple[DataFrame, DataFrame]:
+    """(site, path, url) of all levels under the roots, and (site, path, pos) of the indexes' entries.
+
+    Levels are joined one after another until no index is left. A path of positions keeps the depth-first order; its
+    first element numbers the root. A document met again under itself is not opened again, so the levels end.
+    """
+    entries = cut(entries.withColumn("pos", F.col("ord") + 1).drop("ord"), "sitemap-entries")
     frontier = roots.select("site", "sitemap_url", F.array(F.col("ord").cast("int")).alias("path"), F.array("sitemap_url").alias("opened"))
-    found, cut = None, None
-    for _ in range(max_levels):
-        met = frontier.join(entries, ["site", "sitemap_url"])
-        urls = met.filter("kind = 'urlset'").select("site", F.concat("path", F.array("pos")).alias("path"), F.col("loc").alias("url"))
-        found = urls if found is None else found.unionByName(urls)
-        children = met.filter("kind = 'index'")
-        if max_children is not None:
-            over = children.filter(F.col("pos") > max_children).select("site").distinct()
-            cut = over if cut is None else cut.unionByName(over)
-            children = children.filter(F.col("pos") <= max_children)
-        nxt = children.filter(~F.array_contains("opened", F.col("loc")))
-        frontier = nxt.select("site", F.col("loc").alias("sitemap_url"), F.concat("path", F.array("pos")).alias("path"), F.concat("opened", F.array("loc")).alias("opened"))
-    return found, cut
-
-
-def sitemap_urls(docs: DataFrame, roots: DataFrame, max_pages: int = 200, max_children: int = 50, max_levels: int = 5) -> DataFrame:
-    """(site, ord, url, truncated): the URLs under each site's roots, depth first in document order, within a crawl's budget.
-
-    Levels are joined one after another (at most max_levels); a path of positions keeps the depth-first order. An index
-    opens its first max_children children; a site keeps its first max_pages URLs. A document met again under itself is
-    not opened again.
+    found, indexes = None, None
+    while True:
+        met = cut(frontier.join(entries, ["site", "sitemap_url"]).withColumn("path", F.concat("path", F.array("pos"))), "sitemap-level")
+        urls, children = met.filter("kind = 'urlset'").select("site", "path", F.col("loc").alias("url")), met.filter("kind = 'index'")
+        seen = children.select("site", "path", "pos")
+        found, indexes = (urls, seen) if found is None else (found.unionByName(urls), indexes.unionByName(seen))
+        opens = ~F.array_contains("opened", F.col("loc"))
+        children = children.filter(opens if max_children is None else opens & (F.col("pos") <= max_children))
+        if children.isEmpty():
+            return found, indexes
+        frontier = children.select("site", F.col("loc").alias("sitemap_url"), "path", F.concat("opened", F.array("loc")).alias("opened"))
+
+
+def sitemap_urls(docs: DataFrame, roots: DataFrame, max_pages: int = 200, max_children: int = 50) -> DataFrame:
+    """(site, root, ord, url, truncated): the URLs under each root, depth first in document order, within a crawl's budget.
+
+    An index opens its first max_children children; a root keeps its first max_pages URLs. truncated: there were more
+    children or URLs, or children were left when the budget was used up. Only max_pages + 1 rows of a root are ranked
+    beyond the tasks that read them.
     """
-    at = F.row_number().over(Window.partitionBy("site", "sitemap_url").orderBy("ord"))
-    found, cut = _met(sitemap_entries(docs).withColumn("pos", at), roots, max_children, max_levels)
-    ranked = found.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("path")))
-    ranked = ranked.withColumn("more", F.max("ord").over(Window.partitionBy("site")) >= max_pages).join(cut.distinct().withColumn("wide", F.lit(True)), "site", "left")
-    return ranked.filter(F.col("ord") <= max_pages).select("site", "ord", "url", (F.col("more") | F.coalesce("wide", F.lit(False))).alias("truncated"))
-
-
-def all_sitemap_urls(docs: DataFrame, roots: DataFrame, max_levels: int = 5) -> DataFrame:
+    found, indexes = _met(sitemap_entries(docs), roots, max_children)
+    root = F.element_at("path", 1).alias("root")
+    order = Window.partitionBy("site", "root").orderBy("path")
+    first = found.select("site", root, "path", "url").withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= max_pages + 1)
+    first = cut(first, "sitemap-first")
+    met = first.groupBy("site", "root").agg(F.max("ord").alias("n"), F.max(F.when(F.col("ord") <= max_pages, F.col("path"))).alias("last"))
+    opened = indexes.select("site", root, "path", (F.col("pos") > max_children).alias("wide")).groupBy("site", "root").agg(
+        F.bool_or("wide").alias("wide"), F.max(F.when(~F.col("wide"), F.col("path"))).alias("child"))
+    cuts = met.join(opened, ["site", "root"], "left").select(
+        "site", "root", (F.coalesce("wide", F.lit(False)) | (F.col("n") > max_pages) | ((F.col("n") == max_pages) & F.coalesce(F.col("child") > F.col("last"), F.lit(False)))).alias("truncated"))
+    return first.filter(F.col("ord") <= max_pages).join(cuts, ["site", "root"]).select("site", "root", "ord", "url", "truncated")
+
+
+def all_sitemap_urls(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """(site, ord, url): every URL under each site's roots, without a budget; ord is the path of positions, nothing is ranked."""
-    return _met(sitemap_entries(docs).withColumn("pos", F.col("ord") + 1), roots, None, max_levels)[0].select("site", F.col("path").alias("ord"), "url")
+    return _met(sitemap_entries(docs), roots, None)[0].select("site", F.col("path").alias("ord"), "url")
 
 
 def sitemap_gap(pages: DataFrame, urls: DataFrame) -> DataFrame:

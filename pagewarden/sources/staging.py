@@ -1,16 +1,28 @@
-"""Cutting the lineage of iterative jobs in a folder that executors share."""
+"""Cutting the lineage of iterative jobs, and staging of tables, in a folder that executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is spark.checkpoint.dir, set here only where it is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewarden-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode, where it is unset, a folder of this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        used = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if used.isEmpty() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="pagewarden-") if used.isEmpty() else used.get()
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written as a table in the shared folder and read again: what follows starts there, and so does a recovery."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
