@@ -54,7 +54,8 @@ def script_safe(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    """The number with so many decimals, halves away from zero; null stays null."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c, digits)))
 
 
 def finite(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has, script_safe, slug
 from ..functions.urls import url_path
+from ..sources.staging import cut
 
 # Rules that have an action, and its risk.
 FIXERS = [
@@ -31,31 +32,44 @@ def site_titles(pages: DataFrame) -> DataFrame:
     return pages.groupBy("site", "run_id").agg(F.min_by("rendered.title", F.struct(F.coalesce(not_home, F.lit(True)), F.col("ord"))).alias("site_title"))
 
 
+#: Rules whose proposal needs values of the page, and rules of a whole site.
+PAGE_VALUES = ("R-CANONICAL-JS-ONLY", "R-OG-BASIC-MISSING", "R-TITLE-MISSING")
+OF_SITE = ("R-SITEMAP-MISSING-URL", "R-AI-CRAWLER-POLICY", "R-JSONLD-WEBSITE-MISSING")
+
+
 def plan(findings: DataFrame, signals: DataFrame, missing: DataFrame, states: DataFrame, access: DataFrame, titles: DataFrame, fixers: DataFrame) -> DataFrame:
     """A proposal for each finding.
 
     signals: site, run_id, url, rendered; missing: site, run_id, paths (array); states: site, state; access: the AI
     access table; titles: site, run_id, site_title. Findings without an action, or whose action has no value to offer,
     are report_only. The sitemap proposal is approved by itself (add_safe); all others wait.
+
+    Findings are staged and split by what their rule needs: pages' values are joined to findings of those rules alone,
+    and each site's values to its one finding of their rule.
     """
+    f = cut(findings.select("site", "run_id", "url", "rule_id", "finding_key").join(F.broadcast(fixers.select("rule_id", "risk_level")), "rule_id", "left"), "plan-findings")
+    rule = F.col("rule_id")
     s = signals.select("site", "run_id", "url", F.col("rendered.canonical").alias("c"), F.col("rendered.title").alias("t"), F.col("rendered.h1_text").alias("h1"))
-    training = access.filter("purpose = 'training'").groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), ", ").alias("training"))
-    j = findings.join(F.broadcast(fixers.select("rule_id", "risk_level")), "rule_id", "left").join(s, ["site", "run_id", "url"], "left")
-    j = j.join(missing, ["site", "run_id"], "left").join(states.select("site", "state"), "site", "left").join(training, "site", "left").join(titles, ["site", "run_id"], "left")
-    r = lambda x: F.col("rule_id") == x
     og = F.to_json(F.struct(F.when(has(F.col("t")), F.col("t")).alias("title"), F.when(has(F.col("c")), F.col("c")).alias("url")))
-    website = script_safe(F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("WebSite").alias("@type"), F.col("site_title").alias("name"))))
-    value = (
-        F.when(r("R-SITEMAP-MISSING-URL") & (F.size("paths") > 0), F.to_json("paths"))
-        .when(r("R-CANONICAL-MISSING"), url_path(F.col("url")))
-        .when(r("R-CANONICAL-JS-ONLY") & has(F.col("c")), F.col("c"))
-        .when(r("R-OG-BASIC-MISSING") & (has(F.col("t")) | has(F.col("c"))), og)
-        .when(r("R-NOINDEX-DETECTED"), "index: true")
-        .when(r("R-AI-CRAWLER-POLICY") & (F.col("state") == "absent") & has(F.col("training")), F.concat(F.lit("disallow: "), F.col("training")))
-        .when(r("R-JSONLD-WEBSITE-MISSING") & has(F.col("site_title")), website)
-        .when(r("R-TITLE-MISSING") & has(F.col("h1")), F.col("h1"))
+    of_page = f.filter(rule.isin(*PAGE_VALUES)).join(s, ["site", "run_id", "url"], "left").withColumn(
+        "value",
+        F.when((rule == "R-CANONICAL-JS-ONLY") & has(F.col("c")), F.col("c"))
+        .when((rule == "R-OG-BASIC-MISSING") & (has(F.col("t")) | has(F.col("c"))), og)
+        .when((rule == "R-TITLE-MISSING") & has(F.col("h1")), F.col("h1")),
     )
-    j = j.withColumn("marker", F.when(F.col("risk_level").isNotNull(), value))
+    plain = f.filter(~rule.isin(*PAGE_VALUES, *OF_SITE)).withColumn("value", F.when(rule == "R-CANONICAL-MISSING", url_path(F.col("url"))).when(rule == "R-NOINDEX-DETECTED", "index: true"))
+    training = access.filter("purpose = 'training'").groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), ", ").alias("training"))
+    website = script_safe(F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("WebSite").alias("@type"), F.col("site_title").alias("name"))))
+    own = lambda r: f.filter(rule == r)
+    listed = own("R-SITEMAP-MISSING-URL").join(missing, ["site", "run_id"], "left").withColumn("value", F.when(F.size("paths") > 0, F.to_json("paths")))
+    policy_ = own("R-AI-CRAWLER-POLICY").join(states.select("site", "state"), "site", "left").join(training, "site", "left")
+    policy_ = policy_.withColumn("value", F.when((F.col("state") == "absent") & has(F.col("training")), F.concat(F.lit("disallow: "), F.col("training"))))
+    named = own("R-JSONLD-WEBSITE-MISSING").join(titles, ["site", "run_id"], "left").withColumn("value", F.when(has(F.col("site_title")), website))
+    cols = ["site", "run_id", "url", "rule_id", "finding_key", "risk_level", "value"]
+    j = of_page.select(*cols)
+    for part in (plain, listed, policy_, named):
+        j = j.unionByName(part.select(*cols))
+    j = j.withColumn("marker", F.when(F.col("risk_level").isNotNull(), F.col("value")))
     offers = F.col("marker").isNotNull()
     return j.select(
         "site", "run_id", "url", "rule_id", "finding_key", F.when(offers, "file_edit").otherwise("report_only").alias("fix_type"), F.when(offers, F.col("risk_level")).alias("risk_level"),

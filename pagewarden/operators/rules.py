@@ -19,6 +19,36 @@ CATEGORIES = ("canonical", "indexing", "schema", "geo", "meta", "cwv")
 # Limits of the vitals.
 LCP_MS, CLS, TBT_MS = 2500, 0.1, 150
 
+#: What each rule recommends.
+RECOMMENDED = {
+    "R-CANONICAL-MISSING": "add a canonical link to the page itself",
+    "R-CANONICAL-JS-ONLY": "put the canonical link into the served HTML",
+    "R-NOINDEX-DETECTED": "remove noindex if the page should be found",
+    "R-JSONLD-MISSING": "describe the page in JSON-LD",
+    "R-JSONLD-INVALID": "correct the block",
+    "R-QA-STRUCTURE-MISSING": "mark up questions and answers, if there are any",
+    "R-JSONLD-PRODUCT-INCOMPLETE": "complete the product",
+    "R-JSONLD-PRODUCT-NAME-MISMATCH": "use the product name that the page shows",
+    "R-OG-BASIC-MISSING": "add og:title and og:url",
+    "R-OG-DESCRIPTION-MISSING": "add og:description",
+    "R-META-DESCRIPTION-MISSING": "add a description",
+    "R-STATUS-4XX": "restore or redirect the page",
+    "R-STATUS-5XX": "repair the server error",
+    "R-REDIRECT-CHAIN-LONG": "redirect in one hop",
+    "R-RAW-RENDERED-GAP-TITLE": "serve the title in the HTML",
+    "R-RAW-RENDERED-GAP-METAROBOTS": "serve the robots directive in the HTML",
+    "R-CWV-LCP-POOR": "2500 ms or less",
+    "R-CWV-CLS-POOR": "0.1 or less",
+    "R-CWV-TBT-POOR": "150 ms or less",
+    "R-TITLE-MISSING": "add a title",
+    "R-H1-MISSING": "add one h1",
+    "R-H1-MULTIPLE": "keep one h1",
+    "R-IMG-ALT-MISSING": "give images an alt text",
+    "R-AI-CRAWLER-POLICY": "for information: the policy is the site's choice",
+    "R-SITEMAP-MISSING-URL": "list the crawled pages",
+    "R-JSONLD-WEBSITE-MISSING": "describe the site in JSON-LD",
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -55,29 +85,29 @@ def page_rules() -> list[Rule]:
     og = F.concat_ws(", ", F.when(~has(ren("og_title")), "og:title"), F.when(~has(ren("og_url")) & has(ren("canonical")), "og:url"))
     hops = F.concat(F.size("redirect_chain").cast("string"), F.lit(" hops: "), F.array_join(F.concat(F.col("redirect_chain"), F.array("final_url")), " -> "))
     return [
-        Rule("R-CANONICAL-MISSING", "canonical", "high", ok & ~has(raw("canonical")) & ~has(ren("canonical")), none, "add a canonical link to the page itself"),
-        Rule("R-CANONICAL-JS-ONLY", "canonical", "critical", ok & ~has(raw("canonical")) & has(ren("canonical")), ren("canonical"), "put the canonical link into the served HTML"),
-        Rule("R-NOINDEX-DETECTED", "indexing", "medium", ok & F.contains(F.lower(ren("meta_robots")), F.lit("noindex")), ren("meta_robots"), "remove noindex if the page should be found"),
-        Rule("R-JSONLD-MISSING", "schema", "low", ok & (F.size(ren("jsonld_blocks")) == 0), none, "describe the page in JSON-LD"),
-        Rule("R-JSONLD-INVALID", "schema", "high", ok & first_bad.isNotNull(), F.concat(F.lit("block "), first_bad["n"].cast("string"), F.lit(": "), first_bad["s"]), "correct the block"),
-        Rule("R-QA-STRUCTURE-MISSING", "geo", "low", ok & ~F.arrays_overlap(jsonld_types(F.col("jsonld")), F.array(F.lit("FAQPage"), F.lit("QAPage"))), none, "mark up questions and answers, if there are any"),
-        Rule("R-JSONLD-PRODUCT-INCOMPLETE", "schema", "medium", ok & lacking.isNotNull(), lacks, "complete the product"),
-        Rule("R-JSONLD-PRODUCT-NAME-MISMATCH", "schema", "high", ok & has(ren("body_text")) & other_name.isNotNull(), other_name["name"], "use the product name that the page shows"),
-        Rule("R-OG-BASIC-MISSING", "meta", "low", ok & (og != ""), og, "add og:title and og:url"),
-        Rule("R-OG-DESCRIPTION-MISSING", "meta", "low", ok & ~has(ren("og_description")), none, "add og:description"),
-        Rule("R-META-DESCRIPTION-MISSING", "meta", "low", ok & ~has(ren("meta_description")), none, "add a description"),
-        Rule("R-STATUS-4XX", "indexing", "critical", F.col("status_code").between(400, 499), status, "restore or redirect the page"),
-        Rule("R-STATUS-5XX", "indexing", "critical", F.col("status_code") >= 500, status, "repair the server error"),
-        Rule("R-REDIRECT-CHAIN-LONG", "indexing", "medium", F.size("redirect_chain") >= 2, hops, "redirect in one hop"),
-        Rule("R-RAW-RENDERED-GAP-TITLE", "indexing", "high", ok & ~has(raw("title")) & has(ren("title")), ren("title"), "serve the title in the HTML"),
-        Rule("R-RAW-RENDERED-GAP-METAROBOTS", "indexing", "high", ok & ~has(raw("meta_robots")) & has(ren("meta_robots")), ren("meta_robots"), "serve the robots directive in the HTML"),
-        Rule("R-CWV-LCP-POOR", "cwv", "high", F.col("lcp_ms") > LCP_MS, F.concat(F.round("lcp_ms").cast("long").cast("string"), F.lit("ms")), "2500 ms or less"),
-        Rule("R-CWV-CLS-POOR", "cwv", "high", F.col("cls_unitless") > CLS, fixed(F.col("cls_unitless"), 3), "0.1 or less"),
-        Rule("R-CWV-TBT-POOR", "cwv", "high", F.col("tbt_ms") > TBT_MS, F.concat(F.round("tbt_ms").cast("long").cast("string"), F.lit("ms")), "150 ms or less"),
-        Rule("R-TITLE-MISSING", "meta", "high", ok & ~has(raw("title")) & ~has(ren("title")), none, "add a title"),
-        Rule("R-H1-MISSING", "meta", "medium", ok & (ren("h1_count") == 0), none, "add one h1"),
-        Rule("R-H1-MULTIPLE", "meta", "low", ok & (ren("h1_count") > 1), ren("h1_count").cast("string"), "keep one h1"),
-        Rule("R-IMG-ALT-MISSING", "meta", "low", ok & (ren("images_without_alt") > 0), ren("images_without_alt").cast("string"), "give images an alt text"),
+        Rule("R-CANONICAL-MISSING", "canonical", "high", ok & ~has(raw("canonical")) & ~has(ren("canonical")), none, RECOMMENDED["R-CANONICAL-MISSING"]),
+        Rule("R-CANONICAL-JS-ONLY", "canonical", "critical", ok & ~has(raw("canonical")) & has(ren("canonical")), ren("canonical"), RECOMMENDED["R-CANONICAL-JS-ONLY"]),
+        Rule("R-NOINDEX-DETECTED", "indexing", "medium", ok & F.contains(F.lower(ren("meta_robots")), F.lit("noindex")), ren("meta_robots"), RECOMMENDED["R-NOINDEX-DETECTED"]),
+        Rule("R-JSONLD-MISSING", "schema", "low", ok & (F.size(ren("jsonld_blocks")) == 0), none, RECOMMENDED["R-JSONLD-MISSING"]),
+        Rule("R-JSONLD-INVALID", "schema", "high", ok & first_bad.isNotNull(), F.concat(F.lit("block "), first_bad["n"].cast("string"), F.lit(": "), first_bad["s"]), RECOMMENDED["R-JSONLD-INVALID"]),
+        Rule("R-QA-STRUCTURE-MISSING", "geo", "low", ok & ~F.arrays_overlap(jsonld_types(F.col("jsonld")), F.array(F.lit("FAQPage"), F.lit("QAPage"))), none, RECOMMENDED["R-QA-STRUCTURE-MISSING"]),
+        Rule("R-JSONLD-PRODUCT-INCOMPLETE", "schema", "medium", ok & lacking.isNotNull(), lacks, RECOMMENDED["R-JSONLD-PRODUCT-INCOMPLETE"]),
+        Rule("R-JSONLD-PRODUCT-NAME-MISMATCH", "schema", "high", ok & has(ren("body_text")) & other_name.isNotNull(), other_name["name"], RECOMMENDED["R-JSONLD-PRODUCT-NAME-MISMATCH"]),
+        Rule("R-OG-BASIC-MISSING", "meta", "low", ok & (og != ""), og, RECOMMENDED["R-OG-BASIC-MISSING"]),
+        Rule("R-OG-DESCRIPTION-MISSING", "meta", "low", ok & ~has(ren("og_description")), none, RECOMMENDED["R-OG-DESCRIPTION-MISSING"]),
+        Rule("R-META-DESCRIPTION-MISSING", "meta", "low", ok & ~has(ren("meta_description")), none, RECOMMENDED["R-META-DESCRIPTION-MISSING"]),
+        Rule("R-STATUS-4XX", "indexing", "critical", F.col("status_code").between(400, 499), status, RECOMMENDED["R-STATUS-4XX"]),
+        Rule("R-STATUS-5XX", "indexing", "critical", F.col("status_code") >= 500, status, RECOMMENDED["R-STATUS-5XX"]),
+        Rule("R-REDIRECT-CHAIN-LONG", "indexing", "medium", F.size("redirect_chain") >= 2, hops, RECOMMENDED["R-REDIRECT-CHAIN-LONG"]),
+        Rule("R-RAW-RENDERED-GAP-TITLE", "indexing", "high", ok & ~has(raw("title")) & has(ren("title")), ren("title"), RECOMMENDED["R-RAW-RENDERED-GAP-TITLE"]),
+        Rule("R-RAW-RENDERED-GAP-METAROBOTS", "indexing", "high", ok & ~has(raw("meta_robots")) & has(ren("meta_robots")), ren("meta_robots"), RECOMMENDED["R-RAW-RENDERED-GAP-METAROBOTS"]),
+        Rule("R-CWV-LCP-POOR", "cwv", "high", F.col("lcp_ms") > LCP_MS, F.concat(F.round("lcp_ms").cast("long").cast("string"), F.lit("ms")), RECOMMENDED["R-CWV-LCP-POOR"]),
+        Rule("R-CWV-CLS-POOR", "cwv", "high", F.col("cls_unitless") > CLS, fixed(F.col("cls_unitless"), 3), RECOMMENDED["R-CWV-CLS-POOR"]),
+        Rule("R-CWV-TBT-POOR", "cwv", "high", F.col("tbt_ms") > TBT_MS, F.concat(F.round("tbt_ms").cast("long").cast("string"), F.lit("ms")), RECOMMENDED["R-CWV-TBT-POOR"]),
+        Rule("R-TITLE-MISSING", "meta", "high", ok & ~has(raw("title")) & ~has(ren("title")), none, RECOMMENDED["R-TITLE-MISSING"]),
+        Rule("R-H1-MISSING", "meta", "medium", ok & (ren("h1_count") == 0), none, RECOMMENDED["R-H1-MISSING"]),
+        Rule("R-H1-MULTIPLE", "meta", "low", ok & (ren("h1_count") > 1), ren("h1_count").cast("string"), RECOMMENDED["R-H1-MULTIPLE"]),
+        Rule("R-IMG-ALT-MISSING", "meta", "low", ok & (ren("images_without_alt") > 0), ren("images_without_alt").cast("string"), RECOMMENDED["R-IMG-ALT-MISSING"]),
     ]
 
 
@@ -121,12 +151,12 @@ def _site_rule(df: DataFrame, rule_id: str, category: str, severity: str, url: C
 def ai_policy_rule(policy: DataFrame) -> DataFrame:
     """One neutral row for each site whose robots state is known. policy: site, run_id, robots_found, summary."""
     current = F.when(F.col("robots_found"), F.col("summary")).otherwise(F.concat(F.lit("no robots.txt, all allowed; "), F.col("summary")))
-    return _site_rule(policy, "R-AI-CRAWLER-POLICY", "geo", "low", F.concat("site", F.lit("/robots.txt")), current, "for information: the policy is the site's choice", 100)
+    return _site_rule(policy, "R-AI-CRAWLER-POLICY", "geo", "low", F.concat("site", F.lit("/robots.txt")), current, RECOMMENDED["R-AI-CRAWLER-POLICY"], 100)
 
 
 def sitemap_rule(gap: DataFrame) -> DataFrame:
     """gap: site, run_id, missing (count of crawled paths that the sitemap lacks)."""
-    return _site_rule(gap.filter("missing > 0"), "R-SITEMAP-MISSING-URL", "indexing", "medium", F.concat("site", F.lit("/sitemap.xml")), F.col("missing").cast("string"), "list the crawled pages", 101)
+    return _site_rule(gap.filter("missing > 0"), "R-SITEMAP-MISSING-URL", "indexing", "medium", F.concat("site", F.lit("/sitemap.xml")), F.col("missing").cast("string"), RECOMMENDED["R-SITEMAP-MISSING-URL"], 101)
 
 
 def jsonld_lack(pages: DataFrame, violations: DataFrame) -> DataFrame:
@@ -139,4 +169,4 @@ def jsonld_lack(pages: DataFrame, violations: DataFrame) -> DataFrame:
 def website_rule(pages: DataFrame, violations: DataFrame) -> DataFrame:
     """Sites with pages of status 200 of which every one lacks JSON-LD."""
     every = jsonld_lack(pages, violations).filter("every and n > 0")
-    return _site_rule(every, "R-JSONLD-WEBSITE-MISSING", "schema", "low", F.concat("site", F.lit("/")), F.col("n").cast("string"), "describe the site in JSON-LD", 102)
+    return _site_rule(every, "R-JSONLD-WEBSITE-MISSING", "schema", "low", F.concat("site", F.lit("/")), F.col("n").cast("string"), RECOMMENDED["R-JSONLD-WEBSITE-MISSING"], 102)

@@ -24,12 +24,12 @@ def _number(v: Column, path: str) -> Column:
 
 
 def field_vitals(payloads: DataFrame) -> DataFrame:
-    """(site, url, payload) to the field metrics; a payload without metrics has no row."""
+    """Rows with a payload to the field metrics, beside their other columns; a payload without metrics has no row."""
     v = payloads.withColumn("v", F.try_parse_json("payload"))
     v = v.filter(F.schema_of_variant(F.try_variant_get("v", "$.loadingExperience.metrics", "variant")).startswith("OBJECT"))
     p = lambda m: f"$.loadingExperience.metrics.{m}.percentile"
     return v.select(
-        "site", "url", _number(F.col("v"), p("LARGEST_CONTENTFUL_PAINT_MS")).alias("field_lcp_ms"), (_number(F.col("v"), p("CUMULATIVE_LAYOUT_SHIFT_SCORE")) / 100).alias("field_cls"),
+        *[c for c in payloads.columns if c != "payload"], _number(F.col("v"), p("LARGEST_CONTENTFUL_PAINT_MS")).alias("field_lcp_ms"), (_number(F.col("v"), p("CUMULATIVE_LAYOUT_SHIFT_SCORE")) / 100).alias("field_cls"),
         _number(F.col("v"), p("INTERACTION_TO_NEXT_PAINT")).alias("field_inp_ms"),
     )
 
