@@ -80,7 +80,7 @@ def lab_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def field_payloads(spark: SparkSession, d: str) -> DataFrame:
-    e = numbered_events(spark, d).filter("event_id < n_pages")
+    e = numbered_events(spark, d)
     whole = F.floor("value").cast("long").cast("string")
     first = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('"'), whole, F.lit('"'))).otherwise(whole)
     metrics = F.concat(F.lit('{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":'), first, F.lit('},"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":'), whole, F.lit('},"INTERACTION_TO_NEXT_PAINT":{"percentile":'), whole, F.lit("}}}}"))
@@ -141,6 +141,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return out.join(p.select("site", F.col("url").alias("link"), F.col("n").alias("to")), ["site", "to"]).select("site", "url", "pos", "link")
 
 
+def field_by_page(spark: SparkSession, d: str) -> DataFrame:
+    """(site, url) with the largest of each field metric of its payloads."""
+    return vitals.field_vitals(field_payloads(spark, d)).groupBy("site", "url").agg(*(F.max(c).alias(c) for c in ("field_lcp_ms", "field_cls", "field_inp_ms")))
+
+
 def context(spark: SparkSession, d: str, shift: int = 0, lab: bool = True) -> DataFrame:
     """Page context: signals of both texts, parsed JSON-LD, vitals of entry pages."""
     s = extract_signals(crawl_snapshot(spark, d, shift), {"html": "raw", "rendered_html": "rendered"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import jsonld, text, urls
 from ..operators import findings as fi
 from ..operators import html, linkgraph, remediation, report, robots, rules, sitemap, vitals
 from ..sources import tables
+from ..sources.staging import cut, shared_folder
 from ..streaming import streams
 from . import fixtures as fx
 
@@ -61,9 +63,23 @@ _add("src6_metric_scans", lambda s, d: fx.search_daily(s, d).join(fx.traffic_dai
 _add("src7_findings_by_run", lambda s, d: tables.by_key(findings(s, d), "run_id", "A").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")))
 
 # Sinks: what is written, as rows
-_add("snk1_page_records", lambda s, d: tables.page_records(extract(s, d)).select("url", "status_code", F.length("html_excerpt").cast("long").alias("excerpt_length"), "raw_has_content"))
-_add("snk2_findings", lambda s, d: findings(s, d).select("finding_key", "rule_id", "status", "id"))
-_add("snk5_baseline_rows", lambda s, d: fi.snapshot(findings(s, d)).select("site", "finding_key", "category", "severity", "status"))
+_add("snk1_page_records", lambda s, d: written(s, tables.page_records(extract(s, d)), "page_records").select("url", "status_code", F.length("html_excerpt").cast("long").alias("excerpt_length"), "raw_has_content"))
+
+
+def written(s: SparkSession, df: DataFrame, name: str, by: tuple[str, ...] = ("site",)) -> DataFrame:
+    """df appended to a new table in the shared folder in two halves, and read back."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64(*[c for c in df.columns if c != "at"]), F.lit(2))
+    for k in (0, 1):
+        tables.append(df.filter(half == k), path, name, by)
+    return s.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+_add("snk2_findings", lambda s, d: written(s, tables.checked_findings(findings(s, d)).drop("page_id", "k"), "findings", ("run_id",)).select("finding_key", "rule_id", "status", "id"))
+_add("snk5_baseline_rows", lambda s, d: written(s, fi.snapshot(findings(s, d)), "baseline").select("site", "finding_key", "category", "severity", "status"))
+_add("snk5b_regression_rows", lambda s, d: written(s, tables.regression_rows(fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))), "B", now()), "regressions", ("run_id",)).select("site", "run_id", "finding_key", "kind"))
+_add("snk5c_remediation_rows", lambda s, d: written(s, tables.remediation_rows(plans(s, d).filter("marker is not null"), now()), "remediations").select("site", "rule_id", "finding_key", "risk_level", "approval_status"))
+_add("snk5d_request_rows", lambda s, d: written(s, tables.request_rows(planned(s, d), now()), "change_requests").select("site", "bucket", "branch_name", "state"))
 
 
 def extract(s: SparkSession, d: str) -> DataFrame:
@@ -88,46 +104,66 @@ def runs(s: SparkSession, d: str) -> DataFrame:
 
 @query("snk7_runs")
 def _runs(s, d):
+    """Runs are opened and appended, and closed by replacing the partitions of those that end: what is read back."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    opened = tables.open_runs(fx.sites(s, d).select(F.col("rank").cast("long").alias("project_id")), F.lit("2024-01-31 00:00:00").cast("timestamp"), "both")
+    tables.append(opened, path, "audit_run", ("project_id",))
+    ended = tables.scan(s, path, "audit_run", F.col("project_id") % 2 == 0)
+    tables.overwrite_partitions(cut(tables.close_runs(ended, ended.select("id", now().alias("finished_at")))), path, "audit_run", ("project_id",))
+    stored = tables.scan(s, path, "audit_run").withColumn("run", F.lit(3))
     r = runs(s, d)
     closed = tables.close_runs(r, r.filter("finished_at is null").select("id", now().alias("finished_at")))
-    return closed.groupBy("project_id").agg(F.count("finished_at").alias("finished"), F.max(F.unix_timestamp("finished_at")).alias("last_at"))
+    ends = closed.groupBy("project_id").agg(F.count("finished_at").alias("finished"), F.max(F.unix_timestamp("finished_at")).alias("last_at"))
+    return ends.join(stored.select("project_id", F.col("finished_at").isNotNull().alias("stored_end"), "render_source"), "project_id")
 
 
-def reports(s: SparkSession, d: str) -> DataFrame:
-    c = fx.context(s, d)
-    f = fi.to_findings(rules.evaluate_rules(c))
-    none = lambda n: F.lit(None).cast("double").alias(n)
-    p = c.select("site", "run_id", "url", F.col("page_id").alias("ord"), "status_code", "lcp_ms", "cls_unitless", "tbt_ms", none("field_lcp_ms"), none("field_cls"), none("field_inp_ms"))
-    return report.report_rows(p, f, fi.severity_summary(f, c))
-
-
-@query("snk3_json_report")
-def _json_report(s, d):
-    r = report.to_json_report(reports(s, d), "2024-02-01T00:00:00Z")
-    get = lambda p, t: F.try_variant_get(F.parse_json("report"), p, t)
-    return r.select("site", get("$.overall_label", "string").alias("label"), get("$.summary.total_pages", "bigint").alias("pages"), get("$.summary.total_violations", "bigint").alias("violations"))
+def reports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and heads of each site's report; robots.txt stands first where its state is known."""
+    c = cut(fx.context(s, d), "context")
+    docs, _ = robots_tables(s, d)
+    ai = fi.to_findings(rules.ai_policy_rule(robots.policy_summary(access(s, d)).withColumn("run_id", F.lit("A"))))
+    f = cut(fi.to_findings(rules.evaluate_rules(c)).unionByName(ai), "findings")
+    p = vitals.attach_vitals(c.select("site", "run_id", "url", F.col("page_id").alias("ord"), "status_code", "depth", "lcp_ms", "cls_unitless", "tbt_ms"), None, fx.field_by_page(s, d)).drop("depth")
+    p = p.unionByName(report.robots_page(ai, docs))
+    # A third of the sites has search figures, a third an error, a third neither; traffic has it the other way round.
+    sites = fx.sites(s, d)
+    told = lambda df, k: sites.filter("rank % 3 < 2").crossJoin(F.broadcast(df)).withColumn("error", F.when(F.col("rank") % 3 == k, "quota used up"))
+    search, traffic = told(vitals.search_summary(fx.search_daily(s, d), fx.AS_OF), 1), told(vitals.traffic_summary(fx.traffic_daily(s, d), fx.AS_OF), 0)
+    return report.report_pages(p, f), report.report_heads(fi.severity_summary(f, p), search, traffic)
 
 
-@query("snk4_markdown")
-def _markdown(s, d):
-    r = report.to_markdown(reports(s, d), "2024-02-01T00:00:00Z")
-    lines = F.split("report", "\n")
-    count = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx))).cast("long")
-    return r.select("site", count("^## ").alias("page_sections"), count(r"^\| (critical|high|medium|low) \|").alias("violation_rows"))
+_AT = "2024-02-01T00:00:00Z"
 
 
-_add("agg8_report", lambda s, d: reports(s, d).select("site", F.size("pages").cast("long").alias("pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.size(p["violations"])).alias("violations")))
+@query("snk3_json_report")
+def _json_report(s, d):
+    """What the parts of the JSON hold when they are parsed again."""
+    parts = cut(report.to_json_report(*reports(s, d), _AT), "json-parts")
+    head = "overall_label string, summary struct<total_pages:bigint,total_violations:bigint,by_severity:struct<critical:bigint,high:bigint,medium:bigint,low:bigint>>, search struct<clicks:bigint,impressions:bigint,position:double>, search_error string, traffic struct<sessions:double,active_users:double>, traffic_error string, pages array<string>"
+    page = "url string, status_code int, violations array<struct<rule_id:string,severity:string,current_value:string>>, cwv struct<lcp_ms:double,cls_unitless:double,tbt_ms:double,is_lab_data:boolean>, field_data struct<field_lcp_ms:double,field_cls:double,field_inp_ms:double,is_field_data:boolean>"
+    none = F.lit(None).cast("double")
+    h = parts.filter("kind = 0").select("site", "kind", "ord", F.from_json(F.concat("text", F.lit("]}")), head).alias("j"))
+    told = F.concat_ws("|", "j.overall_label", "j.summary.total_pages", "j.summary.total_violations", *(f"j.summary.by_severity.{x}" for x in rules.SEVERITIES), "j.search.clicks", "j.search.impressions", "j.search_error", F.col("j.traffic.sessions").cast("long").cast("string"), F.col("j.traffic.active_users").cast("long").cast("string"), "j.traffic_error")
+    h = h.select("site", "kind", "ord", told.alias("told"), F.round("j.search.position", 6).alias("n1"), none.alias("n2"), none.alias("n3"), none.alias("n4"), none.alias("n5"), none.alias("n6"))
+    p = parts.filter("kind = 1").select("site", "kind", "ord", F.from_json(F.regexp_replace("text", "^,", ""), page).alias("j"))
+    found = F.array_join(F.transform("j.violations", lambda v: F.concat(v["rule_id"], F.lit("="), F.coalesce(v["current_value"], F.lit("-")))), ";")
+    p = p.select("site", "kind", "ord", F.concat_ws("|", "j.url", "j.status_code", found).alias("told"), *(F.round(f"j.{c}", 6).alias(f"n{i + 1}") for i, c in enumerate(("cwv.lcp_ms", "cwv.cls_unitless", "cwv.tbt_ms", "field_data.field_lcp_ms", "field_data.field_cls", "field_data.field_inp_ms"))))
+    return h.unionByName(p)
+
+
+_add("snk4_markdown", lambda s, d: report.to_markdown(*reports(s, d), _AT).select("site", "kind", "ord", "text"))
+_add("agg8_report", lambda s, d: reports(s, d)[0].groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("violations")).alias("violations"), F.min_by("url", "ord").alias("first_url")))
 
 # URL expressions
-_P = lambda s, d: fx.load(s, d, "pages").select("page_id", "url")
+_P = lambda s, d: fx.load(s, d, "pages").select("page_id", "url", "html")
 _add("url1_normalize", lambda s, d: _P(s, d).select("page_id", urls.normalize_url(F.col("url")).alias("normalized")))
 _add("url2_origin", lambda s, d: _P(s, d).select("page_id", urls.url_origin(F.col("url")).alias("origin")))
 _add("url3_path", lambda s, d: _P(s, d).select("page_id", urls.url_path(F.col("url")).alias("path")))
-_add("url4_resolve", lambda s, d: _P(s, d).select("page_id", urls.resolve_href(F.lit("../x/./y?a=1#f"), F.col("url")).alias("relative"), urls.resolve_href(F.lit("/z"), F.col("url")).alias("rooted"), urls.resolve_href(F.lit("mailto:a@b"), F.col("url")).alias("other")))
-_IPS = ["127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.169.254", "0.0.0.0", "100.64.0.1", "255.255.255.255", "8.8.8.8", "93.184.216.34", "0177.0.0.1", "2130706433"]
+_add("url4_resolve", lambda s, d: _P(s, d).select("page_id", urls.resolve_href(F.lit("../x/./y?a=1#f"), F.col("url")).alias("relative"), urls.resolve_href(F.lit("/z"), F.col("url")).alias("rooted"), urls.resolve_href(F.lit("mailto:a@b"), F.col("url")).alias("other"), urls.resolve_href(F.regexp_extract("html", r'<a href="(/[A-Za-z0-9]*)"', 1), F.col("url")).alias("href")))
+_IPS = ["127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.169.254", "0.0.0.0", "100.64.0.1", "255.255.255.255", "8.8.8.8", "93.184.216.34", "0177.0.0.1", "2130706433", "::1", "fe80::1", "fd00::1", "::ffff:127.0.0.1", "::ffff:8.8.8.8", "2606:4700:4700::1111"]
 _ip = lambda: F.element_at(F.array(*map(F.lit, _IPS)), (F.col("page_id") % len(_IPS) + 1).cast("int"))
-_add("url5_safe", lambda s, d: _P(s, d).select("page_id", urls.url_is_safe(F.concat(F.when(F.col("page_id") % 3 == 0, "ftp").otherwise("http"), F.lit("://"), _ip(), F.lit("/x")))["ok"].alias("ok")))
-_add("url6_private_ip", lambda s, d: _P(s, d).select("page_id", urls.ip_is_private(_ip()).alias("private")))
+_add("url5_safe", lambda s, d: _P(s, d).select("page_id", urls.url_is_safe(F.concat(F.when(F.col("page_id") % 3 == 0, "ftp").otherwise("http"), F.lit("://"), F.when(F.contains(_ip(), F.lit(":")), F.concat(F.lit("["), _ip(), F.lit("]"))).otherwise(_ip()), F.lit("/x")))["ok"].alias("ok"), urls.url_is_safe(F.col("url"))["ok"].alias("own_ok")))
+_add("url6_private_ip", lambda s, d: _P(s, d).select("page_id", urls.ip_is_private(_ip()).alias("private"), urls.ip_is_private(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).alias("host_private")))
 _add("url7_logical", lambda s, d: _P(s, d).select("page_id", urls.logical_url(F.col("url")).alias("logical")))
 _add("url8_finding_key", lambda s, d: _P(s, d).select("page_id", urls.finding_key(F.col("url"), F.lit("R-TITLE-MISSING"), F.lit(1)).alias("finding_key")))
 
@@ -137,10 +173,10 @@ _add("url8_finding_key", lambda s, d: _P(s, d).select("page_id", urls.finding_ke
 def _signals(s, d):
     c = fx.context(s, d, lab=False)
     r = F.col("rendered")
-    return c.select("page_id", (F.col("raw.title").isNotNull()).alias("raw_title"), r["canonical"].alias("canonical"), r["h1_count"].cast("long").alias("h1_count"), F.lower(r["meta_robots"]).alias("meta_robots"), F.size(r["jsonld_blocks"]).cast("long").alias("blocks"), r["og_title"].alias("og_title"), r["og_url"].alias("og_url"), r["og_description"].alias("og_description"), r["meta_description"].alias("meta_description"), r["images_without_alt"].cast("long").alias("images_without_alt"), F.contains(r["body_text"], F.concat(F.lit("Article "), F.col("k").cast("string"))).alias("body_has_name"), (r["h1_text"] == "Second").alias("h1_is_second"))
+    return c.select("page_id", F.col("raw.title").alias("raw_title"), r["title"].alias("title"), r["h1_text"].alias("h1_text"), r["canonical"].alias("canonical"), r["h1_count"].cast("long").alias("h1_count"), F.lower(r["meta_robots"]).alias("meta_robots"), F.size(r["jsonld_blocks"]).cast("long").alias("blocks"), r["og_title"].alias("og_title"), r["og_url"].alias("og_url"), r["og_description"].alias("og_description"), r["meta_description"].alias("meta_description"), r["images_without_alt"].cast("long").alias("images_without_alt"), F.contains(r["body_text"], F.concat(F.lit("Article "), F.col("k").cast("string"))).alias("body_has_name"))
 
 
-_add("sig13_signal_diff", lambda s, d: html.signal_diff(fx.context(s, d, lab=False), ["page_id"]).filter("field in ('title', 'canonical', 'meta_robots')").select("page_id", "field"))
+_add("sig13_signal_diff", lambda s, d: html.signal_diff(fx.context(s, d, lab=False), ["page_id"]).select("page_id", "field"))
 _add("sig14_indexing_gap", lambda s, d: fx.context(s, d, lab=False).select("page_id", html.has_indexing_gap().alias("gap")))
 
 
@@ -151,7 +187,6 @@ def _links(s, d):
 
 
 # Rules
-_QUIET = ("R-RAW-RENDERED-GAP-TITLE", "R-CWV-CLS-POOR", "R-JSONLD-PRODUCT-INCOMPLETE")
 RULE_IDS = [
     "R-CANONICAL-MISSING", "R-CANONICAL-JS-ONLY", "R-NOINDEX-DETECTED", "R-JSONLD-MISSING", "R-JSONLD-INVALID", "R-QA-STRUCTURE-MISSING", "R-JSONLD-PRODUCT-INCOMPLETE", "R-JSONLD-PRODUCT-NAME-MISMATCH",
     "R-OG-BASIC-MISSING", "R-OG-DESCRIPTION-MISSING", "R-META-DESCRIPTION-MISSING", "R-STATUS-4XX", "R-STATUS-5XX", "R-REDIRECT-CHAIN-LONG", "R-RAW-RENDERED-GAP-TITLE", "R-RAW-RENDERED-GAP-METAROBOTS",
@@ -161,8 +196,7 @@ RULE_IDS = [
 
 def _rule_query(rule_id: str):
     lab = rule_id.startswith("R-CWV")
-    value = lambda: F.lit(None).cast("string") if rule_id in _QUIET else F.lower("current_value")
-    return lambda s, d: violations(s, d, lab=lab).filter(F.col("rule_id") == rule_id).select("url", "rule_id", "category", "severity", value().alias("current_value"))
+    return lambda s, d: violations(s, d, lab=lab).filter(F.col("rule_id") == rule_id).select("url", "rule_id", "category", "severity", "current_value")
 
 
 def rule_key(i: int) -> str:
@@ -209,13 +243,13 @@ _add("r25_sitemap_missing_url", lambda s, d: rules.sitemap_rule(gap(s, d).groupB
 
 @query("r26_jsonld_website_missing")
 def _website(s, d):
-    c = fx.context(s, d, lab=False)
+    c = cut(fx.context(s, d, lab=False), "context")
     return rules.website_rule(c, rules.evaluate_rules(c)).select("site", "rule_id", "severity", "current_value")
 
 
 # JSON-LD
 _J = lambda s, d: fx.context(s, d, lab=False)
-_add("jld1_nodes", lambda s, d: _J(s, d).select("page_id", F.size(jsonld.jsonld_nodes(F.col("jsonld"))).cast("long").alias("nodes")))
+_add("jld1_nodes", lambda s, d: _J(s, d).select("page_id", F.size(jsonld.jsonld_nodes(F.col("jsonld"))).cast("long").alias("nodes"), F.array_join(F.transform(jsonld.jsonld_nodes(F.col("jsonld")), lambda n: F.concat(F.array_join(n["types"], "+"), F.lit(":"), F.coalesce(n["name"], F.lit("-")), F.lit(":"), n["has_offers"].cast("string"))), ",").alias("told")))
 _add("jld2_types", lambda s, d: _J(s, d).select("page_id", F.array_join(jsonld.jsonld_types(F.col("jsonld")), ",").alias("types")))
 _add("jld3_status", lambda s, d: _J(s, d).select("page_id", F.array_join(jsonld.jsonld_status(F.col("jsonld")), ",").alias("status")))
 
@@ -228,7 +262,7 @@ _add("agg5_search_summary", lambda s, d: vitals.search_summary(fx.search_daily(s
 _add("agg5b_traffic_summary", lambda s, d: vitals.traffic_summary(fx.traffic_daily(s, d), fx.AS_OF))
 _add("agg6_all_pages_lack_jsonld", lambda s, d: rules.jsonld_lack(fx.crawl_snapshot(s, d), violations(s, d, lab=False)).select("site", "every", "n"))
 _add("agg7_token_lists", lambda s, d: robots.policy_summary(access(s, d)).select("site", "robots_found", "summary"))
-_add("agg9_truncation", lambda s, d: linkgraph.crawl_summary(reach(s, d, 5), 5).select("site", "truncated"))
+_add("agg9_truncation", lambda s, d: linkgraph.crawl_summary(reach(s, d, 5), 5).select("site", "truncated", (F.col("visited") + F.col("skipped")).alias("met")))
 _add("agg10_skipped", lambda s, d: linkgraph.crawl_summary(reach(s, d, 200)).select("site", "skipped", "visited"))
 _add("agg11_request_content", lambda s, d: remediation.request_content(planned(s, d)).select("site", "bucket", "n", "title"))
 _add("agg_rollup_severity", lambda s, d: violations(s, d, lab=False).rollup("site", "category", "severity").agg(F.count(F.lit(1)).alias("n")))
@@ -253,14 +287,14 @@ _add("grf1b_single_page", lambda s, d: linkgraph.single_page(fx.crawl_snapshot(s
 _add("grf1c_own_site_scan", lambda s, d: reach(s, d, polite=False).select("site", "url", "depth"))
 _add("grf2_sitemap_urls", lambda s, d: listed(s, d).select("site", "ord", "url", "truncated"))
 _add("grf3_sitemap_candidates", lambda s, d: robots.robots_sitemaps(fx.sites(s, d), robots_tables(s, d)[1]).select("site", "sitemap_url"))
-_add("grf4_seed_filter", lambda s, d: robots.same_origin_seeds(listed(s, d).withColumn("url", F.when(F.col("ord") % 3 == 0, F.lit("http://elsewhere.example/x")).otherwise(F.col("url")))).groupBy("site").agg(F.count(F.lit(1)).alias("seeds")))
+_add("grf4_seed_filter", lambda s, d: robots.same_origin_seeds(listed(s, d).withColumn("url", F.when(F.col("ord") == 20, F.lit("no url")).when(F.col("ord") % 3 == 0, F.lit("http://elsewhere.example/x")).otherwise(F.col("url")))).select("site", "ord", "url", "depth"))
 
 # Robots, sitemaps, payloads
 _add("rob1_rules", lambda s, d: robots_tables(s, d)[1].filter("kind <> 'agent'").select("site", "ua_token", "kind", "pattern"))
 _add("rob2_url_allowed", lambda s, d: may(s, d).select("site", "url", "allowed"))
 _add("rob3_ai_bot_access", lambda s, d: access(s, d).select("site", "token", "purpose", "allowed", "robots_found"))
-_add("smp1_entries", lambda s, d: sitemap.sitemap_entries(fx.sitemap_doc(s, d)).groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n")))
-_add("fld1_field_vitals", lambda s, d: vitals.field_vitals(fx.field_payloads(s, d)).select("url", "field_lcp_ms", "field_cls", "field_inp_ms"))
+_add("smp1_entries", lambda s, d: sitemap.sitemap_entries(fx.sitemap_doc(s, d)).select("site", "sitemap_url", "kind", "ord", "loc"))
+_add("fld1_field_vitals", lambda s, d: vitals.field_vitals(fx.field_payloads(s, d)).select("url", "event_id", "field_lcp_ms", "field_cls", "field_inp_ms"))
 _search = lambda: F.concat(F.lit('{"rows":[{"clicks":'), F.col("event_id").cast("string"), F.lit(',"impressions":"x","position":'), F.col("value").cast("string"), F.lit("}]}"))
 _add("fld2_search_metrics", lambda s, d: vitals.search_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_scope"), F.when(F.col("event_id") % 7 != 0, _search()).otherwise("{}").alias("payload"))))
 _traffic = lambda: F.concat(F.lit('{"rows":[{"metricValues":["'), F.col("event_id").cast("string"), F.lit('",{"value":"'), F.col("user_id").cast("string"), F.lit('"}]}]}'))
@@ -268,20 +302,20 @@ _add("fld3_traffic_metrics", lambda s, d: vitals.traffic_metrics(fx.load(s, d, "
 
 # Joins
 _add("join1_lab", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), vitals.lab_vitals(fx.lab_runs(s, d))).select("page_id", "lcp_ms"))
-_add("join2_field", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), None, vitals.field_vitals(fx.field_payloads(s, d)).groupBy("site", "url").agg(F.max("field_lcp_ms").alias("field_lcp_ms"), F.max("field_cls").alias("field_cls"), F.max("field_inp_ms").alias("field_inp_ms"))).select("page_id", "field_cls"))
+_add("join2_field", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), None, fx.field_by_page(s, d)).select("page_id", "field_lcp_ms", "field_cls", "field_inp_ms"))
 _add("join3_url_rules", lambda s, d: may(s, d).groupBy("site", "state").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("urls")))
 _add("join4_bots", lambda s, d: access(s, d).groupBy("token").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("sites")))
 _add("join5_regressions", lambda s, d: fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))).select("finding_key", "kind"))
 _add("join5b_resolved", lambda s, d: fi.resolved(findings(s, d, 1), fi.snapshot(findings(s, d))).select("finding_key"))
 _add("join6_sitemap_gap", lambda s, d: gap(s, d).select("site", "path"))
 _add("join6b_proposed_urls", lambda s, d: sitemap.proposed_urls(gap(s, d), all_listed(s, d)).select("site", "path", "url"))
-_add("join7_applicable", lambda s, d: remediation.applicable(applied(s, d), findings(s, d)).select("finding_key", "rule_id"))
+_add("join7_applicable", lambda s, d: remediation.applicable(applied(s, d), findings(s, d)).select("finding_key", "rule_id", "severity"))
 _add("join8_catalog", lambda s, d: findings(s, d).join(F.broadcast(remediation.catalog(s)), "rule_id", "left").select("finding_key", "rule_id", "risk_level"))
 _add("join9_page_values", lambda s, d: findings(s, d).filter("rule_id = 'R-CANONICAL-JS-ONLY'").select("site", "url").join(fx.context(s, d, lab=False).select("site", "url", F.col("rendered.canonical").alias("canonical")), ["site", "url"]))
 _add("join10_open_requests", lambda s, d: planned(s, d).groupBy("bucket", "branch_name").agg(F.count(F.lit(1)).alias("n")))
 _add("join11_decorated", lambda s, d: fi.decorate(fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))), findings(s, d, 1)).select("finding_key", "kind", "rule_id", "severity"))
-_add("join12_index_children", lambda s, d: listed(s, d).groupBy("site").agg(F.count(F.lit(1)).alias("urls")))
-_add("join13_frontier", lambda s, d: reach(s, d, polite=False).groupBy("site", "depth").agg(F.count(F.lit(1)).alias("pages")))
+_add("join12_index_children", lambda s, d: listed(s, d).groupBy("site").agg(F.count(F.lit(1)).alias("urls"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]), " "), 256).alias("urls_sha256")))
+_add("join13_frontier", lambda s, d: reach(s, d, polite=False).groupBy("site", "depth").agg(F.count(F.lit(1)).alias("pages"), F.min_by("url", "ord").alias("first_url"), F.max_by("url", "ord").alias("last_url")))
 
 # Windows, orders, sets
 _add("win1_latest_runs", lambda s, d: fi.latest_finished_runs(runs(s, d)).select("project_id", "id"))
@@ -289,7 +323,7 @@ _add("win2_latest_baselines", lambda s, d: fi.latest_by(runs(s, d).select("id",
 _add("win3_latest_projects", lambda s, d: fi.latest_by(runs(s, d).select("id", (F.col("project_id") % 5).alias("target")), ["target"], "id"))
 _add("win4_impact_order", lambda s, d: fi.impact_order(violations(s, d, lab=False)).select("url", "rule_id", "place"))
 _add("win5_first_violation", lambda s, d: violations(s, d, lab=False).filter("rule_id = 'R-JSONLD-INVALID'").select("url", "current_value"))
-_add("win6_site_titles", lambda s, d: remediation.site_titles(fx.context(s, d, lab=False).withColumn("ord", F.col("page_id"))).select("site", F.col("site_title").isNotNull().alias("has_title")))
+_add("win6_site_titles", lambda s, d: remediation.site_titles(fx.context(s, d, lab=False).withColumn("ord", F.col("page_id"))).select("site", "site_title"))
 _add("win7_first_discovery", lambda s, d: linkgraph.first_discovery(fx.edges(s, d).select("site", F.col("link").alias("url"), F.lit(0).cast("long").alias("parent_ord"), F.col("pos").cast("long").alias("pos"))).select("site", "url", "pos"))
 _add("win8_page_budget", lambda s, d: linkgraph.within_budget(fx.pages(s, d).select("site", "url", F.lit(0).alias("parent_ord"), F.col("page_id").alias("pos")), 3).select("site", "url", "n"))
 _add("win9_sitemap_caps", lambda s, d: sitemap.sitemap_urls(fx.sitemap_doc(s, d), fx.sites(s, d).select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("ord")), 2, 1).select("site", "ord", "url", "truncated"))
@@ -300,11 +334,11 @@ _add("win12_listing", lambda s, d: fi.decorate(fi.classify_regressions(findings(
 
 @query("set1_all_violations")
 def _all(s, d):
-    c = fx.context(s, d, lab=False)
+    c = cut(fx.context(s, d, lab=False), "context")
     v = rules.evaluate_rules(c)
     ai = rules.ai_policy_rule(robots.policy_summary(access(s, d)).withColumn("run_id", F.lit("A")))
     sm = rules.sitemap_rule(gap(s, d).groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("missing")))
-    return v.unionByName(ai).unionByName(sm).unionByName(rules.website_rule(c, v)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return v.unionByName(ai).unionByName(sm).unionByName(rules.website_rule(c, v)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
 _add("set2_distinct_paths", lambda s, d: fx.pages(s, d).select("site", urls.url_path(F.col("url")).alias("path")).distinct())
@@ -314,11 +348,12 @@ _add("set4_split", lambda s, d: plans(s, d).groupBy("fix_type").agg(F.count(F.li
 
 # Remediation
 def plans(s: SparkSession, d: str) -> DataFrame:
-    c = fx.context(s, d, lab=False).withColumn("ord", F.col("page_id"))
-    missing = gap(s, d).groupBy("site", "run_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    c = cut(fx.context(s, d, lab=False).withColumn("ord", F.col("page_id")), "context")
+    gaps = cut(gap(s, d), "gap")
+    missing = gaps.groupBy("site", "run_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     ai = rules.ai_policy_rule(robots.policy_summary(access(s, d)).withColumn("run_id", F.lit("A")))
     v = rules.evaluate_rules(c)
-    sm = rules.sitemap_rule(gap(s, d).groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("missing")))
+    sm = rules.sitemap_rule(gaps.groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("missing")))
     every = fi.to_findings(v.unionByName(ai).unionByName(sm).unionByName(rules.website_rule(c, v)))
     docs, _ = robots_tables(s, d)
     return remediation.plan(every, c, missing, docs, access(s, d), remediation.site_titles(c), remediation.catalog(s))
@@ -329,38 +364,47 @@ def _of(rule_id: str, *cols: str):
 
 
 _add("rem1_catalog", lambda s, d: remediation.catalog(s).join(plans(s, d).select("rule_id").distinct(), "rule_id", "left_semi").select("rule_id", "risk_level"))
-_add("rem2_sitemap", lambda s, d: _of("R-SITEMAP-MISSING-URL", "marker")(s, d).select("site", "approval_status", F.size(F.from_json("marker", "array<string>")).cast("long").alias("paths")))
+_add("rem2_sitemap", lambda s, d: _of("R-SITEMAP-MISSING-URL", "marker")(s, d).select("site", "approval_status", "marker"))
 _add("rem3_canonical", _of("R-CANONICAL-MISSING", "marker"))
 _add("rem4_js_canonical", _of("R-CANONICAL-JS-ONLY", "marker"))
-_add("rem5_og", lambda s, d: _of("R-OG-BASIC-MISSING", "marker")(s, d).select("url", "fix_type", F.get_json_object("marker", "$.url").alias("og_url")))
+_add("rem5_og", lambda s, d: _of("R-OG-BASIC-MISSING", "marker")(s, d).select("url", "fix_type", F.get_json_object("marker", "$.url").alias("og_url"), F.get_json_object("marker", "$.title").alias("og_title")))
 _add("rem6_noindex", _of("R-NOINDEX-DETECTED", "marker"))
 _add("rem7_ai_policy", lambda s, d: _of("R-AI-CRAWLER-POLICY", "marker")(s, d).select("site", "fix_type", "marker"))
-_add("rem8_website", lambda s, d: _of("R-JSONLD-WEBSITE-MISSING")(s, d).select("site", "fix_type", "approval_status"))
-_add("rem9_title", lambda s, d: _of("R-TITLE-MISSING")(s, d).select("url", "fix_type"))
-_add("rem10_add_only", lambda s, d: remediation.add_only(plans(s, d).filter("marker is not null"), plans(s, d).filter("rule_id = 'R-NOINDEX-DETECTED'")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")))
+_add("rem8_website", lambda s, d: _of("R-JSONLD-WEBSITE-MISSING", "marker")(s, d).select("site", "fix_type", "approval_status", F.get_json_object("marker", "$.name").alias("name")))
+_add("rem9_title", lambda s, d: _of("R-TITLE-MISSING", "marker")(s, d).select("url", "fix_type", "marker"))
+@query("rem10_add_only")
+def _add_only(s, d):
+    p = cut(plans(s, d).filter("marker is not null"), "plans")
+    return remediation.add_only(p, p.filter("rule_id = 'R-NOINDEX-DETECTED'")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def decisions(s: SparkSession, d: str) -> DataFrame:
+def decisions(plans: DataFrame) -> DataFrame:
     third = F.pmod(F.conv(F.substring("finding_key", 1, 8), 16, 10).cast("long"), F.lit(3))
-    return plans(s, d).filter("rule_id = 'R-CANONICAL-MISSING'").select("finding_key", F.when(third == 0, "approved").when(third == 1, "rejected").alias("decision")).filter("decision is not null")
+    return plans.filter("rule_id = 'R-CANONICAL-MISSING'").select("finding_key", F.when(third == 0, "approved").when(third == 1, "rejected").alias("decision")).filter("decision is not null")
 
 
 def decided(s: SparkSession, d: str) -> DataFrame:
-    return remediation.decide(plans(s, d), decisions(s, d))
+    p = cut(plans(s, d), "plans")
+    return remediation.decide(p, decisions(p))
 
 
 def applied(s: SparkSession, d: str, outcomes: bool = False) -> DataFrame:
     p = decided(s, d).select("*", F.lit(None).cast("timestamp").alias("applied_at"), F.lit(None).cast("string").alias("backup"), F.lit("open").alias("finding_status"))
     if not outcomes:
         return p
-    done = decisions(s, d).select("finding_key", now().alias("applied_at"), F.lit("b").alias("backup"))
+    done = decisions(p).select("finding_key", now().alias("applied_at"), F.lit("b").alias("backup"))
     return remediation.mark_applied(p, done)
 
 
+def _rolled_back(s: SparkSession, d: str) -> DataFrame:
+    a = cut(applied(s, d, True), "applied")
+    return remediation.rollback(a, decisions(a))
+
+
 _C = "rule_id = 'R-CANONICAL-MISSING'"
 _add("rem11_decide", lambda s, d: decided(s, d).filter(_C).groupBy("approval_status", "changed").agg(F.count(F.lit(1)).alias("n")))
 _add("rem12_apply", lambda s, d: applied(s, d, True).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
-_add("rem13_rollback", lambda s, d: remediation.rollback(applied(s, d, True), decisions(s, d)).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
+_add("rem13_rollback", lambda s, d: _rolled_back(s, d).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
 _add("rem14_outcomes", lambda s, d: remediation.outcome_counts(fx.pages(s, d).select("site", F.element_at(F.array(*map(F.lit, remediation.OUTCOMES)), (F.col("page_id") % 4 + 1).cast("int")).alias("outcome"))))
 
 
@@ -387,9 +431,11 @@ def _requests(s, d):
 
 
 # Scalar functions
-_add("fn_text", lambda s, d: fx.load(s, d, "documents").select("doc_id", F.length(text.excerpt(F.coalesce("text", F.lit("")))).cast("long").alias("excerpt_length"), text.slug(F.col("source"), "x/").alias("slug"), text.mask_secret(F.lit("a b?k=to ken&to%20ken"), F.lit("to ken")).alias("masked"), text.script_safe(F.lit("</script>")).alias("safe")))
+_add("fn_text", lambda s, d: fx.load(s, d, "documents").select("doc_id", F.sha2(text.excerpt(F.coalesce("text", F.lit(""))), 256).alias("excerpt_sha256"), text.slug(F.col("source"), "x/").alias("slug"), text.mask_secret(F.lit("a b?k=to ken&to%20ken"), F.lit("to ken")).alias("masked"), F.sha2(text.mask_secret(F.col("text"), F.lit("and the")), 256).alias("masked_sha256"), F.sha2(text.script_safe(F.concat(F.lit("</script>"), "text")), 256).alias("safe_sha256")))
+_add("fn_space", lambda s, d: fx.load(s, d, "documents").select("doc_id", F.sha2(text.trim_all(F.concat(F.lit("\u00a0\t\u2003"), "text", F.lit("\ufeff \u3000"))), 256).alias("trimmed_sha256"), F.sha2(text.collapse(F.concat(F.lit(" \u2003 a\u00a0\n b"), "text")), 256).alias("collapsed_sha256")))
+_add("fn_enum", lambda s, d: fx.load(s, d, "events").select("event_id", text.one_of(F.col("event_type"), ["view", "click", "purchase", "error", "scroll", "signup", "login", "logout", "add_to_cart", "search"]).alias("event_type")))
 _add("fn_table_cell", lambda s, d: fx.load(s, d, "documents").select("doc_id", F.sha2(text.table_cell(F.col("text")), 256).alias("cell_sha256")))
-_add("fn_numbers", lambda s, d: fx.load(s, d, "events").select("event_id", F.round(text.finite(F.col("value"))).cast("long").alias("rounded"), (F.col("value") / 100).alias("hundredth")))
+_add("fn_numbers", lambda s, d: fx.load(s, d, "events").select("event_id", F.round(text.finite(F.col("value"))).cast("long").alias("rounded"), (F.col("value") / 100).alias("hundredth"), text.fixed(F.col("value"), 1).alias("decimals")))
 
 
 # Extension points
@@ -411,11 +457,7 @@ def _sql(s, d):
 
 # Streams, replayed over the same rows as batches: files of the table go through the streaming form
 def _replay(s: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewarden-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/in")
     return s.readStream.schema(df.schema).parquet(f"{path}/in"), path
 

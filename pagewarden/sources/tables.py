@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, has
+from ..functions.text import excerpt, has, one_of
 from ..operators.robots import robots_state
+from ..operators.rules import CATEGORIES, SEVERITIES
 
 SCHEMAS = {
     "crawl_snapshot": "site string, run_id string, url string, depth int, status_code int, html string, rendered_html string, final_url string, redirect_chain array<string>",
@@ -16,6 +17,9 @@ SCHEMAS = {
     "field_payload": "site string, url string, payload string",
     "search_daily": "date date, clicks long, impressions long, position double",
     "traffic_daily": "date date, sessions string, active_users string",
+    "regression": "site string, run_id string, finding_key string, kind string, at timestamp",
+    "remediation": "site string, run_id string, finding_key string, rule_id string, fix_type string, risk_level string, marker string, approval_status string, at timestamp",
+    "change_request": "site string, bucket string, branch_name string, state string, at timestamp",
     "project": "id long, target string, created_at timestamp",
     "audit_run": "id long, project_id long, started_at timestamp, finished_at timestamp, score double, render_source string",
 }
@@ -28,7 +32,7 @@ def scan(spark: SparkSession, path: str, name: str, where: Column | None = None)
 
 
 def robots_docs(docs: DataFrame) -> DataFrame:
-    return docs.select("site", "status_code", "body", robots_state(F.col("status_code")).alias("state"))
+    return docs.select("site", "status_code", "body", robots_state(F.col("status_code"), F.col("body")).alias("state"))
 
 
 def sitemap_docs(docs: DataFrame) -> DataFrame:
@@ -51,6 +55,36 @@ def page_records(context: DataFrame, raw: str = "raw") -> DataFrame:
     return context.select("site", "run_id", "url", "status_code", F.sha2(F.coalesce("html", F.lit("")), 256).alias("html_sha256"), excerpt(F.coalesce("html", F.lit(""))).alias("html_excerpt"), content.alias("raw_has_content"))
 
 
+# What the enumerations of the tables allow.
+STATUSES = ("open", "acknowledged", "fixed", "reverted")
+KINDS = ("regression", "intended")
+FIX_TYPES, RISKS, APPROVALS = ("file_edit", "report_only"), ("add_safe", "gated"), ("auto", "pending", "approved", "rejected")
+REQUEST_STATES = ("open", "closed", "merged")
+
+
+def _checked(df: DataFrame, **allowed: tuple[str, ...]) -> DataFrame:
+    """df; a value outside of its column's enumeration fails the write."""
+    return df.select(*[one_of(F.col(c), list(allowed[c])).alias(c) if c in allowed else F.col(c) for c in df.columns])
+
+
+def checked_findings(findings: DataFrame) -> DataFrame:
+    return _checked(findings, severity=SEVERITIES, category=CATEGORIES, status=STATUSES)
+
+
+def regression_rows(regressions: DataFrame, run_id: str, at: Column) -> DataFrame:
+    return _checked(regressions.select("site", F.lit(run_id).alias("run_id"), "finding_key", "kind", at.alias("at")), kind=KINDS)
+
+
+def remediation_rows(plans: DataFrame, at: Column) -> DataFrame:
+    cols = ("site", "run_id", "finding_key", "rule_id", "fix_type", "risk_level", "marker", "approval_status")
+    return _checked(plans.select(*cols, at.alias("at")), fix_type=FIX_TYPES, risk_level=RISKS, approval_status=APPROVALS)
+
+
+def request_rows(planned: DataFrame, at: Column) -> DataFrame:
+    """One open request for each branch of a bucket."""
+    return _checked(planned.select("site", "bucket", "branch_name").distinct().select("*", F.lit("open").alias("state"), at.alias("at")), state=REQUEST_STATES)
+
+
 def append(df: DataFrame, path: str, name: str, by: tuple[str, ...] = ("site",)) -> None:
     """Appends rows, partitioned. Rows of one partition are brought together first: one file each, not one for each task."""
     df.repartition(*by).write.mode("append").partitionBy(*by).parquet(f"{path.rstrip('/')}/{name}")
