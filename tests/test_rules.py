@@ -53,7 +53,7 @@ def test_robots_states_and_groups(spark):
 
 
 def test_oversized_robots_files_are_unavailable(spark):
-    fits = "#" * (robots.BODY_CAP - 25) + "\nUser-agent: *\nDisallow: /"
+    fits = "#" * (robots.BODY_CAP - 26) + "\nUser-agent: *\nDisallow: /"
     rows = [("fits", 200, fits[: robots.BODY_CAP]), ("over", 200, fits + " " * robots.BODY_CAP), ("gone", 404, "x" * (robots.BODY_CAP + 1)), ("wide", 200, "é" * (robots.BODY_CAP // 2 + 1))]
     docs = tables.robots_docs(spark.createDataFrame(rows, "site string, status_code int, body string"))
     assert {r["site"]: r["state"] for r in docs.collect()} == {"fits": "found", "over": "unavailable", "gone": "unavailable", "wide": "unavailable"}
