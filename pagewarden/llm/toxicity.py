@@ -49,6 +49,8 @@ COUNTS = [f"{x}{k}" for k in range(FOLDS) for x in ("fine", "bad")]
 EVIDENCE = 10.0
 #: Counts that a task holds before it sends them on, and tokens in a batch of them.
 HELD, SENT = 400_000, 20_000
+#: Words whose weights a task remembers: about 15 MB.
+MEMO = 100_000
 #: Rows that the uncalibrated curve counts for.
 PRIOR = 50
 
@@ -67,19 +69,27 @@ def tokens(words: list[str]) -> set[str]:
     return w | {f"{x[:k]}~" for x in w for k in BEGINNINGS if len(x) > k}
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+class Weights(dict):
+    """Weight of a word, by its own entry in the lexicon or that of a beginning, 0 for others; remembers up to MEMO words."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        found = [self.lexicon.get(word, 0.0), *(self.lexicon.get(f"{word[:k]}~", 0.0) for k in BEGINNINGS if len(word) > k)]
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = max(found)
+        return self[word]
+
+
+def features(text: str | None, weights: Weights) -> list[float]:
     if not text:
         return [0.0] * N_FEATURES
     words = words_of(text)
     n = max(1, len(words))
-    value = {}
-    for w in set(words):
-        v = lexicon.get(w, 0.0)
-        for k in BEGINNINGS:
-            if len(w) > k:
-                v = max(v, lexicon.get(f"{w[:k]}~", 0.0))
-        if v:
-            value[w] = v
+    value = {w: v for w in set(words) if (v := weights[w])}
     hits = [i for i, w in enumerate(words) if w in value] if value else []
     seconds = [i for i, w in enumerate(words) if w in SECOND]
     near = 0.0
@@ -174,11 +184,12 @@ class Model:
 
     def __init__(self, lexicon: dict[str, float], trees: Trees | None, curve: tuple[np.ndarray, np.ndarray] | None):
         self.lexicon, self.trees, self.curve = lexicon, trees, curve
+        self.weights = Weights(lexicon)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:
             return np.zeros(len(texts))
-        raw = self.trees.raw(np.array([features(t, self.lexicon) for t in texts]))
+        raw = self.trees.raw(np.array([features(t, self.weights) for t in texts]))
         return np.clip(np.interp(raw, *self.curve) + 1e-4 * (1 / (1 + np.exp(-raw)) - 0.5), 0.0, 1.0)
 
 
@@ -244,8 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     lexicons = [lexicon_of(tuple(k for k in range(FOLDS) if k != out)) for out in range(FOLDS)]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = [Weights(x) for x in lexicons]
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, lexicons[h % FOLDS]) for t, h in zip(b["text"], b["h"], strict=True)], "y": b["y"], "h": b["h"]})
+            yield pd.DataFrame({"x": [features(t, weights[h % FOLDS]) for t, h in zip(b["text"], b["h"], strict=True)], "y": b["y"], "h": b["h"]})
 
     sample = rows.mapInPandas(featured, "x array<double>, y double, h long").toPandas().sort_values(["h", "y"], kind="stable")
     x, y, part = np.array(sample["x"].tolist()), sample["y"].to_numpy(), (sample["h"].to_numpy() // FOLDS) % 4 == 0
