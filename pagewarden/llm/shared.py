@@ -39,15 +39,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, was)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None, rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     The table cuts the lineage, survives lost executors and keeps a Python stage from running once per use.
+    rows: of an Arrow batch while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    with small_batches(spark, rows):
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
