@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, token_files, topk, toxicity, warc
+from . import decontaminate, filter_audit, htmltext, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op12_token_files": token_files.op12_token_files,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op5_warc": warc.OP5_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op9_suffix_dedup": suffix_dedup.OP9_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
