@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, htmltext, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, token_files, topk, toxicity, warc
+from . import decontaminate, filter_audit, htmltext, jaccard_join, mixing, secrets, spelling, substring_dedup, suffix_dedup, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_files": token_files.op12_token_files,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
