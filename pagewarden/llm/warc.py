@@ -24,6 +24,8 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,7 +130,11 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, per_file: in
 
 
 def blocks(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each WARC record of a stream that arrives in pieces. Holds one record's block and one piece at most."""
+    """(header, block) of each WARC record of a file that arrives in pieces. Holds one record's block and one piece at most.
+
+    A file ends with the double line break that cuts pieces. After a payload that ends in a line break the cuts fall one
+    line break early, and the last piece, which has no cut behind it, comes with one too many.
+    """
     held = bytearray()
     source = iter(pieces)
 
@@ -148,6 +154,8 @@ def blocks(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
                     raise ValueError("archive ends inside a record's header")
                 return
             at = held.find(END)
+        if not at and not need(len(END) + 1):
+            return
         head = dict(x.split(": ", 1) for x in held[:at].decode().split("\r\n")[1:])
         length = int(head["Content-Length"])
         if not need(at + 4 + length + 4) or held[at + 4 + length : at + 8 + length] != END:
@@ -166,7 +174,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: None if x == "null" else int(x)
     out: list[list] = [[] for _ in names]
     held = 0
-    for head, body in blocks(x.as_buffer().to_pybytes() + END for b in batches for x in b.column(0)):
+    rows = ((file, piece) for b in batches for piece, file in zip(b.column(0), b.column(1).to_pylist(), strict=True))
+    for head, body in (r for _, file in groupby(rows, itemgetter(0)) for r in blocks(x.as_buffer().to_pybytes() + END for _, x in file)):
         _, _, page, record, segment = head["WARC-Record-ID"].strip("<>").split(":")
         kind, cut = head["WARC-Type"], "WARC-Segment-Number" in head
         ref = head["WARC-Refers-To"].strip("<>").split(":")[2] if kind == "revisit" else "null"
@@ -189,7 +198,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A gzip file is read by one task from start to end, so its pieces arrive in order.
     """
     pieces = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.gz").text(path)
-    return staged(pieces.mapInArrow(_parse, PARSED), "warc-records")
+    return staged(pieces.select("value", F.xxhash64("_metadata.file_path").alias("file")).mapInArrow(_parse, PARSED), "warc-records")
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
