@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import docs_of, staged, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN = r"[A-Za-zÀ-ÿ]+"
+RUN = f"[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+"
 LETTERS = LOWER + "".join(map(chr, range(0xC0, 0x100)))
 SYMBOLS = "01234567"
 

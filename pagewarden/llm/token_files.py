@@ -45,7 +45,8 @@ CHARS = 1 << 20
 CLOSING = ".,;:!?"
 #: White space to Python but not to tokenizers.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CHUNK = re.compile(r"[^\t-\r\x20\x85\xa0  -     　]+")
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+CHUNK = re.compile(f"[^{WHITE}]+")
 
 
 class _Slots(dict):
