@@ -15,7 +15,7 @@ UNSAFE = r'[^\x21-\x7E]|["<>`{}^]'
 PLACEHOLDER = "http://pages.invalid"
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """f(value), with value computed once. Without it an expression that is used twice is computed twice, at every level."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -24,14 +24,14 @@ def _part(c: Column, i: int) -> Column:
     return F.regexp_extract(c, PARTS, i)
 
 
-def _encoded(c: Column, unsafe: str = UNSAFE) -> Column:
+def encoded(c: Column, unsafe: str = UNSAFE) -> Column:
     one = lambda x: F.when(x.rlike(unsafe), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
     return F.when(c.rlike(unsafe), F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1)), one), "")).otherwise(c)
 
 
 def _no_dots(path: Column) -> Column:
     """Removes . and .. segments of a path that starts with a slash."""
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _let(F.split(path, "/"), _kept)).otherwise(path)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), let(F.split(path, "/"), _kept)).otherwise(path)
 
 
 def _kept(parts: Column) -> Column:
@@ -39,7 +39,7 @@ def _kept(parts: Column) -> Column:
     last = F.element_at(segments, -1)
     step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
     kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    return _let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), "/").otherwise("")))
+    return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), "/").otherwise("")))
 
 
 def _scheme(c: Column) -> Column:
@@ -59,11 +59,11 @@ def url_origin(c: Column) -> Column:
 
 
 def _path(c: Column) -> Column:
-    return _let(F.translate(_part(c, 4), "\\", "/"), lambda raw: F.when(raw == "", "/").otherwise(_let(_encoded(raw), _no_dots)))
+    return let(F.translate(_part(c, 4), "\\", "/"), lambda raw: F.when(raw == "", "/").otherwise(let(encoded(raw), _no_dots)))
 
 
 def _query(c: Column) -> Column:
-    return _let(_part(c, 5), lambda q: F.when(q == "?", "").otherwise(_encoded(q, r"[^\x21-\x7E]|[\"<>']")))
+    return let(_part(c, 5), lambda q: F.when(q == "?", "").otherwise(encoded(q, r"[^\x21-\x7E]|[\"<>']")))
 
 
 def _short(path: Column) -> Column:
@@ -72,17 +72,17 @@ def _short(path: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """No fragment, no default port, scheme and host in lower case, one trailing slash dropped; the query stays."""
-    return _let(c, lambda u: F.concat(url_origin(u), _let(_path(u), _short), _query(u)))
+    return let(c, lambda u: F.concat(url_origin(u), let(_path(u), _short), _query(u)))
 
 
 def url_path(c: Column) -> Column:
     """Normalized path name; null for what is no http(s) URL."""
-    return _let(c, lambda u: F.when(_is_url(u), _let(_path(u), _short)))
+    return let(c, lambda u: F.when(_is_url(u), let(_path(u), _short)))
 
 
 def frontier_url(c: Column) -> Column:
     """Normalized, or as it is where it is no URL."""
-    return _let(c, lambda u: F.coalesce(normalize_url(u), u))
+    return let(c, lambda u: F.coalesce(normalize_url(u), u))
 
 
 def logical_url(c: Column, placeholder: str = PLACEHOLDER) -> Column:
@@ -107,7 +107,7 @@ def resolve_href(href: Column, base: Column) -> Column:
         )
 
     whole = lambda x: F.concat(url_origin(x), _path(x), _query(x))
-    return _let(base, lambda u: F.when(_is_url(u), _let(clean, lambda h: _let(absolute(h, u), whole))))
+    return let(base, lambda u: F.when(_is_url(u), let(clean, lambda h: let(absolute(h, u), whole))))
 
 
 def ip_is_private(c: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_origin
+from ..functions.urls import encoded, let, url_origin
+from ..sources.staging import cut
 
 # Fixed value: bytes of a robots.txt; a longer one cannot be read, so what it says is unknown.
 BODY_CAP = 500 * 1024
@@ -63,11 +64,39 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     return out.unionByName(own).unionByName(maps)
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """A path pattern with * and a final $ as an anchored expression."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|$])", r"\\$1")
-    opened = F.regexp_replace(quoted, r"\*", ".*")
-    return F.concat(F.lit("^"), F.when(pattern.endswith("$"), F.regexp_replace(opened, r"\\\$$", r"\$")).otherwise(opened))
+def octets(c: Column) -> Column:
+    """Non-ASCII characters and blanks percent-encoded, and the hex digits of what is encoded already in upper case."""
+    upper = lambda x, i: F.when((i > 0) & x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substr(x, F.lit(3)))).otherwise(x)
+    return let(encoded(c, r"[^\x21-\x7E]"), lambda e: F.when(e.contains("%"), F.array_join(F.transform(F.split(e, "%"), upper), "%")).otherwise(e))
+
+
+def filed_rules(rules: DataFrame) -> DataFrame:
+    """(site, ua_token, prefix, filed): allow and disallow rules under the literal text before their first *.
+
+    filed holds struct<len, allow, pieces, ends> for each: the text between later asterisks, and whether a final $ ends
+    the path. What shares a prefix is one row; a file's cap bounds it.
+    """
+    used = rules.filter(F.col("ua_token").isNotNull() & F.col("kind").isin("allow", "disallow"))
+    ends = F.col("pattern").endswith("$")
+    body = F.when(ends, F.substr("pattern", F.lit(1), F.length("pattern") - 1)).otherwise(F.col("pattern"))
+    pieces = F.split(octets(F.regexp_replace(body, r"\*+", "*")), r"\*")
+    r = used.select("site", "ua_token", (F.col("kind") == "allow").cast("int").alias("allow"), F.length("pattern").alias("len"), ends.alias("ends"), pieces.alias("pieces"))
+    rule = F.struct("len", "allow", F.slice("pieces", F.lit(2), F.size("pieces")).alias("pieces"), "ends")
+    return r.groupBy("site", "ua_token", F.get("pieces", F.lit(0)).alias("prefix")).agg(F.collect_list(rule).alias("filed"))
+
+
+def glob_matches(path: Column, after: Column, pieces: Column, ends: Column) -> Column:
+    """Whether the path goes on, behind its first `after` characters, with the pieces in order and anything before each.
+
+    Every piece is taken where it first occurs, so nothing is tried twice: the time is that of one search for each piece.
+    With `ends` the last piece must end the path, and without pieces the path must end there.
+    """
+    last = F.element_at(pieces, -1)
+    inner = F.when(ends & (F.size(pieces) > 0), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    step = lambda at, piece: F.when((at == 0) | (piece == ""), at).otherwise(let(F.call_function("locate", piece, path, at), lambda found: F.when(found == 0, 0).otherwise(found + F.length(piece))))
+    at = F.aggregate(inner, after + 1, step)
+    closed = F.when(F.size(pieces) == 0, F.length(path) == after).otherwise(path.endswith(last) & (F.length(path) - F.length(last) + 1 >= at))
+    return (at > 0) & (~ends | closed)
 
 
 def _decide(asked: DataFrame, rules: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,14 +104,21 @@ def _decide(asked: DataFrame, rules: DataFrame, states: DataFrame, keys: list[st
 
     The agent's own groups decide if the site has any, else those of '*'. The longest matching pattern wins, an allow
     among equals; no match, or no robots file, is allowed; an unavailable file denies everything.
+
+    A path asks for its prefixes of the lengths that its group's rules have, and meets the rules filed under them: no row
+    is made for a rule whose literal beginning the path has not.
     """
     used = rules.filter("ua_token is not null")
     mine = used.filter("kind = 'agent'").select("site", F.col("ua_token").alias("agent")).distinct().withColumn("named", F.lit(True))
     a = asked.join(states.select("site", "state"), "site", "left").join(mine, ["site", "agent"], "left")
     a = a.withColumn("ua_token", F.when(F.col("named"), F.col("agent")).otherwise("*"))
-    r = used.filter(F.col("kind").isin("allow", "disallow")).select("site", "ua_token", (F.col("kind") == "allow").alias("allow"), pattern_regex(F.col("pattern")).alias("rx"), F.length("pattern").alias("len"))
-    j = a.join(r, (a["site"] == r["site"]) & (a["ua_token"] == r["ua_token"]) & F.rlike(a["path"], r["rx"]), "left").select(a["*"], r["allow"], r["len"])
-    best = j.groupBy("site", *keys, "state").agg(F.max_by("allow", F.struct("len", F.col("allow").cast("int"))).alias("allow"))
+    filed = cut(filed_rules(rules), "robots-filed")
+    lengths = filed.groupBy("site", "ua_token").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    a = a.join(lengths, ["site", "ua_token"], "left").withColumn("after", F.explode_outer(F.filter("lengths", lambda n: n <= F.length("path"))))
+    j = a.withColumn("prefix", F.substr("path", F.lit(1), F.col("after"))).join(filed, ["site", "ua_token", "prefix"], "left")
+    met = F.filter("filed", lambda r: glob_matches(F.col("path"), F.col("after"), r["pieces"], r["ends"]))
+    j = j.select("site", *keys, "state", F.array_max(F.transform(met, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow")))).alias("best"))
+    best = j.groupBy("site", *keys, "state").agg((F.max("best")["allow"] == 1).alias("allow"))
     allowed = F.when(F.col("state") == "found", F.coalesce("allow", F.lit(True))).when(F.col("state") == "absent", True).otherwise(False)
     return best.withColumn("allowed", allowed).drop("allow")
 
@@ -91,7 +127,7 @@ def url_allowed(urls: DataFrame, rules: DataFrame, states: DataFrame, ua: str) -
     """(site, url) to (site, url, state, allowed)."""
     path = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     path = F.regexp_replace(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "#.*$", "")
-    return _decide(urls.select("site", "url", F.lit(ua.lower()).alias("agent"), path.alias("path")).distinct(), rules, states, ["url"])
+    return _decide(urls.select("site", "url", F.lit(ua.lower()).alias("agent"), octets(path).alias("path")).distinct(), rules, states, ["url"])
 
 
 def ai_bot_access(states: DataFrame, rules: DataFrame, catalog: DataFrame) -> DataFrame:

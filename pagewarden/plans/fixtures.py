@@ -153,3 +153,16 @@ def context(spark: SparkSession, d: str, shift: int = 0, lab: bool = True) -> Da
     if not lab:
         return s.select("*", *[F.lit(None).cast("double").alias(c) for c in ("lcp_ms", "cls_unitless", "tbt_ms")])
     return vitals.attach_vitals(s, vitals.lab_vitals(lab_runs(spark, d)))
+
+
+# Rules with wildcards, for all agents; which of the two lists a site has goes by its rank.
+WILD = [
+    [("disallow", "/*?"), ("allow", "/*?page="), ("disallow", "/*.html$"), ("allow", "/en/*-*.html$"), ("disallow", "/*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*a*b"), ("disallow", "/*/*e*/*")],
+    [("disallow", "/"), ("allow", "/*e*e*"), ("disallow", "/*/*n*g$"), ("allow", "/$"), ("allow", "*.html"), ("disallow", "/fr/***r*r"), ("allow", "/de/$"), ("disallow", "/*#")],
+]
+
+
+def wild_robots_doc(spark: SparkSession, d: str) -> DataFrame:
+    """A robots.txt with wildcards for every site."""
+    body = ["User-agent: *\n" + "".join(f"{k}: {p}\n" for k, p in w) for w in WILD]
+    return sites(spark, d).select("site", F.lit(200).alias("status_code"), F.when(F.col("rank") % 2 == 0, body[0]).otherwise(body[1]).alias("body"))

@@ -6,6 +6,7 @@ Nothing here parses HTML or JSON-LD: what a page holds follows from its number.
 from __future__ import annotations
 
 from ..operators.rules import RECOMMENDED as ADVICE
+from .fixtures import WILD
 from .queries import _IPS, RULE_IDS, rule_key
 
 ORIGIN = "lower(regexp_extract({u}, '^[A-Za-z]+://[^/?#]+'))"
@@ -237,6 +238,19 @@ SQL["rob1_rules"] = P("""SELECT site, '*' AS ua_token, 'disallow' AS kind, '/en/
     UNION ALL SELECT site, ua, kind, pattern FROM st, (VALUES ('gptbot', 'disallow', '/'), ('*', 'allow', '/'), ('*', 'crawl_delay', '2'), (NULL, 'sitemap', 'https://maps.example/sitemap.xml')) t(ua, kind, pattern) WHERE rank % 5 = 3
     UNION ALL SELECT site, '*', kind, pattern FROM st, (VALUES ('disallow', '/'), ('allow', '/fr/')) t(kind, pattern) WHERE rank % 5 = 4""")
 SQL["rob2_url_allowed"] = _with(PG, MAY, q="SELECT site, url, allowed FROM may")
+
+
+def _wild() -> str:
+    """The longest rule that matches, an allow among equals: the largest of 2 * length + 1 for an allow."""
+    rx = lambda p: "^" + "".join(".*" if c == "*" else c if c.isalnum() or c in "/-=#" else "\\" + c for c in p.removesuffix("$")) + "$" * p.endswith("$")
+    one = lambda k, p: f"CASE WHEN regexp_matches(path, '{rx(p)}') THEN {2 * len(p) + (k == 'allow')} ELSE -1 END"
+    best = [f"greatest({', '.join(one(*r) for r in w)})" for w in WILD]
+    path = "regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', '')"
+    return f"""SELECT site, url, best = -1 OR best % 2 = 1 AS allowed FROM (SELECT site, url, CASE WHEN rank % 2 = 0 THEN {best[0]} ELSE {best[1]} END AS best
+    FROM (SELECT DISTINCT site, url, rank, CASE WHEN {path} LIKE '/%' THEN {path} ELSE '/' || {path} END AS path FROM pg JOIN st USING (site)))"""
+
+
+SQL["rob4_wildcard_rules"] = P(_wild())
 SQL["rob3_ai_bot_access"] = _with(PG, BOTS, ACC, q="SELECT * FROM acc")
 SQL["smp1_entries"] = P("""SELECT site, site || CASE WHEN rank % 2 = 0 THEN '/part' || (page_id % 2) || '.xml' ELSE '/sitemap.xml' END AS sitemap_url, 'urlset' AS kind,
     CAST(row_number() OVER (PARTITION BY site, CASE WHEN rank % 2 = 0 THEN page_id % 2 ELSE 0 END ORDER BY page_id) - 1 AS INTEGER) AS ord, url AS loc FROM pg JOIN st USING (site) WHERE page_id % 4 <> 0 AND rank % 7 <> 0

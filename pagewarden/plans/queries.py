@@ -292,6 +292,15 @@ _add("grf4_seed_filter", lambda s, d: robots.same_origin_seeds(listed(s, d).with
 # Robots, sitemaps, payloads
 _add("rob1_rules", lambda s, d: robots_tables(s, d)[1].filter("kind <> 'agent'").select("site", "ua_token", "kind", "pattern"))
 _add("rob2_url_allowed", lambda s, d: may(s, d).select("site", "url", "allowed"))
+
+
+@query("rob4_wildcard_rules")
+def _wildcards(s, d):
+    """Every page's URL against rules with wildcards, one of them with twenty."""
+    docs = tables.robots_docs(fx.wild_robots_doc(s, d))
+    return robots.url_allowed(fx.pages(s, d).select("site", "url"), robots.robots_rules(docs), docs, "ExampleBot").select("site", "url", "allowed")
+
+
 _add("rob3_ai_bot_access", lambda s, d: access(s, d).select("site", "token", "purpose", "allowed", "robots_found"))
 _add("smp1_entries", lambda s, d: sitemap.sitemap_entries(fx.sitemap_doc(s, d)).select("site", "sitemap_url", "kind", "ord", "loc"))
 _add("fld1_field_vitals", lambda s, d: vitals.field_vitals(fx.field_payloads(s, d)).select("url", "event_id", "field_lcp_ms", "field_cls", "field_inp_ms"))
