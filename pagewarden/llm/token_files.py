@@ -36,7 +36,7 @@ from . import huffman
 from .shared import docs_of, shared_dir, small_batches, staged, table
 
 BLOCK_IDS = 1 << 16
-STEP = 128
+STEP = 64
 #: Blocks of a file: some 25 MB, which a reader holds in memory.
 PER_FILE = 256
 #: Ids of a part; ranges of documents of about this size are written by a task each.
@@ -64,15 +64,18 @@ class _Slots(dict):
 class ChunkIds:
     """Ids of texts, through remembered ids of their chunks."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.letters: dict[str, tuple[int, ...]] = {}
         self.split = self._splits()
         self.reset()
 
     def reset(self) -> None:
-        self.slots, self.letters, self.kept = _Slots(), {}, 0
+        self.slots, self.kept = _Slots(), 0
+        if len(self.letters) > self.most:
+            self.letters = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
     def whole(self, text: str) -> list[int]:
@@ -160,10 +163,9 @@ def counts(tokens: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_py(), kind), minlength=len(total))
-                c[: len(total)] += total
-                total = c
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=len(total))
+            c[: len(total)] += total
+            total = c
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
