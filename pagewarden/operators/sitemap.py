@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has
 from ..functions.urls import url_path
 from ..sources.staging import cut
+from . import sitemap_xml
+
+
+ENTRIES = "site string, sitemap_url string, kind string, ord int, loc string"
+#: Rows and characters of a batch of entries on its way out of the parser.
+BATCH, CHARS = 10_000, 1 << 22
 
 
 def sitemap_entries(docs: DataFrame) -> DataFrame:
-    """(site, sitemap_url, kind, ord, loc) of documents of status 200 whose root element is closed.
+    """(site, sitemap_url, kind, ord, loc) of well-formed documents of status 200 and at most 50 MB; ord counts from 0.
 
-    An index is looked for before a urlset. Purely numeric locations are dropped; entities stay as they are.
+    Bodies are parsed where they lie, one pass each, and entries leave in bounded batches: see `sitemap_xml` for what
+    counts as a location. An index is looked for before a urlset. A null body, or one beyond the cap, has no entries.
     """
     body = F.coalesce("body", F.lit(""))
-    kind = F.when(body.rlike(r"(?s)<sitemapindex[\s>].*</sitemapindex>\s*$"), "index").when(body.rlike(r"(?s)<urlset[\s>].*</urlset>\s*$"), "urlset")
-    d = docs.filter("status_code = 200").select("site", "sitemap_url", kind.alias("kind"), F.regexp_extract_all(body, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)).alias("locs")).filter(F.col("kind").isNotNull())
-    locs = F.filter("locs", lambda x: has(x) & ~x.rlike(r"^[0-9.]+$"))
-    return d.select("site", "sitemap_url", "kind", F.posexplode(locs).alias("ord", "loc"))
+    d = docs.filter("status_code = 200").select("site", "sitemap_url", body.alias("body")).filter(F.octet_length("body") <= sitemap_xml.MAX_BYTES)
+    return d.mapInArrow(_parse, ENTRIES)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    out: list[list] = [[] for _ in names]
+    held = 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+
+    for b in batches:
+        for site, url, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            kind, locs = sitemap_xml.locations(body.as_py())
+            for i, loc in enumerate(locs):
+                for c, v in zip(out, (site, url, kind, i, loc), strict=True):
+                    c.append(v)
+                held += len(loc)
+                if len(out[0]) == BATCH or held > CHARS:
+                    yield row()
+                    out, held = [[] for _ in names], 0
+    yield row()
 
 
 def _met(entries: DataFrame, roots: DataFrame, max_children: int | None) -> tuple[DataFrame, DataFrame]:

@@ -166,3 +166,16 @@ def wild_robots_doc(spark: SparkSession, d: str) -> DataFrame:
     """A robots.txt with wildcards for every site."""
     body = ["User-agent: *\n" + "".join(f"{k}: {p}\n" for k, p in w) for w in WILD]
     return sites(spark, d).select("site", F.lit(200).alias("status_code"), F.when(F.col("rank") % 2 == 0, body[0]).otherwise(body[1]).alias("body"))
+
+
+def odd_sitemap_doc(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each page that lists its URL once, in one of the ways that XML allows, by page_id % 8."""
+    u = F.col("url")
+    forms = {
+        0: ("<urlset><url><loc><![CDATA[", u, "]]></loc></url></urlset>"), 1: ("<urlset><!-- <url><loc>http://old.example/</loc></url> --><url><loc>\n ", u, " </loc></url></urlset>"),
+        2: ("<sm:urlset xmlns:sm='x'><sm:url><sm:loc>", u, "</sm:loc></sm:url></sm:urlset>"), 3: ("<urlset><url><image:image><image:loc>http://old.example/</image:loc></image:image><loc>", u, "</loc></url></urlset>"),
+        4: ("<urlset><url><loc>", u, "</loc></url>"), 5: ("<?xml version='1.0'?><!DOCTYPE urlset [<!ENTITY a '>'>]><urlset a='>'><url><loc lang='>'>", u, "&amp;x</loc></url></urlset>"),
+        6: ("<urlset><url><loc>", u, "</loc><loc>http://old.example/</loc></url></urlset>"), 7: ("<sitemapindex><sitemap><loc>", u, "</loc></sitemap><sitemap><loc>77</loc></sitemap></sitemapindex>"),
+    }
+    body = F.coalesce(*(F.when(F.col("page_id") % 8 == k, F.concat(F.lit(a), x, F.lit(b))) for k, (a, x, b) in forms.items()))
+    return pages(spark, d).select("site", F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("sitemap_url"), F.lit(200).alias("status_code"), body.alias("body"))

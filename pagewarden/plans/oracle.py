@@ -255,6 +255,7 @@ SQL["rob3_ai_bot_access"] = _with(PG, BOTS, ACC, q="SELECT * FROM acc")
 SQL["smp1_entries"] = P("""SELECT site, site || CASE WHEN rank % 2 = 0 THEN '/part' || (page_id % 2) || '.xml' ELSE '/sitemap.xml' END AS sitemap_url, 'urlset' AS kind,
     CAST(row_number() OVER (PARTITION BY site, CASE WHEN rank % 2 = 0 THEN page_id % 2 ELSE 0 END ORDER BY page_id) - 1 AS INTEGER) AS ord, url AS loc FROM pg JOIN st USING (site) WHERE page_id % 4 <> 0 AND rank % 7 <> 0
     UNION ALL SELECT site, site || '/sitemap.xml', 'index', n, site || '/part' || n || '.xml' FROM st, (VALUES (0), (1)) t(n) WHERE rank % 2 = 0 AND rank % 7 <> 0""")
+SQL["smp2_odd_documents"] = P("SELECT site, '/' || page_id || '.xml' AS sitemap_url, CASE WHEN page_id % 8 = 7 THEN 'index' ELSE 'urlset' END AS kind, CAST(0 AS INTEGER) AS ord, CASE WHEN page_id % 8 = 5 THEN url || '&amp;x' ELSE url END AS loc FROM pg WHERE page_id % 8 NOT IN (2, 4, 6)")
 SQL["fld1_field_vitals"] = P("SELECT url, event_id, CASE WHEN event_id % 10 <> 0 THEN floor(value) END AS field_lcp_ms, floor(value) / 100 AS field_cls, floor(value) AS field_inp_ms FROM events JOIN pg ON event_id % n_pages = page_id WHERE event_id % 17 <> 0")
 SQL["fld2_search_metrics"] = "SELECT CAST(event_id AS VARCHAR) AS property_scope, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS DOUBLE) ELSE 0 END AS clicks, CAST(0 AS DOUBLE) AS impressions, CASE WHEN event_id % 7 <> 0 THEN value ELSE 0 END AS position FROM events"
 SQL["fld3_traffic_metrics"] = "SELECT CAST(event_id AS VARCHAR) AS property_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS DOUBLE) ELSE 0 END AS sessions, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id AS DOUBLE) ELSE 0 END AS active_users FROM events"

@@ -303,6 +303,7 @@ def _wildcards(s, d):
 
 _add("rob3_ai_bot_access", lambda s, d: access(s, d).select("site", "token", "purpose", "allowed", "robots_found"))
 _add("smp1_entries", lambda s, d: sitemap.sitemap_entries(fx.sitemap_doc(s, d)).select("site", "sitemap_url", "kind", "ord", "loc"))
+_add("smp2_odd_documents", lambda s, d: sitemap.sitemap_entries(fx.odd_sitemap_doc(s, d)).select("site", "sitemap_url", "kind", "ord", "loc"))
 _add("fld1_field_vitals", lambda s, d: vitals.field_vitals(fx.field_payloads(s, d)).select("url", "event_id", "field_lcp_ms", "field_cls", "field_inp_ms"))
 _search = lambda: F.concat(F.lit('{"rows":[{"clicks":'), F.col("event_id").cast("string"), F.lit(',"impressions":"x","position":'), F.col("value").cast("string"), F.lit("}]}"))
 _add("fld2_search_metrics", lambda s, d: vitals.search_metrics(fx.load(s, d, "events").select(F.col("event_id").cast("string").alias("property_scope"), F.when(F.col("event_id") % 7 != 0, _search()).otherwise("{}").alias("payload"))))
