@@ -1,25 +1,24 @@
 """URL expressions, built-in functions only.
 
 An http(s) URL is taken apart by one anchored expression; Spark's parse_url fails on non-ASCII paths and keeps the case
-of hosts and default ports. Paths and queries are percent-encoded and dot segments removed as browsers do. Punycode is
-left out: a non-ASCII host is kept in lower case.
+of hosts and default ports. Paths and queries are percent-encoded and dot segments removed as browsers do. Hosts have one
+spelling each (`hosts.py`): Punycode, decimal IPv4 and the shortest IPv6.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .hosts import ascii_host, let
+
 PARTS = r"^[\x00-\x20]*([A-Za-z][A-Za-z0-9+.-]*):[/\\]{2}(?:[^/?#\\@]*@)?((?:\[[^\]/?#]*\]|[^/?#\\:\[\]@\s])+)(?::([0-9]*))?(?:([/\\][^?#]*))?(\?[^#]*)?(#.*)?$"
 UNSAFE = r'[^\x21-\x7E]|["<>`{}^]'
 PLACEHOLDER = "http://pages.invalid"
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value computed once. Without it an expression that is used twice is computed twice, at every level."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _part(c: Column, i: int) -> Column:
     return F.regexp_extract(c, PARTS, i)
 
@@ -46,16 +45,30 @@ def _scheme(c: Column) -> Column:
     return F.lower(_part(c, 1))
 
 
-def _is_url(c: Column) -> Column:
+def _shaped(c: Column) -> Column:
+    """Whether c has the parts of an http(s) URL; its host may still be none."""
     port = _part(c, 3)
     return c.rlike(PARTS) & _scheme(c).isin("http", "https") & ((port == "") | (port.try_cast("int") <= 65535))
 
 
+def url_host(c: Column) -> Column:
+    """The host in its one spelling; null for what is no http(s) URL."""
+    return F.when(_shaped(c), ascii_host(_part(c, 2)))
+
+
+def _is_url(c: Column) -> Column:
+    return url_host(c).isNotNull()
+
+
 def url_origin(c: Column) -> Column:
     """scheme://host[:port] in lower case without a default port; null for what is no http(s) URL."""
-    scheme, port = _scheme(c), F.regexp_replace(_part(c, 3), "^0+(?=[0-9])", "")
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    return F.when(_is_url(c), F.concat(scheme, F.lit("://"), F.lower(_part(c, 2)), F.when((port == "") | default, "").otherwise(F.concat(F.lit(":"), port))))
+
+    def origin(host: Column) -> Column:
+        scheme, port = _scheme(c), F.regexp_replace(_part(c, 3), "^0+(?=[0-9])", "")
+        default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+        return F.when(host.isNotNull(), F.concat(scheme, F.lit("://"), host, F.when((port == "") | default, "").otherwise(F.concat(F.lit(":"), port))))
+
+    return let(url_host(c), origin)
 
 
 def _path(c: Column) -> Column:
@@ -94,24 +107,28 @@ def resolve_href(href: Column, base: Column) -> Column:
     """Absolute http(s) URL of a link without its fragment; null for other schemes and for what cannot be resolved."""
     clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", ""), "#.*$", "")
 
-    def absolute(h: Column, u: Column) -> Column:
+    def absolute(h: Column, u: Column, origin: Column) -> Column:
         scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
         return (
             F.when(scheme.isin("http", "https"), h)
             .when(scheme != "", F.lit(None))
             .when(h.rlike(r"^[/\\]{2}"), F.concat(_scheme(u), F.lit(":"), h))
-            .when(h.rlike(r"^[/\\]"), F.concat(url_origin(u), h))
-            .when(h.startswith("?"), F.concat(url_origin(u), _path(u), h))
-            .when(h == "", F.concat(url_origin(u), _path(u), _query(u)))
-            .otherwise(F.concat(url_origin(u), F.regexp_replace(_path(u), "[^/]*$", ""), h))
+            .when(h.rlike(r"^[/\\]"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(origin, _path(u), h))
+            .when(h == "", F.concat(origin, _path(u), _query(u)))
+            .otherwise(F.concat(origin, F.regexp_replace(_path(u), "[^/]*$", ""), h))
         )
 
     whole = lambda x: F.concat(url_origin(x), _path(x), _query(x))
-    return let(base, lambda u: F.when(_is_url(u), let(clean, lambda h: let(absolute(h, u), whole))))
+    found = lambda u: lambda o: F.when(o.isNotNull(), let(let(clean, lambda h: absolute(h, u, o)), whole))
+    return let(base, lambda u: let(url_origin(u), found(u)))
 
 
 def ip_is_private(c: Column) -> Column:
-    """Private, reserved or unrecognized address. Octal, hex and integer spellings are unrecognized, so true."""
+    """Private, reserved or unrecognized address. Octal, hex and integer spellings are unrecognized, so true.
+
+    `ascii_host` gives addresses the spellings that are recognized here.
+    """
     v4 = c.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$")
     n = F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
     a, b = F.get(n, F.lit(0)), F.get(n, F.lit(1))
@@ -121,7 +138,9 @@ def ip_is_private(c: Column) -> Column:
     )
     low = F.lower(c)
     v6 = low.rlike(r"^[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:.]*$") & ~low.contains(":::")
-    mapped = F.regexp_extract(low, r"^::ffff:([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    hexed = F.regexp_extract(low, r"^::ffff:([0-9a-f]{1,4}:[0-9a-f]{1,4})$", 1)
+    octets = F.flatten(F.transform(F.split(hexed, ":"), lambda x: let(F.conv(x, 16, 10).try_cast("int"), lambda v: F.array(F.shiftright(v, 8), v.bitwiseAND(255)))))
+    mapped = F.when(hexed != "", F.array_join(octets, ".")).otherwise(F.regexp_extract(low, r"^::ffff:([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1))
     m = F.transform(F.split(mapped, r"\."), lambda x: x.try_cast("int"))
     ma, mb = F.get(m, F.lit(0)), F.get(m, F.lit(1))
     bad_mapped = ma.isin(0, 10, 127) | (ma >= 224) | ((ma == 172) & mb.between(16, 31)) | ((ma == 192) & (mb == 168)) | ((ma == 169) & (mb == 254)) | ((ma == 100) & mb.between(64, 127))
@@ -130,29 +149,39 @@ def ip_is_private(c: Column) -> Column:
 
 
 def url_is_safe(c: Column) -> Column:
-    """struct<ok, reason>: http(s), and no private address literal. Numeric and hex hosts count as such literals."""
+    """struct<ok, reason>: http(s), and no private address in any spelling."""
     scheme = F.lower(F.regexp_extract(c, r"^[\x00-\x20]*([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.regexp_replace(F.lower(_part(c, 2)), r"^\[|\]$", "")
-    literal = host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*\.?$") | host.contains(":")
-    reason = F.when(c.isNull() | (scheme == ""), "invalid_url").when(~scheme.isin("http", "https"), "scheme").when(~_is_url(c), "invalid_url").when(literal & ip_is_private(host), "private_address")
-    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+
+    def judged(host: Column) -> Column:
+        bare = F.regexp_replace(host, r"^\[|\]$", "")
+        literal = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.contains(":")
+        reason = F.when(c.isNull() | (scheme == ""), "invalid_url").when(~scheme.isin("http", "https"), "scheme").when(host.isNull(), "invalid_url").when(literal & ip_is_private(bare), "private_address")
+        return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+
+    return let(url_host(c), judged)
 
 
 def finding_key(url: Column, rule_id: Column, version: Column) -> Column:
     """Stable key of a finding: 16 hex digits over the normalized URL, the rule and its version."""
-    return F.substring(F.sha2(F.concat_ws("|", normalize_url(url), rule_id, version.cast("string")), 256), 1, 16)
+    return _key(normalize_url(url), rule_id, version)
+
+
+def _key(normalized: Column, rule_id: Column, version: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", normalized, rule_id, version.cast("string")), 256), 1, 16)
+
+
+def sql_of(column: Column) -> str:
+    """SQL text that parses to the column. Operators print as calls, `and`(a, b), so their names are quoted."""
+    token = re.compile(r"'(?:[^'\\]|\\.)*'|\b(and|or|not|in|like|rlike|div|mod)(?=\()|([<>=!%*/+|&^~-]+)(?=\()")
+    return token.sub(lambda m: f"`{m[1] or m[2]}`" if m[1] or m[2] else m[0], column._jc.node().sql())
 
 
 def register_sql(spark: SparkSession) -> None:
-    """normalize_url, finding_key and url_is_safe as temporary SQL functions."""
-    parts = PARTS.replace("\\", "\\\\").replace("'", "\\'")
-    piece = lambda i: f"regexp_extract(u, '{parts}', {i})"
-    origin = (
-        f"lower({piece(1)}) || '://' || lower({piece(2)}) || CASE WHEN {piece(3)} = '' OR (lower({piece(1)}) = 'http' AND {piece(3)} = '80') "
-        f"OR (lower({piece(1)}) = 'https' AND {piece(3)} = '443') THEN '' ELSE ':' || {piece(3)} END"
-    )
-    path = f"CASE WHEN length({piece(4)}) > 1 THEN regexp_replace({piece(4)}, '/$', '') WHEN {piece(4)} = '' THEN '/' ELSE {piece(4)} END"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_url(u STRING) RETURNS STRING RETURN CASE WHEN u RLIKE '{parts}' THEN {origin} || {path} || {piece(5)} END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION finding_key(u STRING, rule STRING, version INT) RETURNS STRING RETURN substring(sha2(concat_ws('|', normalize_url(u), rule, cast(version AS STRING)), 256), 1, 16)")
-    private = r"^\\[?(127\\.|10\\.|0\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.|2[2-5][0-9]\\.|::1?\\]|f[cd]|fe[89ab])|^[0-9]+$|^0x"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION url_is_safe(u STRING) RETURNS BOOLEAN RETURN coalesce(u RLIKE '{parts}' AND lower({piece(1)}) IN ('http', 'https') AND NOT lower({piece(2)}) RLIKE '{private}', false)")
+    """normalize_url, finding_key and url_is_safe as temporary SQL functions, from the columns' own definitions."""
+    bodies = {
+        "normalize_url(u STRING) RETURNS STRING": normalize_url(F.col("u")),
+        "finding_key(u STRING, rule STRING, version INT) RETURNS STRING": _key(F.call_function("normalize_url", F.col("u")), F.col("rule"), F.col("version")),
+        "url_is_safe(u STRING) RETURNS BOOLEAN": F.coalesce(url_is_safe(F.col("u"))["ok"], F.lit(False)),
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {sql_of(body)}")

@@ -179,3 +179,18 @@ def odd_sitemap_doc(spark: SparkSession, d: str) -> DataFrame:
     }
     body = F.coalesce(*(F.when(F.col("page_id") % 8 == k, F.concat(F.lit(a), x, F.lit(b))) for k, (a, x, b) in forms.items()))
     return pages(spark, d).select("site", F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("sitemap_url"), F.lit(200).alias("status_code"), body.alias("body"))
+
+
+def odd_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url): a URL for each page whose host is an address made of page_id in one of its spellings, or a name."""
+    k = F.col("page_id")
+    n = (k * 7919 + 16777216) % 4294967296
+    part = lambda i: F.shiftright(n, 8 * i).bitwiseAND(255)
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    octal, hexed = (lambda x: F.conv(x.cast("string"), 10, 8)), (lambda x: F.hex(x))
+    forms = [
+        text(n), text("0x", hexed(n)), text("0", octal(part(3)), ".", part(2), ".", n % 65536), text(part(3), ".0x", hexed(part(2)), ".0", octal(part(1)), ".", part(0)),
+        text("[0:00::0:ffff:", hexed(F.shiftright(n, 16)), ":", hexed(n % 65536), "]"), text("B", chr(0xFC), "cher.P", k, ".example"),
+    ]
+    host = F.coalesce(*(F.when(k % 6 == i, h) for i, h in enumerate(forms)))
+    return pages(spark, d).select("page_id", F.concat(F.lit("HTTP://u@"), host, F.lit(":080/a/../b/#f")).alias("url"))

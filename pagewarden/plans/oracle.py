@@ -190,6 +190,12 @@ SQL["url5_safe"] = P(f"SELECT page_id, page_id % 3 <> 0 AND {_PUB} AS ok, true A
 SQL["url6_private_ip"] = P(f"SELECT page_id, NOT {_PUB} AS private, true AS host_private FROM pg")
 SQL["url7_logical"] = P(f"SELECT page_id, 'http://pages.invalid' || {_u(RAWPATH)} || {_u(QUERY)} AS logical FROM pg")
 SQL["url8_finding_key"] = P("SELECT page_id, left(sha256(norm || '|R-TITLE-MISSING|1'), 16) AS finding_key FROM pg")
+# The addresses are 1.x.y.z here, all public.
+SQL["url9_host_spellings"] = """WITH n AS (SELECT page_id, (page_id * 7919 + 16777216) % 4294967296 AS n FROM pages),
+h AS (SELECT page_id, CASE page_id % 6 WHEN 4 THEN '[::ffff:' || lower(to_hex(n >> 16)) || ':' || lower(to_hex(n % 65536)) || ']' WHEN 5 THEN 'xn--bcher-kva.p' || page_id || '.example'
+    ELSE (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) END AS host FROM n),
+u AS (SELECT page_id, 'http://' || host || '/b' AS url FROM h)
+SELECT page_id, url, url AS by_sql, true AS safe, true AS safe_by_sql, left(sha256(url || '|R|1'), 16) AS key FROM u"""
 SQL["udf4_sql_functions"] = P("SELECT page_id, norm AS normalized, left(sha256(norm || '|R-X|1'), 16) AS finding_key, true AS safe FROM pg")
 
 SQL["sig_signals"] = S("""SELECT page_id, CASE WHEN k % 11 <> 0 THEN title END AS raw_title, CASE WHEN k % 22 <> 0 THEN title END AS title, CASE WHEN k % 13 <> 0 THEN h1 WHEN k % 9 = 0 THEN 'Second' END AS h1_text, CASE WHEN k % 3 <> 0 THEN url END AS canonical, CAST((k % 13 <> 0)::INT + (k % 9 = 0)::INT AS BIGINT) AS h1_count, CASE WHEN k % 7 = 0 THEN 'noindex' END AS meta_robots,

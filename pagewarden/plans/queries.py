@@ -459,6 +459,14 @@ _add("udf2_one_parse", lambda s, d: html.extract_signals(fx.pages(s, d).select("
 _add("udf3_fixer_rows", lambda s, d: plans(s, d).groupBy("rule_id", "risk_level").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("url9_host_spellings")
+def _spellings(s, d):
+    """One key for every spelling of a host, by columns and by SQL functions."""
+    urls.register_sql(s)
+    u = fx.odd_hosts(s, d).select("page_id", "url", F.expr("normalize_url(url)").alias("by_sql"), F.expr("url_is_safe(url)").alias("safe_by_sql"), F.expr("finding_key(url, 'R', 1)").alias("key"))
+    return u.select("page_id", urls.normalize_url(F.col("url")).alias("url"), "by_sql", urls.url_is_safe(F.col("url"))["ok"].alias("safe"), "safe_by_sql", "key")
+
+
 @query("udf4_sql_functions")
 def _sql(s, d):
     urls.register_sql(s)
