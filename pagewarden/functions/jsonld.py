@@ -48,12 +48,16 @@ _NODE = T.StructType([
 BLOCKS = T.ArrayType(T.StructType([T.StructField("status", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE))]))
 
 
+def parsed_blocks(blocks: list[str] | None) -> list[dict] | None:
+    return None if blocks is None else [dict(zip(("status", "nodes"), nodes_of(x), strict=True)) for x in blocks]
+
+
 def _parsed(blocks: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else [dict(zip(("status", "nodes"), nodes_of(x), strict=True)) for x in b] for b in blocks], dtype=object)
+    return pd.Series([parsed_blocks(b) for b in blocks], dtype=object)
 
 
 def parse_blocks(blocks: Column) -> Column:
-    """array<string> of JSON-LD texts to array<struct<status, nodes>>."""
+    """array<string> of JSON-LD texts to array<struct<status, nodes>>. `extract_signals` does the same beside its own parse."""
     return F.pandas_udf(_parsed, BLOCKS)(blocks)
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.jsonld import BLOCKS, parsed_blocks
+from . import html_tokens
 
 SIGNALS = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("h1_count", T.IntegerType()), T.StructField("h1_text", T.StringType()),
@@ -26,88 +29,81 @@ def collapsed(text: str) -> str:
 _TO_SPACE = dict.fromkeys(map(ord, SPACE), " ")
 
 
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title: list[str] | None = None
-        self.in_title = self.in_h1 = self.in_body = False
-        self.script: list[str] | None = None
-        self.canonical: str | None = None
-        self.meta: dict[str, str] = {}
-        self.og: dict[str, str] = {}
-        self.h1_count, self.h1 = 0, []
-        self.blocks: list[str] = []
-        self.images, self.links, self.body = 0, [], []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.in_title:  # a title element holds text alone
-            self.title.append(self.get_starttag_text() or "")
-            return
-        a: dict[str, str] = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        if tag == "title" and self.title is None:
-            self.title, self.in_title = [], True
-        elif tag == "body":
-            self.in_body = True
-        elif tag == "link" and self.canonical is None and a.get("rel", "").lower() == "canonical":
-            self.canonical = a.get("href")
-        elif tag == "meta" and "content" in a:
-            if "name" in a:
-                self.meta.setdefault(a["name"].lower(), a["content"])
-            if "property" in a:
-                self.og.setdefault(a["property"].lower(), a["content"])
-        elif tag == "h1":
-            self.h1_count += 1
-            self.in_h1 = self.h1_count == 1
-        elif tag == "script":
-            self.script = [] if a.get("type", "").lower() == "application/ld+json" else None
-        elif tag == "img" and "alt" not in a:
-            self.images += 1
-        elif tag == "a" and "href" in a:
-            self.links.append(a["href"])
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        elif tag == "h1":
-            self.in_h1 = False
-        elif tag == "script" and self.script is not None:
-            if block := "".join(self.script).strip(SPACE):
-                self.blocks.append(block)
-            self.script = None
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-            return
-        if self.in_h1:
-            self.h1.append(data)
-        if self.script is not None:
-            self.script.append(data)
-        if self.in_body:
-            self.body.append(data)
+NAMED = {"robots": "meta_robots", "description": "meta_description"}
+PROPERTIES = {"og:title": "og_title", "og:url": "og_url", "og:description": "og_description"}
 
 
 def signals_of(page: str | None) -> dict:
-    p = _Page()
-    if page:
-        p.feed(page)
-        p.close()
-    return {
-        "title": None if p.title is None else "".join(p.title).strip(SPACE), "canonical": p.canonical, "h1_count": p.h1_count, "h1_text": "".join(p.h1).strip(SPACE) if p.h1_count else None,
-        "meta_robots": p.meta.get("robots"), "jsonld_blocks": p.blocks, "og_title": p.og.get("og:title"), "og_url": p.og.get("og:url"), "og_description": p.og.get("og:description"),
-        "meta_description": p.meta.get("description"), "images_without_alt": p.images, "body_text": collapsed("".join(p.body)), "links": p.links,
+    """Of canonical links, and of meta elements of one name or property, the first decides, even without a value."""
+    out = dict.fromkeys((*NAMED.values(), *PROPERTIES.values()))
+    seen: set[str] = set()
+    title, script, h1, body = None, None, [], None
+    canonical, h1_count, images, links, blocks = None, 0, 0, [], []
+    inside = {"title": False, "h1": False}
+
+    def first(key: str, value: str | None) -> None:
+        if key not in seen:
+            seen.add(key)
+            out[key] = value
+
+    for kind, name, rest in html_tokens.tokens(page or ""):
+        if kind == "text":
+            if inside["title"]:
+                title.append(name)
+                continue
+            if inside["h1"]:
+                h1.append(name)
+            if script is not None:
+                script.append(name)
+            if body is not None:
+                body.append(name)
+        elif kind == "close":
+            if name in inside:
+                inside[name] = False
+            elif name == "script" and script is not None:
+                if block := "".join(script).strip(SPACE):
+                    blocks.append(block)
+                script = None
+        elif name == "title":
+            if title is None:
+                title, inside["title"] = [], True
+        elif name == "body":
+            body = [] if body is None else body
+        elif name == "h1":
+            h1_count += 1
+            inside["h1"] = h1_count == 1
+        elif name in ("link", "meta", "script", "img", "a"):
+            a = html_tokens.attributes(rest)
+            if name == "link" and a.get("rel", "").lower() == "canonical" and "canonical" not in seen:
+                seen.add("canonical")
+                canonical = a.get("href")
+            elif name == "meta":
+                if (key := NAMED.get(a.get("name", "").lower())) is not None:
+                    first(key, a.get("content"))
+                if (key := PROPERTIES.get(a.get("property", "").lower())) is not None:
+                    first(key, a.get("content"))
+            elif name == "script":
+                script = [] if a.get("type", "").lower() == "application/ld+json" else None
+            elif name == "img":
+                images += "alt" not in a
+            elif name == "a" and "href" in a:
+                links.append(a["href"])
+    return out | {
+        "title": None if title is None else "".join(title).strip(SPACE), "canonical": canonical, "h1_count": h1_count, "h1_text": "".join(h1).strip(SPACE) if h1_count else None,
+        "jsonld_blocks": blocks, "images_without_alt": images, "body_text": collapsed("".join(body or ())), "links": links,
     }
 
 
-def extract_signals(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def extract_signals(df: DataFrame, columns: dict[str, str], jsonld: dict[str, str] | None = None) -> DataFrame:
     """df with a signal struct for each html column ({html column: new column}), in one Python pass; html columns go.
 
-    A page whose html columns are equal is parsed once. Null or empty html gives null, 0, [] and "".
+    A page whose html columns are equal is parsed once. Null or empty html gives null, 0, [] and "". jsonld: {signal
+    column: new column} of those whose JSON-LD blocks are parsed in the same pass.
     """
     rest = [f for f in df.schema.fields if f.name not in columns]
-    schema = T.StructType([*rest, *(T.StructField(new, SIGNALS) for new in columns.values())])
+    jsonld = jsonld or {}
+    schema = T.StructType([*rest, *(T.StructField(new, SIGNALS) for new in columns.values()), *(T.StructField(new, BLOCKS) for new in jsonld.values())])
+    parsed_type = to_arrow_type(BLOCKS)
     arrow = pa.struct([(f.name, pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in SIGNALS])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +113,8 @@ def extract_signals(df: DataFrame, columns: dict[str, str]) -> DataFrame:
             pages = [b.column(b.schema.names.index(c)).to_pylist() for c in columns]
             for k, column in enumerate(pages):
                 made.append([made[0][i] if k and x == pages[0][i] else signals_of(x) for i, x in enumerate(column)])
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(m, arrow) for m in made)], names=schema.names)
+            parsed = [pa.array([parsed_blocks(x["jsonld_blocks"]) for x in made[list(columns.values()).index(c)]], parsed_type) for c in jsonld]
+            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(m, arrow) for m in made), *parsed], names=schema.names)
 
     return df.mapInArrow(each, schema)
 

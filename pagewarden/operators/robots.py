@@ -64,6 +64,16 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     return out.unionByName(own).unionByName(maps)
 
 
+def pattern_regex(pattern: Column) -> Column:
+    """A path pattern with * and a final $ as an anchored expression, each piece atomic, so none is tried twice."""
+    ends = pattern.endswith("$")
+    body = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"\*+", "*")
+    quoted = F.transform(F.split(body, r"\*"), lambda x: F.regexp_replace(x, r"([\\.\[\]{}()+?^|$])", r"\\$1"))
+    last = F.size(quoted) - 1
+    piece = lambda x, i: F.when(i == 0, x).when(ends & (i == last), F.concat(F.lit(".*"), x)).otherwise(F.concat(F.lit("(?>.*?"), x, F.lit(")")))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(quoted, piece), ""), F.when(ends, "$").otherwise(""))
+
+
 def octets(c: Column) -> Column:
     """Non-ASCII characters and blanks percent-encoded, and the hex digits of what is encoded already in upper case."""
     upper = lambda x, i: F.when((i > 0) & x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substr(x, F.lit(3)))).otherwise(x)

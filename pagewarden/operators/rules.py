@@ -129,8 +129,8 @@ def register_rule(rules: list[Rule], rule_id: str, version: int, category: str,
 VIOLATION = ("site", "run_id", "url", "rule_id", "rule_version", "category", "severity", "current_value", "recommended_value", "rule_ord")
 
 
-def evaluate_rules(context: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """A row for each rule that fires, by one explode of an array of structs."""
+def evaluate_rules(context: DataFrame, rules: list[Rule] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each rule that fires, by one explode of an array of structs. keep: columns of the context to carry."""
     fired = [
         F.when(r.predicate, F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("rule_version"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
@@ -138,7 +138,8 @@ def evaluate_rules(context: DataFrame, rules: list[Rule] | None = None) -> DataF
         ))
         for i, r in enumerate(checked(page_rules() if rules is None else rules))
     ]
-    return context.select("site", "run_id", "url", F.explode(F.array_compact(F.array(*fired))).alias("v")).select("site", "run_id", "url", "v.*")
+    own = ("site", "run_id", "url", *keep)
+    return context.select(*own, F.explode(F.array_compact(F.array(*fired))).alias("v")).select(*own, "v.*")
 
 
 def _site_rule(df: DataFrame, rule_id: str, category: str, severity: str, url: Column, current: Column, recommended: str, order: int) -> DataFrame:

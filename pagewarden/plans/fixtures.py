@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonld import parse_blocks
 from ..functions.urls import url_origin
 from ..operators import vitals
 from ..operators.html import extract_signals
@@ -148,8 +147,7 @@ def field_by_page(spark: SparkSession, d: str) -> DataFrame:
 
 def context(spark: SparkSession, d: str, shift: int = 0, lab: bool = True) -> DataFrame:
     """Page context: signals of both texts, parsed JSON-LD, vitals of entry pages."""
-    s = extract_signals(crawl_snapshot(spark, d, shift), {"html": "raw", "rendered_html": "rendered"})
-    s = s.withColumn("jsonld", parse_blocks(F.col("rendered.jsonld_blocks")))
+    s = extract_signals(crawl_snapshot(spark, d, shift), {"html": "raw", "rendered_html": "rendered"}, {"rendered": "jsonld"})
     if not lab:
         return s.select("*", *[F.lit(None).cast("double").alias(c) for c in ("lcp_ms", "cls_unitless", "tbt_ms")])
     return vitals.attach_vitals(s, vitals.lab_vitals(lab_runs(spark, d)))

@@ -42,7 +42,7 @@ def violations(s: SparkSession, d: str, shift: int = 0, lab: bool = True) -> Dat
 
 def findings(s: SparkSession, d: str, shift: int = 0) -> DataFrame:
     """Findings with ids; every fifth page's findings of run B are acknowledged."""
-    v = violations(s, d, shift, lab=False).join(fx.pages(s, d).select("url", "page_id"), "url")
+    v = rules.evaluate_rules(fx.context(s, d, shift, lab=False), keep=("page_id",))
     f = fi.to_findings(v).withColumn("id", F.col("page_id") * 1000 + F.col("rule_ord"))
     return f.withColumn("status", F.when(F.lit(shift == 1) & (F.col("page_id") % 5 == 0), "acknowledged").otherwise("open"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.jsonld import parse_blocks
 from ..operators.findings import to_findings
 from ..operators.html import extract_signals
 from ..operators.rules import evaluate_rules
@@ -20,7 +19,7 @@ def page_context(snapshots: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     s = snapshots.withColumn("rendered_html", F.coalesce("rendered_html", "html"))
-    c = extract_signals(s, {"html": "raw", "rendered_html": "rendered"}).withColumn("jsonld", parse_blocks(F.col("rendered.jsonld_blocks")))
+    c = extract_signals(s, {"html": "raw", "rendered_html": "rendered"}, {"rendered": "jsonld"})
     return c.select("*", *[F.lit(None).cast("double").alias(v) for v in ("lcp_ms", "cls_unitless", "tbt_ms")])
 
 
