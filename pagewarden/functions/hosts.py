@@ -9,6 +9,9 @@ built-in functions have no tables for that.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,12 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def sql_of(column: Column) -> str:
+    """SQL text that parses to the column. Operators print as calls, `and`(a, b), so their names are quoted."""
+    token = re.compile(r"'(?:[^'\\]|\\.)*'|\b(and|or|not|in|like|rlike|div|mod)(?=\()|([<>=!%*/+|&^~-]+)(?=\()")
+    return token.sub(lambda m: f"`{m[1] or m[2]}`" if m[1] or m[2] else m[0], column._jc.node().sql())
+
+
 def _long(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
@@ -139,6 +148,16 @@ def ipv6(text: Column) -> Column:
 
 def ascii_host(host: Column) -> Column:
     """A host as URLs compare it; null for what is none. IPv6 addresses keep their brackets."""
+    return F.get(F.call_function("transform", F.array(host), F.expr(_body())), F.lit(0))
+
+
+@cache
+def _body() -> str:
+    """The same as the text of a lambda: thousands of calls make the columns once, and one parse each later use."""
+    return f"host_ -> {sql_of(_ascii_host(F.col('host_')))}"
+
+
+def _ascii_host(host: Column) -> Column:
 
     def name(h: Column) -> Column:
         dots = F.translate(h, "".join(map(chr, (0x3002, 0xFF0E, 0xFF61))), "...")

@@ -7,12 +7,10 @@ spelling each (`hosts.py`): Punycode, decimal IPv4 and the shortest IPv6.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .hosts import ascii_host, let
+from .hosts import ascii_host, let, sql_of
 
 PARTS = r"^[\x00-\x20]*([A-Za-z][A-Za-z0-9+.-]*):[/\\]{2}(?:[^/?#\\@]*@)?((?:\[[^\]/?#]*\]|[^/?#\\:\[\]@\s])+)(?::([0-9]*))?(?:([/\\][^?#]*))?(\?[^#]*)?(#.*)?$"
 UNSAFE = r'[^\x21-\x7E]|["<>`{}^]'
@@ -170,12 +168,6 @@ def _key(normalized: Column, rule_id: Column, version: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", normalized, rule_id, version.cast("string")), 256), 1, 16)
 
 
-def sql_of(column: Column) -> str:
-    """SQL text that parses to the column. Operators print as calls, `and`(a, b), so their names are quoted."""
-    token = re.compile(r"'(?:[^'\\]|\\.)*'|\b(and|or|not|in|like|rlike|div|mod)(?=\()|([<>=!%*/+|&^~-]+)(?=\()")
-    return token.sub(lambda m: f"`{m[1] or m[2]}`" if m[1] or m[2] else m[0], column._jc.node().sql())
-
-
 def register_sql(spark: SparkSession) -> None:
     """normalize_url, finding_key and url_is_safe as temporary SQL functions, from the columns' own definitions."""
     bodies = {

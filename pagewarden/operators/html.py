@@ -141,8 +141,10 @@ def _has(c: Column) -> Column:
 
 def extract_links(df: DataFrame, keys: list[str], url: str = "url", links: str = "raw.links") -> DataFrame:
     """(keys, pos, link): same-origin http(s) links in document order, each once, at its first position."""
-    from ..functions.urls import frontier_url, resolve_href, url_origin
+    from ..functions.urls import frontier_url, let, resolve_href, url_origin
 
     rows = df.select(*keys, F.col(url).alias("__u"), F.posexplode(F.col(links)).alias("pos", "href"))
-    rows = rows.withColumn("link", resolve_href(F.col("href"), F.col("__u"))).filter(F.col("link").isNotNull() & (url_origin(F.col("link")) == url_origin(F.col("__u"))))
-    return rows.groupBy(*keys, frontier_url(F.col("link")).alias("link")).agg(F.min("pos").alias("pos"))
+    same = lambda x: F.when(x.isNotNull() & (url_origin(x) == url_origin(F.col("__u"))), F.array(frontier_url(x))).otherwise(F.array().cast("array<string>"))
+    # Exploding keeps the long expression in one place; a filter over it would repeat it.
+    rows = rows.select(*keys, "pos", F.explode(let(resolve_href(F.col("href"), F.col("__u")), same)).alias("link"))
+    return rows.groupBy(*keys, "link").agg(F.min("pos").alias("pos"))
