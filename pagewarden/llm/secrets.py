@@ -33,7 +33,7 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 FORGE = re.compile(rb"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-KEY = re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+KEY = re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s++([A-Za-z0-9+/=\s]++)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 WORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "key": ("-----begin ",)}
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = ("assign", "access", "hex", "forge", "key")

@@ -1,7 +1,9 @@
 """Spelling variants, token files and the filter audit against brute force; exact search and archives at their edges."""
 
+import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.llm import filter_audit, huffman, spelling, token_files, topk, warc
+from pagewarden.llm import filter_audit, htmltext, huffman, secrets, spelling, token_files, topk, warc
 
 DOCS = "doc_id long, text string, source string, ids string, n long, word string, row string, part string, bits string, digest string"
 
@@ -287,3 +289,35 @@ def test_a_thousand_payloads_of_line_breaks(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(3), str(tmp_path / "w"), chunk=5, per_file=40)
     got = sorted((x["page_id"], x["payload_bytes"], x["payload_digest"]) for x in warc.digests(warc.read_archives(spark, str(tmp_path / "w"))).collect())
     assert got == [(i, len(h), warc.base32_sha1(warc.hashlib.sha1(h.encode()))) for i, h in pages]
+
+
+# Time on hostile input -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<", "<!--", "<a b='", "<![CDATA[", "<a>", "</a ", "<p class=\"x\" ", "<!", "> <a "])
+def test_a_megabyte_of_tags_is_one_pass(unit):
+    began = time.time()
+    htmltext.parse("<html><body><p>x</p>" + unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 10
+
+
+def test_tokens_are_those_of_one_expression():
+    r = random.Random(11)
+    units = ["<a ", "<", ">", "'", '"', "<!--", "-->", "<![CDATA[", "]]>", "</p>", "<p>", " x ", "<!", "<?", "=", "\n", "/"]
+    for _ in range(3000):
+        page = "".join(r.choices(units, k=r.randint(1, 14)))
+        at, stop = 0, page.rfind(">") + 1
+        while want := htmltext.TOKEN.search(page, at):
+            got = htmltext.token(page, at, stop)
+            assert got and got.span() == want.span(), page
+            at = want.end()
+        assert htmltext.token(page, at, stop) is None, page
+
+
+def test_white_space_behind_a_key_header_is_one_pass():
+    head, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    began = time.time()
+    assert secrets.scan(f"{head}{' ' * 1_000_000}", secrets.automaton()) == []
+    assert time.time() - began < 3
+    key = f"{head}\r\n  {base64.b64encode(bytes(60)).decode()}\n{base64.b64encode(bytes(30)).decode()}\n{end}"
+    assert [(k, a, b) for a, k, b in secrets.scan(f"é {key}", secrets.automaton()) if k == "key"] == [("key", 2, 2 + len(key))]
