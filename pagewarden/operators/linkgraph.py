@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.urls import frontier_url
 from ..sources.staging import cut
 
-REACH = "site string, url string, depth int, ord long, visit_status string, expands boolean"
 
+def url_ids(urls: DataFrame) -> DataFrame:
+    """(site, url) to (site, url, id), each once; ids ascend with site and url. A level of a walk shuffles ids, no URLs."""
+    d = urls.select("site", "url").distinct().repartitionByRange("site", "url").sortWithinPartitions("site", "url")
+    return cut(d.withColumn("id", F.monotonically_increasing_id()), "url-ids")
 
-def first_discovery(found: DataFrame) -> DataFrame:
-    """Of (site, url, parent_ord, pos) the first discovery of each URL."""
-    return found.groupBy("site", "url").agg(F.min(F.struct("parent_ord", "pos")).alias("m")).select("site", "url", "m.parent_ord", "m.pos")
 
+def adjacency(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, links): of each page the ids that it links to, in the order of their first places. edges: site, from, pos, url."""
+    a, b = (ids.select("site", F.col("url").alias(c), F.col("id").alias(f"{c}_id")) for c in ("from", "url"))
+    e = edges.join(a, ["site", "from"]).join(b, ["site", "url"]).groupBy("from_id", "url_id").agg(F.min("pos").alias("pos"))
+    links = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url_id"))), lambda x: x["url_id"])
+    return e.groupBy(F.col("from_id").alias("id")).agg(links.alias("links"))
 
-def within_budget(found: DataFrame, max_pages: int) -> DataFrame:
-    """Numbers a site's discoveries in order and keeps the first max_pages."""
-    order = Window.partitionBy("site").orderBy("parent_ord", "pos", "url")
+
+def first_discovery(found: DataFrame, keys: tuple[str, ...] = ("site", "url")) -> DataFrame:
+    """Of (keys, parent_ord, pos) the first discovery of each URL."""
+    return found.groupBy(*keys).agg(F.min(F.struct("parent_ord", "pos")).alias("m")).select(*keys, "m.parent_ord", "m.pos")
+
+
+def within_budget(found: DataFrame, max_pages: int, site: str = "site", last: str = "url") -> DataFrame:
+    """Numbers a site's discoveries in order and keeps the first max_pages: tasks drop the rest before they meet."""
+    order = Window.partitionBy(site).orderBy("parent_ord", "pos", last)
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_pages)
 
 
@@ -29,34 +41,43 @@ def crawl_reach(edges: DataFrame, snapshot: DataFrame, seeds: DataFrame, allowed
     start and 1 for sitemap URLs; allowed: (site, url, allowed), absent URLs are allowed. URLs are compared normalized.
     visit_status is visited, skipped_by_robots or missing; all three consume budget. Only visited pages of status 200
     above max_depth are expanded. Discovery order is (depth, parent's order, position).
+
+    URLs become ids once, links lists of ids, and pages rows of (id, status, allowed); the levels join and group ids alone.
     """
-    e = edges.select("site", frontier_url(F.col("url")).alias("from"), "pos", frontier_url(F.col("link")).alias("url"))
-    s = snapshot.select("site", frontier_url(F.col("url")).alias("url"), "status_code").groupBy("site", "url").agg(F.first("status_code").alias("status_code"))
-    a = None if allowed is None else allowed.select("site", frontier_url(F.col("url")).alias("url"), "allowed").groupBy("site", "url").agg(F.bool_and("allowed").alias("allowed"))
-    seeds = seeds.select("site", frontier_url(F.col("url")).alias("url"), "depth", F.col("ord").cast("long").alias("ord"))
+    e = cut(edges.select("site", frontier_url(F.col("url")).alias("from"), "pos", frontier_url(F.col("link")).alias("url")), "links")
+    pages = cut(snapshot.select("site", frontier_url(F.col("url")).alias("url"), "status_code").groupBy("site", "url").agg(F.first("status_code").alias("status_code")), "pages")
+    seeds = cut(seeds.select("site", frontier_url(F.col("url")).alias("url"), "depth", F.col("ord").cast("long").alias("ord")), "seeds")
+    ids = url_ids(e.select("site", F.col("from").alias("url")).unionByName(e.select("site", "url")).unionByName(pages.select("site", "url")).unionByName(seeds.select("site", "url")))
+    sites = ids.groupBy("site").agg(F.min("id").alias("site_id"))
+    links = cut(adjacency(e, ids), "adjacency")
+    nodes = ids.join(sites, "site").join(pages, ["site", "url"], "left")
+    if allowed is not None:
+        a = allowed.select("site", frontier_url(F.col("url")).alias("url"), "allowed").groupBy("site", "url").agg(F.bool_and("allowed").alias("allowed"))
+        nodes = nodes.join(a, ["site", "url"], "left")
+    else:
+        nodes = nodes.withColumn("allowed", F.lit(True))
+    nodes = cut(nodes.select("id", "site_id", "status_code", F.coalesce("allowed", F.lit(True)).alias("allowed")), "nodes")
+    starts = cut(seeds.join(ids, ["site", "url"]).select("id", "depth", "ord"), "starts")
     done: DataFrame | None = None
     last: DataFrame | None = None
     for depth in range(max_depth + 1):
-        found = seeds.filter(F.col("depth") == depth).select("site", "url", F.lit(-1).cast("long").alias("parent_ord"), F.col("ord").alias("pos"))
+        found = starts.filter(F.col("depth") == depth).select("id", F.lit(-1).cast("long").alias("parent_ord"), F.col("ord").alias("pos"))
         if last is not None:
-            out = last.filter("expands").select("site", F.col("url").alias("from"), F.col("ord").alias("parent_ord")).join(e, ["site", "from"])
-            found = found.unionByName(out.select("site", "url", "parent_ord", F.col("pos").cast("long").alias("pos")))
-        new = first_discovery(found)
+            out = last.filter("expands").select("id", F.col("ord").alias("parent_ord")).join(links, "id")
+            found = found.unionByName(out.select("parent_ord", F.posexplode("links").alias("pos", "id")).select("id", "parent_ord", F.col("pos").cast("long").alias("pos")))
+        new = first_discovery(found, ("id",))
+        if done is not None:
+            new = new.join(done.select("id"), "id", "left_anti")
+        new = within_budget(new.join(nodes, "id"), max_pages, "site_id", "id").withColumn("ord", F.col("n").cast("long"))
         if done is not None:
-            new = new.join(done.select("site", "url"), ["site", "url"], "left_anti")
-            used = done.groupBy("site").agg(F.count(F.lit(1)).alias("used"))
-            new = within_budget(new, max_pages).join(used, "site", "left").withColumn("ord", F.col("n") + F.coalesce("used", F.lit(0))).filter(F.col("ord") <= max_pages)
-        else:
-            new = within_budget(new, max_pages).withColumn("ord", F.col("n").cast("long"))
-        new = new.join(s, ["site", "url"], "left")
-        new = new.withColumn("allowed", F.lit(True)) if a is None else new.join(a, ["site", "url"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+            used = done.groupBy("site_id").agg(F.count(F.lit(1)).alias("used"))
+            new = new.join(used, "site_id", "left").withColumn("ord", F.col("n") + F.coalesce("used", F.lit(0))).filter(F.col("ord") <= max_pages)
         status = F.when(~F.col("allowed"), "skipped_by_robots").when(F.col("status_code").isNull(), "missing").otherwise("visited")
-        new = new.select("site", "url", F.lit(depth).alias("depth"), F.col("ord").cast("long").alias("ord"), status.alias("visit_status"), ((status == "visited") & (F.col("status_code") == 200)).alias("expands"))
-        last = cut(new)
-        done = last if done is None else cut(done.unionByName(last))
+        last = cut(new.select("id", "site_id", F.lit(depth).alias("depth"), F.col("ord").cast("long").alias("ord"), status.alias("visit_status"), ((status == "visited") & (F.col("status_code") == 200)).alias("expands")), "level")
+        done = last if done is None else done.unionByName(last)
         if depth and last.isEmpty():
             break
-    return done.drop("expands")
+    return done.join(ids, "id").select("site", "url", "depth", "ord", "visit_status")
 
 
 def single_page(snapshot: DataFrame, starts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

@@ -144,6 +144,12 @@ def buckets(plans: DataFrame, open_requests: DataFrame, live: DataFrame | None =
     return p.join(taken.distinct(), ["site", "branch_name"], "left_anti")
 
 
+def request_lines(planned: DataFrame) -> DataFrame:
+    """(site, bucket, line): a request's body as rows, so a site of any size is no single string."""
+    line = F.concat(F.lit("- "), F.col("rule_id"), F.lit(" ("), F.col("risk_level"), F.lit(") "), F.col("url"))
+    return planned.select("site", "bucket", line.alias("line"))
+
+
 def request_content(planned: DataFrame) -> DataFrame:
     """Title and body of each (site, bucket): the rule's name if it is one change, else the count; a line for each."""
     line = F.concat(F.lit("- "), F.col("rule_id"), F.lit(" ("), F.col("risk_level"), F.lit(") "), F.col("url"))

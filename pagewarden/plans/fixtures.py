@@ -192,3 +192,15 @@ def odd_hosts(spark: SparkSession, d: str) -> DataFrame:
     ]
     host = F.coalesce(*(F.when(k % 6 == i, h) for i, h in enumerate(forms)))
     return pages(spark, d).select("page_id", F.concat(F.lit("HTTP://u@"), host, F.lit(":080/a/../b/#f")).alias("url"))
+
+
+def linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose HTML holds the links of `edges`, as absolute, rooted and scheme-relative references among others."""
+    p = pages(spark, d).select("page_id", "site", "url")
+    e = edges(spark, d)
+    rest = F.regexp_replace("link", "^[A-Za-z]+://[^/?#]*", "")
+    rooted = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    href = F.when(F.col("pos") == 0, F.col("link")).when(F.col("pos") == 1, rooted).otherwise(F.regexp_replace("link", "^[A-Za-z]+:", ""))
+    anchor = F.concat(F.lit('<p><a class=x href="'), href, F.lit('">to</a> <a href="mailto:x@y.example">m</a> <a href="http://elsewhere.example/">e</a></p>'))
+    bodies = e.groupBy("site", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", anchor.alias("a")))), lambda x: x["a"]), "").alias("body"))
+    return p.join(bodies, ["site", "url"], "left").select("page_id", "site", "url", F.concat(F.lit("<html><body>"), F.coalesce("body", F.lit("")), F.lit("</body></html>")).alias("html"))

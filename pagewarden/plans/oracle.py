@@ -101,7 +101,7 @@ NUM = "nu AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) A
 ED = "ed AS (SELECT a.site, a.n AS a_n, a.norm AS src, b.norm AS dst, b.n AS b_n, t.pos FROM nu a, (VALUES (0), (1), (2)) t(pos) JOIN nu b ON a.site = b.site AND b.n = CASE t.pos WHEN 0 THEN a.n * 2 WHEN 1 THEN a.n * 2 + 1 ELSE a.n - 3 END)"
 
 
-def _reach(polite: bool) -> str:
+def _reach(polite: bool, mapped: bool = False) -> str:
     """Levels unrolled: depth, and order by (parent's order, position); no budget is met at the sizes that are compared."""
     ok = "bool_and(m.allowed)" if polite else "true"
     ctes = [f"nd AS (SELECT nu.site, nu.norm, any_value(nu.status_code) AS status_code, {ok} AS allowed FROM nu JOIN may m ON nu.site = m.site AND nu.url = m.url GROUP BY nu.site, nu.norm)"]
@@ -109,6 +109,9 @@ def _reach(polite: bool) -> str:
     for i in (1, 2, 3):
         seen = " UNION ALL ".join(f"SELECT site, norm, ord FROM l{j}" for j in range(i))
         ctes.append(f"c{i} AS (SELECT ed.site, ed.dst AS norm, min(row(l.ord, ed.pos)) AS o FROM l{i - 1} l JOIN nd USING (site, norm) JOIN ed ON ed.site = l.site AND ed.src = l.norm WHERE nd.allowed AND nd.status_code = 200 AND NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.site = ed.site AND s.norm = ed.dst) GROUP BY ed.site, ed.dst)")
+        if mapped and i == 1:  # what sitemaps list comes before all links
+            ctes[-1] = ctes[-1].replace("c1 AS", "k1 AS")
+            ctes.append("c1 AS (SELECT site, norm, min(o) AS o FROM (SELECT site, norm, o FROM k1 UNION ALL SELECT li.site, pg.norm, row(CAST(-1 AS BIGINT), CAST(li.ord AS INTEGER)) FROM li JOIN pg ON pg.url = li.url WHERE NOT EXISTS (SELECT 1 FROM l0 WHERE l0.site = li.site AND l0.norm = pg.norm)) GROUP BY site, norm)")
         ctes.append(f"l{i} AS (SELECT c.site, c.norm, {i} AS depth, row_number() OVER (PARTITION BY c.site ORDER BY c.o, c.norm) + (SELECT count(*) FROM ({seen}) s WHERE s.site = c.site) AS ord FROM c{i} c)")
     ctes.append("rc AS (SELECT l.*, CASE WHEN allowed THEN 'visited' ELSE 'skipped_by_robots' END AS visit_status FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(4)) + ") l JOIN nd USING (site, norm))")
     return ",\n".join(ctes)
@@ -190,6 +193,7 @@ SQL["url5_safe"] = P(f"SELECT page_id, page_id % 3 <> 0 AND {_PUB} AS ok, true A
 SQL["url6_private_ip"] = P(f"SELECT page_id, NOT {_PUB} AS private, true AS host_private FROM pg")
 SQL["url7_logical"] = P(f"SELECT page_id, 'http://pages.invalid' || {_u(RAWPATH)} || {_u(QUERY)} AS logical FROM pg")
 SQL["url8_finding_key"] = P("SELECT page_id, left(sha256(norm || '|R-TITLE-MISSING|1'), 16) AS finding_key FROM pg")
+SQL["snk1b_page_digests"] = P("SELECT url, sha256(html) AS html_sha256, left(html, 500) AS html_excerpt FROM pg")
 # The addresses are 1.x.y.z here, all public.
 SQL["url9_host_spellings"] = """WITH n AS (SELECT page_id, (page_id * 7919 + 16777216) % 4294967296 AS n FROM pages),
 h AS (SELECT page_id, CASE page_id % 6 WHEN 4 THEN '[::ffff:' || lower(to_hex(n >> 16)) || ':' || lower(to_hex(n % 65536)) || ']' WHEN 5 THEN 'xn--bcher-kva.p' || page_id || '.example'
@@ -330,6 +334,8 @@ _S = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202
 SQL["fn_space"] = f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '^{_S}', ''), '{_S}$', '')) AS trimmed_sha256, sha256(regexp_replace(regexp_replace(regexp_replace('a b' || text, '{_S}', ' ', 'g'), '^ ', ''), ' $', '')) AS collapsed_sha256 FROM documents"""
 SQL["fn_enum"] = "SELECT event_id, event_type FROM events"
 SQL["sig15_links"] = """SELECT page_id, count(DISTINCT h) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages) GROUP BY page_id"""
+SQL["grf5_page_links"] = _with(PG, SN, MAY, NUM, ED, LIST, _reach(True, True), q="SELECT site, norm AS url, depth, ord, visit_status FROM rc")
+SQL["agg9b_sitemap_cut"] = R(True, "SELECT site, count(*) >= 200 OR (SELECT count(*) FROM pg WHERE pg.site = rc.site AND page_id % 4 <> 0) > 5 AND any_value(rank) % 7 <> 0 AS truncated FROM rc JOIN st USING (site) GROUP BY site")
 SQL["agg9_truncation"] = R(True, "SELECT site, count(*) >= 5 AS truncated, least(count(*), 5) AS met FROM rc GROUP BY site")
 #: Every finding with what its rule proposes.
 PLAN = f"""pl AS (SELECT *, CASE WHEN marker IS NULL THEN 'report_only' ELSE 'file_edit' END AS fix_type, CASE WHEN marker IS NULL THEN NULL WHEN rule_id = 'R-SITEMAP-MISSING-URL' THEN 'add_safe' ELSE 'gated' END AS risk_level,
@@ -355,3 +361,12 @@ SQL["snk5c_remediation_rows"] = PL("SELECT site, rule_id, finding_key, risk_leve
 SQL["snk5d_request_rows"] = PL("SELECT DISTINCT site, bucket, branch_name, 'open' AS state FROM pn")
 # Windows end before the watermark, which is a day behind the latest event.
 SQL["str4_stream_vitals"] = "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, 'u' || (event_id % 10) AS url, count(*) AS runs FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"
+
+_HALF = "CAST('0x' || substr(finding_key, 9, 6) AS BIGINT) % 2"
+SQL["rem19_stored_states"] = VQ(f"SELECT finding_key, {_DEC} AS approval_status, {_THIRD} = 0 AND {_HALF} = 1 AS applied, CASE WHEN {_THIRD} <> 0 THEN 'open' WHEN {_HALF} = 0 THEN 'reverted' ELSE 'fixed' END AS finding_status FROM (SELECT DISTINCT finding_key FROM ({_CAN}))")
+SQL["rem20_stored_requests"] = P("SELECT page_id AS id, site, 'b' || (page_id % 9) AS branch_name, CASE WHEN page_id % 4 = 0 THEN 'merged' WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'closed' ELSE 'merged' END ELSE 'open' END AS state FROM pg")
+SQL["rem21_stored_acknowledgements"] = VQ("SELECT site, finding_key, CASE WHEN bool_or(page_id % 3 = 0) THEN 'acknowledged' ELSE 'open' END AS status, arg_max(severity, id) AS severity FROM v GROUP BY site, finding_key")
+SQL["join10b_live_requests"] = PL("SELECT pn.site, bucket, branch_name, finding_key FROM pn JOIN st USING (site) WHERE NOT (st.rank % 3 = 1 AND rule_id = 'R-NOINDEX-DETECTED')")
+SQL["agg11b_request_lines"] = PL("SELECT site, bucket, '- ' || rule_id || ' (' || risk_level || ') ' || url AS line FROM pn")
+SQL["str4b_sliding_medians"] = """WITH w AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) - k * 86400 AS window_start, 'u' || (event_id % 10) AS url, value FROM events, (SELECT unnest([0, 1]) AS k))
+SELECT window_start, url, quantile_disc(value, 0.5) AS lcp_ms, count(*) AS runs FROM w WHERE window_start + 2 * 86400 <= (SELECT epoch(max(ts)) - 86400 FROM events) GROUP BY window_start, url"""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonld, text, urls
 from ..operators import findings as fi
-from ..operators import html, linkgraph, remediation, report, robots, rules, sitemap, vitals
-from ..sources import tables
+from ..operators import approvals, html, linkgraph, remediation, report, robots, rules, sitemap, vitals
+from ..sources import tables, versioned
 from ..sources.staging import cut, shared_folder
 from ..streaming import streams
 from . import fixtures as fx
@@ -75,6 +75,7 @@ def written(s: SparkSession, df: DataFrame, name: str, by: tuple[str, ...] = ("s
     return s.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
+_add("snk1b_page_digests", lambda s, d: written(s, tables.page_records(html.extract_signals(fx.pages(s, d).select("site", F.lit("A").alias("run_id"), "url", F.lit(200).alias("status_code"), "html", F.col("html").alias("h")), {"h": "raw"})), "page_digests").select("url", "html_sha256", "html_excerpt"))
 _add("snk2_findings", lambda s, d: written(s, tables.checked_findings(findings(s, d)).drop("page_id", "k"), "findings", ("run_id",)).select("finding_key", "rule_id", "status", "id"))
 _add("snk5_baseline_rows", lambda s, d: written(s, fi.snapshot(findings(s, d)), "baseline").select("site", "finding_key", "category", "severity", "status"))
 _add("snk5b_regression_rows", lambda s, d: written(s, tables.regression_rows(fi.classify_regressions(findings(s, d, 1), fi.snapshot(findings(s, d))), "B", now()), "regressions", ("run_id",)).select("site", "run_id", "finding_key", "kind"))
@@ -285,6 +286,22 @@ def reach(s: SparkSession, d: str, max_pages: int = 200, polite: bool = True) ->
 _add("grf1_crawl_reach", lambda s, d: reach(s, d).select("site", "url", "depth", "ord", "visit_status"))
 _add("grf1b_single_page", lambda s, d: linkgraph.single_page(fx.crawl_snapshot(s, d), seeds(s, d), may(s, d)).select("site", "url", "status_code"))
 _add("grf1c_own_site_scan", lambda s, d: reach(s, d, polite=False).select("site", "url", "depth"))
+
+@query("grf5_page_links")
+def _page_links(s, d):
+    """The crawl over links that pages hold, with what the sitemaps list as seeds at depth 1."""
+    held = html.extract_links(html.extract_signals(fx.linked_pages(s, d), {"html": "raw"}), ["site", "url"])
+    mapped = robots.same_origin_seeds(listed(s, d)).select("site", "url", "depth", "ord")
+    return linkgraph.crawl_reach(held, fx.crawl_snapshot(s, d), seeds(s, d).unionByName(mapped), may(s, d)).select("site", "url", "depth", "ord", "visit_status")
+
+
+@query("agg9b_sitemap_cut")
+def _sitemap_cut(s, d):
+    """A crawl is cut off by its budget or by that of its sitemaps, which is five URLs here."""
+    few = sitemap.sitemap_urls(fx.sitemap_doc(s, d), sitemap_roots(s, d), max_pages=5)
+    return linkgraph.crawl_summary(reach(s, d), 200, few).select("site", "truncated")
+
+
 _add("grf2_sitemap_urls", lambda s, d: listed(s, d).select("site", "ord", "url", "truncated"))
 _add("grf3_sitemap_candidates", lambda s, d: robots.robots_sitemaps(fx.sites(s, d), robots_tables(s, d)[1]).select("site", "sitemap_url"))
 _add("grf4_seed_filter", lambda s, d: robots.same_origin_seeds(listed(s, d).withColumn("url", F.when(F.col("ord") == 20, F.lit("no url")).when(F.col("ord") % 3 == 0, F.lit("http://elsewhere.example/x")).otherwise(F.col("url")))).select("site", "ord", "url", "depth"))
@@ -415,6 +432,54 @@ _C = "rule_id = 'R-CANONICAL-MISSING'"
 _add("rem11_decide", lambda s, d: decided(s, d).filter(_C).groupBy("approval_status", "changed").agg(F.count(F.lit(1)).alias("n")))
 _add("rem12_apply", lambda s, d: applied(s, d, True).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
 _add("rem13_rollback", lambda s, d: _rolled_back(s, d).filter(_C).groupBy("approval_status", "finding_status").agg(F.count(F.lit(1)).alias("n"), F.count("applied_at").alias("applied")))
+
+@query("rem19_stored_states")
+def _stored(s, d):
+    """Decisions, applications and rollbacks as merges of a stored table, each run twice; what is read back."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    approvals.store_plans(cut(plans(s, d).filter(_C), "plans"), path)
+    d1 = decisions(versioned.read(s, path))
+    done = versioned.read(s, path).select("finding_key", now().alias("applied_at"), F.lit("b").alias("backup"))
+    back = done.filter(F.conv(F.substring("finding_key", 9, 6), 16, 10).cast("long") % 2 == 0)
+    for _ in range(2):
+        approvals.decide(s, path, d1, "decide")
+        approvals.apply(s, path, done, "apply")
+        approvals.rollback(s, path, back, "roll back")
+        approvals.decide(s, path, d1.withColumn("decision", F.lit("rejected")), "decide again")
+    return versioned.read(s, path).select("finding_key", "approval_status", F.col("applied_at").isNotNull().alias("applied"), "finding_status")
+
+
+@query("rem20_stored_requests")
+def _stored_requests(s, d):
+    """Open change requests in a stored table are closed or merged by a merge; then those of a live list suppress plans too."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    rows = fx.pages(s, d).select(F.col("page_id").alias("id"), "site", F.concat(F.lit("b"), (F.col("page_id") % 9).cast("string")).alias("branch_name"), F.when(F.col("page_id") % 4 == 0, "merged").otherwise("open").alias("state"))
+    versioned.create(rows, path, ["id"])
+    states = rows.filter("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "closed").otherwise("merged").alias("new_state"))
+    for _ in range(2):
+        approvals.update_requests(s, path, states, "states")
+    return versioned.read(s, path)
+
+
+@query("rem21_stored_acknowledgements")
+def _stored_acks(s, d):
+    """Findings of every third page are acknowledged in the stored table; the next baseline carries it."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    f = cut(findings(s, d).select("site", "finding_key", "id", "page_id", "category", "severity", "status"), "findings")
+    versioned.create(f, path, ["site", "finding_key", "id"])
+    approvals.acknowledge(s, path, f.filter("page_id % 3 = 0").select("site", "finding_key"), "acknowledge")
+    return fi.snapshot(versioned.read(s, path)).select("site", "finding_key", "status", "severity")
+
+
+@query("join10b_live_requests")
+def _live(s, d):
+    """Planned requests without those that are open in the store or in the live list: sites of rank % 3 = 1 there."""
+    taken = fx.sites(s, d).filter("rank % 2 = 0").select("site", F.lit("site/fix-r-canonical-missing").alias("branch_name"), F.lit("open").alias("state"))
+    live = fx.sites(s, d).filter("rank % 3 = 1").select("site", F.lit("site/fix-r-noindex-detected").alias("branch_name"))
+    return remediation.buckets(plans(s, d), taken, live).select("site", "bucket", "branch_name", "finding_key")
+
+
+_add("agg11b_request_lines", lambda s, d: remediation.request_lines(planned(s, d)).select("site", "bucket", "line"))
 _add("rem14_outcomes", lambda s, d: remediation.outcome_counts(fx.pages(s, d).select("site", F.element_at(F.array(*map(F.lit, remediation.OUTCOMES)), (F.col("page_id") % 4 + 1).cast("int")).alias("outcome"))))
 
 
@@ -518,3 +583,11 @@ def _str4(s, d):
     e = fx.load(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("url"), F.col("value").alias("lcp_ms"))
     stream, path = _replay(s, e, "vitals")
     return _drain(streams.stream_vitals(stream, "1 day"), path).select(F.unix_timestamp("window_start").alias("window_start"), "url", "runs")
+
+
+@query("str4b_sliding_medians")
+def _str4b(s, d):
+    """Medians in windows of two days that slide by one."""
+    e = fx.load(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("url"), F.col("value").alias("lcp_ms"))
+    stream, path = _replay(s, e, "vitals")
+    return _drain(streams.stream_vitals(stream, "2 days", "1 day"), path).select(F.unix_timestamp("window_start").alias("window_start"), "url", "lcp_ms", "runs")
