@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import finding_key
+from ..sources.staging import ranked
 from .rules import severity_rank
 
 
@@ -63,7 +64,7 @@ def decorate(regressions: DataFrame, findings: DataFrame) -> DataFrame:
     """Rule, page and severity of each key, from the last finding that has it; ordered critical to low by `place`."""
     last = findings.groupBy("site", "finding_key").agg(F.max_by(F.struct("rule_id", "url", "severity", "rule_ord"), "id").alias("f"))
     j = regressions.join(last, ["site", "finding_key"]).select("site", "finding_key", "kind", "f.*")
-    return j.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(severity_rank(F.col("severity")), "rule_ord", "url")))
+    return ranked(j.withColumn("__severity", severity_rank(F.col("severity"))), ["site"], [F.col("__severity"), F.col("rule_ord"), F.col("url")]).drop("__severity")
 
 
 def acknowledge(findings: DataFrame, keys: DataFrame) -> DataFrame:

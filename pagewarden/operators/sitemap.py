@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_path
-from ..sources.staging import cut
+from ..sources.staging import cut, ranked
 from . import sitemap_xml
 
 
@@ -110,3 +110,11 @@ def proposed_urls(gap: DataFrame, urls: DataFrame) -> DataFrame:
 
     first = urls.groupBy("site").agg(F.min_by(url_origin(F.col("url")), "ord").alias("origin"))
     return gap.join(first, "site", "left").select("site", "run_id", "path", F.concat("origin", "path").alias("url"))
+
+
+def missing_parts(gap: DataFrame, size: int = 1_000) -> DataFrame:
+    """(site, run_id, part, n, marker): missing paths in order as JSON arrays of at most `size`, so a site of any size is many rows."""
+    placed = ranked(gap.select("site", "run_id", "path"), ["site", "run_id"], [F.col("path")])
+    part = F.floor((F.col("place") - 1) / size).cast("int").alias("part")
+    rows = placed.groupBy("site", "run_id", part).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return rows.select("site", "run_id", "part", F.size("paths").cast("long").alias("n"), F.to_json("paths").alias("marker"))

@@ -370,3 +370,5 @@ SQL["join10b_live_requests"] = PL("SELECT pn.site, bucket, branch_name, finding_
 SQL["agg11b_request_lines"] = PL("SELECT site, bucket, '- ' || rule_id || ' (' || risk_level || ') ' || url AS line FROM pn")
 SQL["str4b_sliding_medians"] = """WITH w AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) - k * 86400 AS window_start, 'u' || (event_id % 10) AS url, value FROM events, (SELECT unnest([0, 1]) AS k))
 SELECT window_start, url, quantile_disc(value, 0.5) AS lcp_ms, count(*) AS runs FROM w WHERE window_start + 2 * 86400 <= (SELECT epoch(max(ts)) - 86400 FROM events) GROUP BY window_start, url"""
+SQL["rem2b_sitemap_parts"] = _with(PG, SN, LIST, GAP, q="""SELECT site, CAST(place // 5 AS INTEGER) AS part, count(*) AS n, '[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']' AS marker
+FROM (SELECT site, path, row_number() OVER (PARTITION BY site ORDER BY path) - 1 AS place FROM gap) GROUP BY site, place // 5""")

@@ -392,6 +392,7 @@ def _of(rule_id: str, *cols: str):
 
 _add("rem1_catalog", lambda s, d: remediation.catalog(s).join(plans(s, d).select("rule_id").distinct(), "rule_id", "left_semi").select("rule_id", "risk_level"))
 _add("rem2_sitemap", lambda s, d: _of("R-SITEMAP-MISSING-URL", "marker")(s, d).select("site", "approval_status", "marker"))
+_add("rem2b_sitemap_parts", lambda s, d: sitemap.missing_parts(gap(s, d), 5).select("site", "part", "n", "marker"))
 _add("rem3_canonical", _of("R-CANONICAL-MISSING", "marker"))
 _add("rem4_js_canonical", _of("R-CANONICAL-JS-ONLY", "marker"))
 _add("rem5_og", lambda s, d: _of("R-OG-BASIC-MISSING", "marker")(s, d).select("url", "fix_type", F.get_json_object("marker", "$.url").alias("og_url"), F.get_json_object("marker", "$.title").alias("og_title")))

@@ -86,13 +86,13 @@ def request_rows(planned: DataFrame, at: Column) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, name: str, by: tuple[str, ...] = ("site",)) -> None:
-    """Appends rows, partitioned. Rows of one partition are brought together first: one file each, not one for each task."""
-    df.repartition(*by).write.mode("append").partitionBy(*by).parquet(f"{path.rstrip('/')}/{name}")
+    """Appends rows, partitioned. Rows of one partition are brought together first, but a large one in several tasks and files."""
+    df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(f"{path.rstrip('/')}/{name}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, name: str, by: tuple[str, ...] = ("site",)) -> None:
     """Replaces the partitions that df has rows for, and no others."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path.rstrip('/')}/{name}")
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path.rstrip('/')}/{name}")
 
 
 def open_runs(projects: DataFrame, started_at: Column, render_source: str) -> DataFrame:
