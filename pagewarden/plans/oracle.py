@@ -372,3 +372,7 @@ SQL["str4b_sliding_medians"] = """WITH w AS (SELECT CAST(epoch(date_trunc('day',
 SELECT window_start, url, quantile_disc(value, 0.5) AS lcp_ms, count(*) AS runs FROM w WHERE window_start + 2 * 86400 <= (SELECT epoch(max(ts)) - 86400 FROM events) GROUP BY window_start, url"""
 SQL["rem2b_sitemap_parts"] = _with(PG, SN, LIST, GAP, q="""SELECT site, CAST(place // 5 AS INTEGER) AS part, count(*) AS n, '[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']' AS marker
 FROM (SELECT site, path, row_number() OVER (PARTITION BY site ORDER BY path) - 1 AS place FROM gap) GROUP BY site, place // 5""")
+SQL["src1b_snapshot_scan"] = S("SELECT url, CAST(status_code AS INTEGER) AS status_code FROM sn")
+SQL["str1b_batches_stored_once"] = VQ("SELECT url, rule_id, finding_key, severity FROM v")
+SQL["str2b_late_rows"] = _with(PG, SNB, VB, q="SELECT DISTINCT finding_key FROM vb WHERE page_id % 3 < 2")
+SQL["join1b_bucketed"] = _with(PG, SN, LAB, q="SELECT url, depth, CASE WHEN depth = 0 THEN lcp_ms END AS lcp_ms, CASE WHEN depth = 0 THEN tbt_ms END AS tbt_ms FROM sn LEFT JOIN lab USING (site, url)")

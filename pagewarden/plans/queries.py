@@ -55,6 +55,16 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 # Sources
 _add("src1_pages", lambda s, d: fx.crawl_snapshot(s, d).filter("status_code = 200").select("site", "url", "depth", "status_code"))
+
+@query("src1b_snapshot_scan")
+def _snapshot_scan(s, d):
+    """Snapshots stored by site and run; the scan reads run A's partitions and two columns."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    for shift in (0, 1):
+        tables.append(fx.crawl_snapshot(s, d, shift).drop("page_id", "k"), path, "crawl_snapshot", ("run_id",))
+    return tables.scan(s, path, "crawl_snapshot", F.col("run_id") == "A").select("url", "status_code")
+
+
 _add("src2_robots", lambda s, d: tables.robots_docs(fx.robots_doc(s, d)).select("site", "status_code", "state"))
 _add("src3_sitemaps", lambda s, d: tables.sitemap_docs(fx.sitemap_doc(s, d)).select("site", "sitemap_url", F.length("body").cast("long").alias("body_length")))
 _add("src4_lab_runs", lambda s, d: fx.lab_runs(s, d).groupBy("site", "url", "run").agg(F.count("lcp_ms").alias("measured")))
@@ -329,6 +339,16 @@ _add("fld3_traffic_metrics", lambda s, d: vitals.traffic_metrics(fx.load(s, d, "
 
 # Joins
 _add("join1_lab", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), vitals.lab_vitals(fx.lab_runs(s, d))).select("page_id", "lcp_ms"))
+
+@query("join1b_bucketed")
+def _bucketed(s, d):
+    """Pages and lab vitals as tables in buckets of (site, url): the join shuffles neither."""
+    path, name = shared_folder(s), uuid.uuid4().hex
+    p = tables.save_bucketed(fx.crawl_snapshot(s, d).select("site", "url", "depth", "status_code"), path, f"pages_{name}")
+    v = tables.save_bucketed(vitals.lab_vitals(fx.lab_runs(s, d)), path, f"lab_{name}")
+    return vitals.attach_vitals(p, v).select("url", "depth", "lcp_ms", "tbt_ms")
+
+
 _add("join2_field", lambda s, d: vitals.attach_vitals(fx.crawl_snapshot(s, d).select("site", "url", "depth", "page_id"), None, fx.field_by_page(s, d)).select("page_id", "field_lcp_ms", "field_cls", "field_inp_ms"))
 _add("join3_url_rules", lambda s, d: may(s, d).groupBy("site", "state").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("urls")))
 _add("join4_bots", lambda s, d: access(s, d).groupBy("token").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("sites")))
@@ -567,6 +587,30 @@ def _timed(s: SparkSession, d: str, shift: int) -> tuple[DataFrame, str]:
     return _replay(s, findings(s, d, shift).withColumn("fetched_at", F.timestamp_seconds(F.lit(1706745600) + F.col("page_id"))), "findings")
 
 
+@query("str1b_batches_stored_once")
+def _str1b(s, d):
+    """Snapshots in many files, three micro-batches and more; the job is started twice, and nothing is stored twice."""
+    rows = fx.crawl_snapshot(s, d).withColumn("fetched_at", F.timestamp_seconds(F.lit(1706745600) + F.col("page_id")))
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    rows.repartition(20, "page_id").write.parquet(f"{path}/in")
+    for _ in range(2):
+        found = streams.stream_findings(streams.stream_snapshots(s, f"{path}/in", rows.schema)).select("url", "rule_id", "finding_key", "severity")
+        streams.write_once(found, f"{path}/out", f"{path}/state")
+    return streams.stored(s, f"{path}/out", "url string, rule_id string, finding_key string, severity string").drop("batch")
+
+
+@query("str2b_late_rows")
+def _str2b(s, d):
+    """Micro-batches in turn: pages of remainder 0, those of 1 ten days on, the same again, then those of 2 at the first time, too late."""
+    rows = cut(findings(s, d, 1).select("finding_key", "page_id"), "findings")
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    for k, days in ((0, 0), (1, 10), (1, 10), (2, 0)):
+        rows.filter(F.col("page_id") % 3 == k).select("finding_key", F.timestamp_seconds(F.lit(1706745600 + 86400 * days) + F.col("page_id")).alias("fetched_at")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = s.readStream.schema("finding_key string, fetched_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.write_once(streams.alerts_once(stream).select("finding_key"), f"{path}/out", f"{path}/state")
+    return streams.stored(s, f"{path}/out", "finding_key string").drop("batch")
+
+
 @query("str2_alerts_once")
 def _str2(s, d):
     stream, path = _timed(s, d, 1)

@@ -111,3 +111,15 @@ def find_or_create_projects(existing: DataFrame, targets: DataFrame, now: Column
     latest = existing.join(t, "target", "left_semi").groupBy("target").agg(F.max("id").alias("id")).withColumn("created", F.lit(False))
     new = t.join(existing.select("target"), "target", "left_anti").select("target", F.xxhash64("target").alias("id"), F.lit(True).alias("created"))
     return latest.unionByName(new)
+
+
+BUCKETS = 64
+
+
+def save_bucketed(df: DataFrame, path: str, table: str, by: tuple[str, ...] = ("site", "url"), buckets: int = BUCKETS) -> DataFrame:
+    """df as a table of the session's catalog, stored under path in buckets of the key: joins on the key shuffle nothing.
+
+    Rows are dealt to the buckets before they are written, so each bucket is a file.
+    """
+    df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", f"{path.rstrip('/')}/{table}").mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -34,7 +34,10 @@ def stream_findings(snapshots: DataFrame, rules=None) -> DataFrame:
 
 
 def alerts_once(findings: DataFrame, delay: str = "1 day", time: str = "fetched_at") -> DataFrame:
-    """One row for each finding key within the watermark; later rows of a key are dropped."""
+    """One row for each finding key within the watermark; later rows of a key are dropped.
+
+    A row is late by the watermark that the batch before worked with, so what is behind is dropped one batch later.
+    """
     return findings.withWatermark(time, delay).dropDuplicatesWithinWatermark(["finding_key"])
 
 
@@ -45,3 +48,21 @@ def stream_alerts(findings: DataFrame, baseline: DataFrame, delay: str = "1 day"
 
 def stream_vitals(events: DataFrame, width: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
     return stream_windows(events.withWatermark("ts", delay), width, slide)
+
+
+def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Runs the stream to the end of what is there; each micro-batch is the folder of its number.
+
+    A batch that is run again after a failure replaces its folder, so a row is stored once however often the job starts.
+    """
+
+    def store(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch:012d}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What `write_once` has stored, with the batch of each row."""
+    return spark.read.schema(f"{schema}, batch long").parquet(path)

@@ -55,3 +55,36 @@ def test_a_walk_over_a_planted_graph(spark):
     want = [("a", 0, "visited"), ("m", 1, "visited"), ("five", 1, "visited"), ("b", 1, "visited"), ("c", 1, "skipped_by_robots"), ("gone", 1, "missing"), ("n", 2, "visited"), ("d", 2, "visited"), ("f", 3, "visited")]
     assert [(r["url"].removeprefix("https://s.test/"), r["depth"], r["visit_status"]) for r in sorted(got, key=lambda r: r["ord"])] == want
     assert sorted(r["ord"] for r in got) == list(range(1, 10))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_reads_its_partitions_and_columns(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('s', id % 4) AS site", "'A' AS run_id", "concat('u', id) AS url", "1 AS depth", "200 AS status_code", "'h' AS html", "'r' AS rendered_html", "'f' AS final_url", "array('x') AS redirect_chain")
+    tables.append(rows, str(tmp_path), "crawl_snapshot")
+    df = tables.scan(spark, str(tmp_path), "crawl_snapshot", (F.col("site") == "s1") & (F.col("status_code") == 200)).select("url", "status_code")
+    plan = plan_of(df)
+    scan = next(x for x in plan.splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(site" in scan and "(site" in scan and "EqualTo(status_code,200)" in scan and "ReadSchema: struct<url:string,status_code:int>" in scan
+    assert df.count() == 10
+
+
+def test_joins_of_bucketed_tables_shuffle_nothing(spark, tmp_path):
+    from pagewarden.operators import vitals
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(500).selectExpr("concat('s', id % 3) AS site", "concat('u', id) AS url", "cast(id % 2 AS int) AS depth")
+        lab = pages.selectExpr("site", "url", "1.0D AS lcp_ms", "0.1D AS cls_unitless", "2.0D AS tbt_ms", "3 AS runs_completed")
+        p, v = (tables.save_bucketed(df, str(tmp_path), name, buckets=4) for df, name in ((pages, "layout_pages"), (lab, "layout_lab")))
+        df = vitals.attach_vitals(p, v)
+        assert "Exchange" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+        assert df.filter("lcp_ms = 1.0").count() == 250 and df.count() == 500
+        assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / "layout_lab")) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        for t in ("layout_pages", "layout_lab"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
