@@ -25,10 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written as a table in the shared folder and read again: what follows starts there, and so does a recovery."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _CUT.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What this process has staged and not released yet.
+_CUT: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that `cut` has staged in this process, once its results are written; the number of tables."""
+    n = 0
+    while _CUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """df with each row's place, from 1, in its group by that order; a group of any size is spread over tasks.
 

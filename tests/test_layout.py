@@ -88,3 +88,10 @@ def test_joins_of_bucketed_tables_shuffle_nothing(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         for t in ("layout_pages", "layout_lab"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_staged_tables_are_released(spark):
+    staging.release(spark)
+    df = staging.cut(spark.range(10), "a")
+    staging.cut(df.filter("id > 3"), "b")
+    assert staging.release(spark) == 2 and staging.release(spark) == 0
