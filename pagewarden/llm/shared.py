@@ -47,11 +47,26 @@ def staged(df: DataFrame, name: str, codec: str | None = None, rows: int = BATCH
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     with small_batches(spark, rows):
         df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this process has staged and not released yet, in order.
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes staged tables of this process but the last `keep`: for when nothing that is still to run reads them."""
+    gone = _STAGED[: len(_STAGED) - keep]
+    del _STAGED[: len(gone)]
+    for x in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """64 bits that tell rows apart; a row repeated as a whole has the key of its twin, and so the same result."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00null")), F.coalesce(text, F.lit("")))
