@@ -1,6 +1,7 @@
 """documents to a training mix, in five stages: each works on all rows that the one before kept.
 
 Every stage is written as Parquet and read again before the next one starts, so a lost executor costs a stage at most.
+What a stage has staged for itself, and its input, are deleted when its result is written.
 Rows of null or empty text pass all stages (nothing is found in them) and are taken 0 times by the mix, so they end
 there; repeated rows are near duplicates of each other, so one of them stays.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
-from pagewarden.llm.shared import staged, table
+from pagewarden.llm.shared import release, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs, f"pipeline-{name.replace(' ', '-')}")
+            release(spark, keep=1)  # the next stage reads this table alone
     return docs
