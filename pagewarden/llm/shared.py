@@ -57,10 +57,17 @@ def staged(df: DataFrame, name: str, codec: str | None = None, rows: int = BATCH
 _STAGED: list[str] = []
 
 
-def release(spark: SparkSession, keep: int = 0) -> int:
-    """Deletes staged tables of this process but the last `keep`: for when nothing that is still to run reads them."""
-    gone = _STAGED[: len(_STAGED) - keep]
-    del _STAGED[: len(gone)]
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes what this process has staged since a mark of `staged_so_far`, but the last `keep` tables.
+
+    For when nothing that is still to run reads them; other jobs of the process keep what they staged before the mark.
+    """
+    gone = _STAGED[since : max(since, len(_STAGED) - keep)]
+    del _STAGED[since : since + len(gone)]
     for x in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -321,3 +321,14 @@ def test_white_space_behind_a_key_header_is_one_pass():
     assert time.time() - began < 3
     key = f"{head}\r\n  {base64.b64encode(bytes(60)).decode()}\n{base64.b64encode(bytes(30)).decode()}\n{end}"
     assert [(k, a, b) for a, k, b in secrets.scan(f"é {key}", secrets.automaton()) if k == "key"] == [("key", 2, 2 + len(key))]
+
+
+def test_a_job_releases_its_own_tables_alone(spark):
+    from pagewarden.llm import shared
+
+    other = shared.staged(spark.range(5), "other")
+    mark = shared.staged_so_far()
+    shared.staged(spark.range(6), "a")
+    last = shared.staged(spark.range(7), "b")
+    assert shared.release(spark, mark, keep=1) == 1 and other.count() == 5 and last.count() == 7
+    assert shared.release(spark, mark) == 1 and other.count() == 5
