@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
-from pagewarden.llm.shared import release, staged, table
+from pagewarden.llm.shared import release, staged, staged_so_far, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), staged_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs, f"pipeline-{name.replace(' ', '-')}")
-            release(spark, keep=1)  # the next stage reads this table alone
+            release(spark, mark, keep=1)  # the next stage reads this table alone
     return docs
