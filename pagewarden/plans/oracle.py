@@ -376,3 +376,18 @@ SQL["src1b_snapshot_scan"] = S("SELECT url, CAST(status_code AS INTEGER) AS stat
 SQL["str1b_batches_stored_once"] = VQ("SELECT url, rule_id, finding_key, severity FROM v")
 SQL["str2b_late_rows"] = _with(PG, SNB, VB, q="SELECT DISTINCT finding_key FROM vb WHERE page_id % 3 < 2")
 SQL["join1b_bucketed"] = _with(PG, SN, LAB, q="SELECT url, depth, CASE WHEN depth = 0 THEN lcp_ms END AS lcp_ms, CASE WHEN depth = 0 THEN tbt_ms END AS tbt_ms FROM sn LEFT JOIN lab USING (site, url)")
+SQL["set4b_split_rows"] = PL("SELECT site, finding_key, rule_id, risk_level, fix_type, approval_status FROM pl")
+SQL["rem15b_bucket_rows"] = PL("SELECT site, bucket, branch_name, finding_key FROM pn")
+SQL["rem10b_add_only_rows"] = PL("SELECT site, rule_id, finding_key FROM pl WHERE marker IS NOT NULL AND rule_id NOT IN ('R-NOINDEX-DETECTED', 'R-TITLE-MISSING')")
+
+
+def _percent(x: str) -> str:
+    """Latin-1 letters beyond ASCII, percent-encoded."""
+    for k in range(0xC0, 0x100):
+        x = f"replace({x}, '{chr(k)}', '{''.join(f'%{b:02X}' for b in chr(k).encode())}')"
+    return x
+
+
+# All references of the pages are rooted paths.
+SQL["sig15b_link_rows"] = P(f"""SELECT DISTINCT page_id, {_u(NORM, "u")} AS link FROM (SELECT page_id, site || {_percent("replace(h, '&amp;', '&')")} AS u
+    FROM (SELECT page_id, site, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pg))""")

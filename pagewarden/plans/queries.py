@@ -258,6 +258,8 @@ def _website(s, d):
     return rules.website_rule(c, rules.evaluate_rules(c)).select("site", "rule_id", "severity", "current_value")
 
 
+_add("sig15b_link_rows", lambda s, d: html.extract_links(html.extract_signals(fx.pages(s, d).select("page_id", "url", "html"), {"html": "raw"}), ["page_id"]).select("page_id", "link"))
+
 # JSON-LD
 _J = lambda s, d: fx.context(s, d, lab=False)
 _add("jld1_nodes", lambda s, d: _J(s, d).select("page_id", F.size(jsonld.jsonld_nodes(F.col("jsonld"))).cast("long").alias("nodes"), F.array_join(F.transform(jsonld.jsonld_nodes(F.col("jsonld")), lambda n: F.concat(F.array_join(n["types"], "+"), F.lit(":"), F.coalesce(n["name"], F.lit("-")), F.lit(":"), n["has_offers"].cast("string"))), ",").alias("told")))
@@ -393,6 +395,9 @@ _add("set3_except", lambda s, d: gap(s, d).groupBy("site").agg(F.count(F.lit(1))
 _add("set4_split", lambda s, d: plans(s, d).groupBy("fix_type").agg(F.count(F.lit(1)).alias("n")))
 
 
+_add("set4b_split_rows", lambda s, d: plans(s, d).select("site", "finding_key", "rule_id", "risk_level", "fix_type", "approval_status"))
+
+
 # Remediation
 def plans(s: SparkSession, d: str) -> DataFrame:
     c = cut(fx.context(s, d, lab=False).withColumn("ord", F.col("page_id")), "context")
@@ -410,6 +415,13 @@ def _of(rule_id: str, *cols: str):
     return lambda s, d: plans(s, d).filter(F.col("rule_id") == rule_id).select("site", "url", "fix_type", "approval_status", *cols)
 
 
+@query("rem10b_add_only_rows")
+def _add_only_rows(s, d):
+    """What is proposed when the directives and titles that were proposed before are there already."""
+    p = cut(plans(s, d).filter("marker is not null"), "plans")
+    return remediation.add_only(p, p.filter("rule_id IN ('R-NOINDEX-DETECTED', 'R-TITLE-MISSING')")).select("site", "rule_id", "finding_key")
+
+
 _add("rem1_catalog", lambda s, d: remediation.catalog(s).join(plans(s, d).select("rule_id").distinct(), "rule_id", "left_semi").select("rule_id", "risk_level"))
 _add("rem2_sitemap", lambda s, d: _of("R-SITEMAP-MISSING-URL", "marker")(s, d).select("site", "approval_status", "marker"))
 _add("rem2b_sitemap_parts", lambda s, d: sitemap.missing_parts(gap(s, d), 5).select("site", "part", "n", "marker"))
@@ -510,6 +522,7 @@ def planned(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("rem15_buckets", lambda s, d: planned(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+_add("rem15b_bucket_rows", lambda s, d: planned(s, d).select("site", "bucket", "branch_name", "finding_key"))
 _add("rem16_acknowledge", lambda s, d: fi.acknowledge(findings(s, d), findings(s, d).filter("page_id % 3 = 0").select("site", "finding_key")).groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
