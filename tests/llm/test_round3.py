@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.llm import filter_audit, htmltext, huffman, secrets, spelling, token_files, topk, warc
+from pagewarden.llm import filter_audit, htmltext, huffman, secrets, spelling, substring_dedup, suffix_dedup, token_files, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, ids string, n long, word string, row string, part string, bits string, digest string"
 
@@ -332,3 +332,53 @@ def test_a_job_releases_its_own_tables_alone(spark):
     last = shared.staged(spark.range(7), "b")
     assert shared.release(spark, mark, keep=1) == 1 and other.count() == 5 and last.count() == 7
     assert shared.release(spark, mark) == 1 and other.count() == 5
+
+
+# Columns whose names clash, long texts, and tables without rows -------------------------------------------------------
+
+
+def test_columns_of_other_names_change_nothing(spark):
+    """Extra columns named as what the operators make or use inside."""
+    html = "<html><body><nav>menu</nav><article><p>Text {}</p></article></body></html>"
+    plain = spark.createDataFrame([(i, f"http://h.test/{i}", html.format(i)) for i in range(6)], "page_id long, url string, html string")
+    extra = plain.selectExpr("*", *(f"'c' AS {c}" for c in ("host", "skeleton", "text", "n_chars", "record", "digest", "total", "chunk", "body", "key", "slot", "refers_to", "file")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(htmltext.main_text(plain)) == rows(htmltext.main_text(extra)) and len(rows(htmltext.main_text(plain))) == 6
+    typed = lambda df: rows(warc.with_types(warc.chunked(df)).select("page_id", "digest", "record_type"))
+    assert typed(plain) == typed(extra)
+    docs = spark.createDataFrame([(i, f"some words {i} password = secret{i}x AKIA{'Z' * 20}") for i in range(6)], "doc_id long, text string")
+    more = docs.selectExpr("*", *(f"'c' AS {c}" for c in ("spans", "n_hex", "base_sha256", "score", "predicted", "y", "__id", "row", "toxic")))
+    assert rows(secrets.find_secrets(docs)) == rows(secrets.find_secrets(more))
+    assert secrets.redact(more).columns == more.columns and [r["text"] for r in secrets.redact(more).orderBy("doc_id").collect()] == [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    model = toxicity.fit(more, labels.selectExpr("*", "'c' AS text", "'c' AS quality"))
+    assert toxicity.score(more, model, "mine").select("doc_id", "mine").count() == 6
+
+
+def test_long_texts_are_deduplicated_whole(spark):
+    """A passage at the end of two texts of 20,000 words: found by words and by bytes."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(120))
+    texts = [" ".join(word() for _ in range(20_000)) + " " + passage, passage + " " + " ".join(word() for _ in range(20_000)), word()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup.dedup_words(docs).collect()}
+    assert got == {0: (20_120, 0), 1: (20_120, 120), 2: (1, 0)}
+    cut = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.dedup_bytes(docs).collect()}
+    assert cut == {0: (len(passage), 1), 1: (len(passage), 1), 2: (0, 0)}
+
+
+def test_stages_without_items_or_labels(spark, tmp_path):
+    """Nothing is toxic, nothing is contaminated, and every weight is 1."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(1, 30)), "en", f"s{i % 2}", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == stages["decontamination"](spark, docs, str(tmp_path)).count() == 20
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 0 < len(out) <= 20 and all(x["taken"] > 0 for x in out)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
