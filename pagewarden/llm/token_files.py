@@ -41,6 +41,8 @@ STEP = 64
 PER_FILE = 256
 #: Ids of a part; ranges of documents of about this size are written by a task each.
 PART_IDS = 1 << 24
+#: Parts at most: beyond it parts grow, since a shuffle has blocks for each pair of task and part. A part sorts by spilling.
+MOST_PARTS = 20_000
 CHARS = 1 << 20
 CLOSING = ".,;:!?"
 #: White space to Python but not to tokenizers.
@@ -207,7 +209,8 @@ def write(tokens: DataFrame, path: str, kind: str, max_length: int = 18, block_i
     lengths = huffman.code_lengths(n, max_length)
     _bytes(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "block binary").coalesce(1)).text(f"{path}/codebook")
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc(), F.col("row").asc()]
-    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-int(n.sum()) // block_ids)), -(-int(n.sum()) // part_ids))
+    every = int(n.sum())
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-every // block_ids)), min(-(-every // part_ids), MOST_PARTS))
     rows = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     with small_batches(spark):
         _bytes(rows.mapInArrow(_write_blocks(kind, lengths, block_ids, step), "block binary"), per_file).text(f"{path}/blocks")
