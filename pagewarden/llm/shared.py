@@ -79,6 +79,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00null")), F.coalesce(text, F.lit("")))
 
 
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """The same in 128 bits, as columns key and key2: two hashes of unlike seeds, for joins of rows with what was found in them."""
+    return row_key(doc_id, text).alias("key"), F.xxhash64(F.lit(1), F.coalesce(doc_id.cast("string"), F.lit("\x00null")), F.coalesce(text, F.lit(""))).alias("key2")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,10 +35,12 @@ SENT, SOLVED = 1 << 22, 1_000_000
 #: A row of a group: anchor, the two halves of the region's digest, body, n, at, cnt, mn. A solver gives rows their runs.
 BODY, N, AT, CNT, MN = 3, 4, 5, 6, 7
 Runs = Iterator[tuple[tuple, list[tuple[int, int, int]]]]
-ROWS = "anchor long, region long, region2 long, key long, rank long, i0 int, n int, at int"
+ROWS = "anchor long, region long, region2 long, key long, key2 long, rank long, i0 int, n int, at int"
 REGIONS = "anchor long, region long, region2 long, body binary, n int, at int, cnt long, mn long"
 FOUND = "anchor long, region long, region2 long, runs array<struct<s:int,e:int,mn:long>>"
 REGION = ["anchor", "region", "region2"]
+#: What tells the rows of the documents apart.
+ROW = ["key", "key2"]
 
 
 def anchored(symbols: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -73,14 +75,14 @@ def _symbols(raw: np.ndarray, off: np.ndarray, by_words: bool) -> tuple[np.ndarr
 def _rows(length: int, gram: int, by_words: bool) -> Callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, rank = (b.column(i).to_numpy() for i in (0, 1))
-            for row, raw, off in tv.slices(b.column(2)):
+            key, key2, rank = (b.column(i).to_numpy() for i in (0, 1, 2))
+            for row, raw, off in tv.slices(b.column(3)):
                 symbols, off, text, starts, ends = _symbols(raw, off, by_words)
                 d, first, last, a, anchor = anchored(symbols, off, length, gram)
                 region = tv.digests([text[s:e] for s, e in zip(starts[first].tolist(), ends[last + length - 1].tolist(), strict=True)])
                 i0 = first - off[d]
-                cols = [anchor.view(np.int64), region[:, 0], region[:, 1], key[d + row], rank[d + row], i0.astype(np.int32), (last - first + 1).astype(np.int32), (a - first).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*REGION, "key", "rank", "i0", "n", "at"])
+                cols = [anchor.view(np.int64), region[:, 0], region[:, 1], key[d + row], key2[d + row], rank[d + row], i0.astype(np.int32), (last - first + 1).astype(np.int32), (a - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*REGION, *ROW, "rank", "i0", "n", "at"])
 
     return each
 
@@ -158,13 +160,13 @@ def _solve(solver: Callable[[list[list[tuple]]], Runs], most: int) -> Callable:
 
 
 def repeated(docs: DataFrame, length: int, gram: int, by_words: bool, solver: Callable, by_rank: bool, group: int = GROUP) -> DataFrame:
-    """docs (key, rank, doc_id, text) with `cover`: intervals (s, e) of the symbols to remove, or null.
+    """docs (key, key2, rank, doc_id, text) with `cover`: intervals (s, e) of the symbols to remove, or null.
 
     by_rank: a window counts if it also starts in a row of a smaller rank; else if it starts anywhere else.
     solver(groups): of lists of rows of one anchor each, the rows that have runs, with them.
     A run (s, e, mn) says that the windows starting at s..e-1 of the region have mn as the smallest rank anywhere.
     """
-    rows = docs.select("key", "rank", "text").mapInArrow(_rows(length, gram, by_words), ROWS)
+    rows = docs.select(*ROW, "rank", "text").mapInArrow(_rows(length, gram, by_words), ROWS)
     rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "span-rows")
     stats = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *(f(c).alias(f"{c}_{x}") for c in REGION[1:] for x, f in (("lo", F.min), ("hi", F.max))), F.min("rank").alias("mn"), F.max("rank").alias("mx"))
     stats = stats.filter((F.col("mn") < F.col("mx")) if by_rank else (F.col("c") > 1)).select("anchor", ((F.col("region_lo") == F.col("region_hi")) & (F.col("region2_lo") == F.col("region2_hi"))).alias("same"), "mn")
@@ -177,22 +179,22 @@ def repeated(docs: DataFrame, length: int, gram: int, by_words: bool, solver: Ca
     reps = staged(reps, "span-reps")
     many = staged(reps.groupBy("anchor").agg((F.count(F.lit(1)) > group).alias("many")), "span-many")
     wanted = mixed.join(reps.join(many, "anchor"), [*REGION, "id"])
-    by_key = wanted.groupBy("key").agg(F.collect_list(F.struct(*REGION, "i0", "n", "at", "cnt", "mn", "many")).alias("wanted"))
+    by_key = wanted.groupBy(*ROW).agg(F.collect_list(F.struct(*REGION, "i0", "n", "at", "cnt", "mn", "many")).alias("wanted"))
     # A row repeated as a whole cuts its regions twice; such regions occur twice anyway, and covers are sets.
-    regions = staged(docs.select("key", "text").join(by_key, "key").select("text", "wanted").mapInArrow(_cut(length, by_words), f"{REGIONS}, many boolean"), "span-regions")
+    regions = staged(docs.select(*ROW, "text").join(by_key, ROW).select("text", "wanted").mapInArrow(_cut(length, by_words), f"{REGIONS}, many boolean"), "span-regions")
     few = regions.filter("not many").drop("many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_solve(solver, SOLVED), FOUND)
     hot = staged(regions.filter("many").drop("many").mapInArrow(_windows(length, by_words), "anchor long, region long, region2 long, s int, w1 long, w2 long, cnt long, mn long"), "span-windows")
     counts = hot.groupBy("w1", "w2").agg(F.sum("cnt").alias("c"), F.min("mn").alias("m")).filter("c > 1")
     hot = hot.join(counts, ["w1", "w2"]).groupBy(*REGION).agg(F.collect_list(F.struct("s", (F.col("s") + 1).cast("int").alias("e"), F.col("m").alias("mn"))).alias("runs"))
     found = few.unionByName(hot).filter(F.size("runs") > 0)
 
-    whole = same.withColumn("runs", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"), "mn"))).select("key", "rank", "i0", "runs")
-    part = mixed.join(found, REGION).select("key", "rank", "i0", "runs")
+    whole = same.withColumn("runs", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"), "mn"))).select(*ROW, "rank", "i0", "runs")
+    part = mixed.join(found, REGION).select(*ROW, "rank", "i0", "runs")
     every = whole.unionByName(part)
     runs = F.filter("runs", lambda r: r["mn"] < F.col("rank")) if by_rank else F.col("runs")
     cover = F.transform(runs, lambda r: F.struct((F.col("i0") + r["s"]).alias("s"), (F.col("i0") + r["e"] + (length - 1)).alias("e")))
-    covers = every.select("key", cover.alias("cover")).filter(F.size("cover") > 0).groupBy("key").agg(F.flatten(F.collect_set("cover")).alias("cover"))
-    return docs.join(covers, "key", "left")
+    covers = every.select(*ROW, cover.alias("cover")).filter(F.size("cover") > 0).groupBy(*ROW).agg(F.flatten(F.collect_set("cover")).alias("cover"))
+    return docs.join(covers, ROW, "left")
 
 
 def merged(cover: list[dict] | None) -> list[tuple[int, int]]:

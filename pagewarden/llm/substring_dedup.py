@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import docs_of, row_key, table
+from .shared import docs_of, row_keys, table
 from .spans import BODY, MN, Runs, merged, repeated
 
 LENGTH = 50
@@ -132,7 +132,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_words(docs: DataFrame, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     d = docs_of(docs)
-    d = d.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), "doc_id", "text")
+    d = d.select(*row_keys(F.col("doc_id"), F.col("text")), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), "doc_id", "text")
     covered = repeated(d, LENGTH, gram, True, solve, by_rank=True, group=group)
     return covered.select("doc_id", "text", "cover").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import docs_of, row_key, table
+from .shared import docs_of, row_keys, table
 from .spans import AT, BODY, CNT, N, Runs, merged, repeated
 
 LENGTH = 400
@@ -184,7 +184,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_bytes(docs: DataFrame, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes; they need not be UTF-8)."""
     d = docs_of(docs)
-    d = d.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.lit(0).cast("long").alias("rank"), "doc_id", "text")
+    d = d.select(*row_keys(F.col("doc_id"), F.col("text")), F.lit(0).cast("long").alias("rank"), "doc_id", "text")
     covered = repeated(d, LENGTH, gram, False, solve, by_rank=False, group=group)
     return covered.select("doc_id", "text", "cover").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

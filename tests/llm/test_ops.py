@@ -7,8 +7,9 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagewarden.llm import decontaminate, htmltext, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, topk, toxicity, warc
+from pagewarden.llm import decontaminate, htmltext, jaccard_join, mixing, secrets, shared, substring_dedup, suffix_dedup, topk, toxicity, warc
 
 SCHEMA = "doc_id long, text string, source string, lang string, words string, hash string, key string"
 
@@ -470,3 +471,19 @@ def test_repeated_labelled_rows_are_one_sample(spark):
     once = spark.createDataFrame([*rows[:60], (1, "another text of that id")], "doc_id long, text string")
     texts = [t for _, t in rows[:80]]
     assert toxicity.fit(docs, labels).scores(texts).tolist() == toxicity.fit(once, labels).scores(texts).tolist()
+
+
+@pytest.mark.parametrize("equal", ["key", "key2"])
+@pytest.mark.parametrize("group", [4096, 1])
+def test_rows_of_one_hash_keep_their_own_cuts(spark, monkeypatch, equal, group):
+    """Where one of a row's two hashes is the same for all rows, the other alone tells them apart, in every join."""
+    docs = odd_docs(spark)
+    want = [dedup(docs, group=group).collect() for dedup in (substring_dedup.dedup_words, suffix_dedup.dedup_bytes)]
+    whole = shared.row_keys
+    one = lambda i, t: tuple(F.lit(7).cast("long").alias(n) if n == equal else c for n, c in zip(("key", "key2"), whole(i, t), strict=True))
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "row_keys", one)
+    got = [dedup(docs, group=group).collect() for dedup in (substring_dedup.dedup_words, suffix_dedup.dedup_bytes)]
+    for g, w in zip(got, want, strict=True):
+        same([tuple(map(str, r)) for r in g], [tuple(map(str, r)) for r in w])
+        assert sum(r["n_removed"] for r in g) > 0
