@@ -403,12 +403,13 @@ def plans(s: SparkSession, d: str) -> DataFrame:
     c = cut(fx.context(s, d, lab=False).withColumn("ord", F.col("page_id")), "context")
     gaps = cut(gap(s, d), "gap")
     missing = gaps.groupBy("site", "run_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    ai = rules.ai_policy_rule(robots.policy_summary(access(s, d)).withColumn("run_id", F.lit("A")))
+    docs = cut(tables.robots_docs(fx.robots_doc(s, d)), "robots-docs")
+    bots = cut(robots.ai_bot_access(docs, robots.robots_rules(docs), robots.bot_catalog(s)), "access")
+    ai = rules.ai_policy_rule(robots.policy_summary(bots).withColumn("run_id", F.lit("A")))
     v = rules.evaluate_rules(c)
     sm = rules.sitemap_rule(gaps.groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("missing")))
     every = fi.to_findings(v.unionByName(ai).unionByName(sm).unionByName(rules.website_rule(c, v)))
-    docs, _ = robots_tables(s, d)
-    return remediation.plan(every, c, missing, docs, access(s, d), remediation.site_titles(c), remediation.catalog(s))
+    return remediation.plan(every, c, missing, docs, bots, remediation.site_titles(c), remediation.catalog(s))
 
 
 def _of(rule_id: str, *cols: str):
