@@ -243,8 +243,8 @@ class Shape:
             self.tree[i] = numbers.setdefault(key, len(numbers))
 
 
-#: Cells of a table of best matches that is held at once, and pairs of different subtrees that a pair of nodes looks into.
-CELLS, PAIRS = 1 << 21, 1 << 20
+#: Cells of a table of best matches that is held at once.
+CELLS = 1 << 21
 
 
 class Matching:
@@ -252,8 +252,8 @@ class Matching:
 
     Equal subtrees match whole. Of two nodes' kids, equal ones at either end are matched first, which costs no match;
     what is between is one table of best matches by rows, of which no more than CELLS are held: larger ones are halved
-    and solved twice over. Nothing recurses by depth. Kids in more than PAIRS pairs of different subtrees match by
-    their labels and equal subtrees alone.
+    and solved twice over. Nothing recurses by depth. Pairs of different subtrees are taken one after another, however
+    many there are.
     """
 
     def __init__(self, a: Shape, b: Shape):
@@ -271,15 +271,13 @@ class Matching:
             e += 1
         return p[s : len(p) - e], q[s : len(q) - e], s
 
-    def unlike(self, p: list[int], q: list[int]) -> list[tuple[int, int]]:
-        """A pair of nodes for each pair of different subtrees of one label that is still unknown."""
+    def unlike(self, p: list[int], q: list[int]) -> Iterator[tuple[int, int]]:
+        """A pair of nodes for each pair of different subtrees of one label that is unknown when its turn comes."""
         one, other = {self.a.tree[i]: i for i in p}, {self.b.tree[j]: j for j in q}
         by: dict[str, list[int]] = {}
         for j in other.values():
             by.setdefault(self.b.labels[j], []).append(j)
-        if sum(len(by.get(self.a.labels[i], ())) for i in one.values()) > PAIRS:
-            return []
-        return [(i, j) for i in one.values() for j in by.get(self.a.labels[i], ()) if self.a.tree[i] != self.b.tree[j] and self.b.tree[j] not in self.known.get(self.a.tree[i], ())]
+        return ((i, j) for i in one.values() for j in by.get(self.a.labels[i], ()) if self.a.tree[i] != self.b.tree[j] and self.b.tree[j] not in self.known.get(self.a.tree[i], ()))
 
     def weight(self, i: int, j: int) -> int:
         t, u = self.a.tree[i], self.b.tree[j]
@@ -316,13 +314,16 @@ class Matching:
 
     def weigh(self, x: int, y: int) -> None:
         """Fills `known` for the trees of x and y and all that this needs."""
-        todo = [(x, y)]
-        while todo:
-            i, j = todo[-1]
+
+        def opened(i: int, j: int) -> tuple[int, int, list[int], list[int], Iterator[tuple[int, int]]]:
             p, q, _ = self.ends(i, j)
-            more = self.unlike(p, q)
-            if more:
-                todo += more
+            return i, j, p, q, self.unlike(p, q)
+
+        todo = [opened(x, y)]
+        while todo:
+            i, j, p, q, more = todo[-1]
+            if pair := next(more, None):
+                todo.append(opened(*pair))
                 continue
             todo.pop()
             inner = 0 if not p or not q else self.weight(p[0], q[0]) if len(p) == len(q) == 1 else int(self.last_row(p, q)[-1])
