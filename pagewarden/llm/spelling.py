@@ -7,6 +7,8 @@ deletions, replacements and insertions: some (2k + 1)(n + 1) strings for n lette
 would give thousands), these meet the reduced words of the vocabulary in a join of hashes, and what meets is verified on
 the original strings. Each direction is generated, so a word has all its near words without a union of mirrored pairs.
 
+All joins are hinted to sort and merge: the vocabulary grows with the input, and a broadcast of it passes the driver.
+
 `roots` follows forms by pointer jumping on staged tables. A form is at least `ratio` times as frequent, so chains end.
 
 Defined cases: a null or empty text has no words; a null doc_id is the empty string in what is hashed; repeated rows
@@ -64,14 +66,14 @@ def near_words(words: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
     w = words.select("word", "n", reduced(F.col("word"), symbols).alias("r"))
     asked = w.select("word", "n", F.explode(neighbourhood(F.col("r"), symbols)).alias("r")).select("word", "n", F.xxhash64("r").alias("key"))
     there = w.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.xxhash64("r").alias("key"))
-    return asked.join(there, "key").filter("word <> near").filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    return asked.hint("merge").join(there, "key").filter("word <> near").filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def forms(words: DataFrame, ratio: int = 5, symbols: str = SYMBOLS) -> DataFrame:
     """(word, n, form, form_n, n_near): the most frequent near word, if it is `ratio` times as frequent at least."""
     by = F.struct(-F.col("near_n"), F.encode("near", "UTF-8"), F.col("near"))
     best = near_words(words, symbols).groupBy("word").agg(F.count("*").alias("n_near"), F.min(by).alias("best")).select("word", "n_near", (-F.col("best.col1")).alias("near_n"), F.col("best.near").alias("near"))
-    j = words.join(best, "word", "left")
+    j = words.hint("merge").join(best, "word", "left")
     clear = F.col("near_n") >= ratio * F.col("n")
     return j.select("word", "n", F.when(clear, F.col("near")).alias("form"), F.when(clear, F.col("near_n")).alias("form_n"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
@@ -81,9 +83,9 @@ def roots(found: DataFrame) -> DataFrame:
     at = staged(found.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         up = at.select(F.col("word").alias("root"), F.col("root").alias("__up"))
-        at = staged(at.join(up, "root", "left").select("word", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("moved")), "spelling-roots")
+        at = staged(at.hint("merge").join(up, "root", "left").select("word", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("moved")), "spelling-roots")
         if not at.filter("moved").limit(1).count():
-            return found.join(at.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+            return found.hint("merge").join(at.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
         at = at.select("word", "root")
 
 
